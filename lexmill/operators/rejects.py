@@ -62,7 +62,7 @@ def _read(lines: list[str], width: int, refused: list[tuple[int, str]]) -> pa.Ta
     )
 
 
-def parse_lines(lines: pa.Array) -> tuple[list[str | None], pa.Table]:
+def parse_lines(lines: pa.Array) -> tuple[list[str | None], dict[str, pa.Array]]:
     """Structural parse of a batch: a reason (or None) for each line, and the fields c0..c10 in order."""
     n = len(lines)
     whole = pc.replace_substring_regex(lines.cast(pa.string()), r"\r\z", "")
@@ -99,25 +99,22 @@ def parse_lines(lines: pa.Array) -> tuple[list[str | None], pa.Table]:
             own, values = columns[f], part.column(f).to_pylist()
             for i, value in zip(at, values):
                 own[i] = value
-    table = pa.table({f: pa.array(v, pa.string()) for f, v in columns.items()})
+    fields = {f: pa.array(v, pa.string()) for f, v in columns.items()}
     if spare:
-        for k, f in enumerate(table.column_names):
-            col = pc.replace_substring(pc.replace_substring(table.column(f), spare[0], "\r"), spare[1], "\n")
-            table = table.set_column(k, f, col)
-    return reasons, table
+        fields = {f: pc.replace_substring(pc.replace_substring(v, spare[0], "\r"), spare[1], "\n") for f, v in fields.items()}
+    return reasons, fields
 
 
-def failing_cells(fields: pa.Table) -> pa.Array:
-    """Names of the cells of each row whose value is invalid, joined by commas ('' if none); c5 is tested elsewhere."""
-    column = {f: fields.column(f).combine_chunks() for f in FIELDS}  # plain arrays, as the join of labels needs them
+def failing_cells(fields: dict[str, pa.Array]) -> pa.Array:
+    """Names of the cells of each row whose value is invalid, joined by commas, with empty strings for the others; c5 is tested elsewhere."""
     tests = {
-        "c3": pc.not_equal(column["c3"], KIND),
-        "c6": pc.or_(pc.invert(pc.match_substring_regex(column["c6"], TEXT_HAS)), pc.match_substring_regex(column["c6"], TEXT_HAS_NOT)),
+        "c3": pc.not_equal(fields["c3"], KIND),
+        "c6": pc.or_(pc.invert(pc.match_substring_regex(fields["c6"], TEXT_HAS)), pc.match_substring_regex(fields["c6"], TEXT_HAS_NOT)),
     }
     for f in FIELDS[NARROWEST:]:
-        tests[f] = pc.invert(pc.match_substring_regex(column[f], EXTRA_OK))
-    labels = [pc.if_else(pc.fill_null(bad, False), pa.scalar(f, pa.string()), pa.scalar(None, pa.string())) for f, bad in tests.items()]
-    return pc.binary_join_element_wise(*labels, ",", null_handling="skip")
+        tests[f] = pc.invert(pc.match_substring_regex(fields[f], EXTRA_OK))
+    labels = [pc.if_else(pc.fill_null(bad, False), f, "") for f, bad in tests.items()]
+    return pc.binary_join_element_wise(*labels, ",")
 
 
 def load_lines(lines: DataFrame, languages: DataFrame, *, id_col: str = "line_id", line_col: str = "raw_line", language_id: str = "id") -> DataFrame:
@@ -142,8 +139,7 @@ def load_lines(lines: DataFrame, languages: DataFrame, *, id_col: str = "line_id
             bad = failing_cells(fields)
             loaded = pa.array([r is None for r in reasons])
             out: dict[str, pa.Array] = {"_id": batch.column(0), "_structure": pa.array(reasons, pa.string()), "_cells": pc.if_else(loaded, bad, "")}
-            out |= {f: fields.column(f).combine_chunks() for f in FIELDS}
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out | fields)
 
     schema = StructType([StructField("_id", id_type), StructField("_structure", StringType()), StructField("_cells", StringType()), *[StructField(f, StringType()) for f in FIELDS]])
     parsed = source.mapInArrow(run, schema)
