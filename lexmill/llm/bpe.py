@@ -151,9 +151,9 @@ class Encoder:
         new: set[str | tuple[str]] = set()
         for chunks in cut:
             new.update(chunks)
-        new -= self.index.keys()
-        if new:
-            self._learn(list(new))
+        unknown = [c for c in new if c not in self.index]
+        if unknown:
+            self._learn(unknown)
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         lengths = self.lengths[which]
         ids = self.flat[_ranges(self.starts[which], lengths)]

@@ -56,8 +56,9 @@ class WordHashes:
             new.update(ws)
         if len(self.known) > _MEMORY:
             self.known.clear()
-        for w in new - self.known.keys():
-            self.known[w] = digest(w.encode("utf-8", "surrogatepass"))
+        for w in new:
+            if w not in self.known:
+                self.known[w] = digest(w.encode("utf-8", "surrogatepass"))
         counts = np.fromiter(map(len, words), np.int64, len(words))
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum())), counts
 
