@@ -31,7 +31,7 @@ def char_ngrams(text: ColumnLike, longest: int = 3, include_last: bool = False)
         sizes = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: n < F.length(w) + extra)
         return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + extra), lambda j: F.struct(n.alias("n"), F.substr(w, j, n).alias("gram")))))
 
-    return F.filter(F.flatten(F.transform(words, grams)), lambda g: g["gram"].rlike(r"^\p{L}+$"))
+    return F.filter(F.flatten(F.transform(words, grams)), lambda g: g["gram"].rlike(r"^\p{L}+\z"))
 
 
 def ngram_counts(texts: DataFrame, text: str, longest: int = 3, include_last: bool = False) -> DataFrame:
@@ -52,30 +52,29 @@ def lemmas(tokens: DataFrame, token: str, vocabulary: DataFrame, word: str = "wo
     vocab = vocabulary.select(F.col(word).alias("_v")).where("_v is not null").distinct()
     base = tokens.select(F.col(token).alias("token")).where("token is not null").distinct().withColumn("_c", F.lower(strip_marks("token", TOKEN_PUNCTUATION + "\n")))
 
-    def without(c: Column, prefix: str, suffix: str) -> Column:
-        if prefix:
-            return F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
-        return F.when(c.endswith(suffix), F.substr(c, F.lit(1), F.length(c) - len(suffix))).otherwise(c)
-
-    # All forms the rules can ask for: each step either strips or not.
-    forms = F.array("_c")
-    for prefix, suffix in SEQUENTIAL:
-        forms = F.array_union(forms, _each(forms, prefix, suffix, without))
-    for suffix in LAST_RESORT:
-        forms = F.array_union(forms, _each(forms, "", suffix, without))
+    def without(c: Column, affix: Column) -> Column:
+        prefix, suffix = affix["prefix"], affix["suffix"]
+        return (
+            F.when((prefix != "") & F.startswith(c, prefix), F.substr(c, F.length(prefix) + 1))
+            .when((suffix != "") & F.endswith(c, suffix), F.substr(c, F.lit(1), F.length(c) - F.length(suffix)))
+            .otherwise(c)
+        )
+
+    # The affixes are folded over as data: spelled out step by step the plan would double with each.
+    affixes = lambda pairs: F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(s).alias("suffix")) for p, s in pairs])
+    last_resort = affixes([("", s) for s in LAST_RESORT])
+    every = F.concat(affixes(SEQUENTIAL), last_resort)
+    forms = F.aggregate(every, F.array("_c"), lambda acc, a: F.array_union(acc, F.transform(acc, lambda c: without(c, a))))
     asked = base.select("token", "_c", F.explode(forms).alias("_v"))
     known = asked.join(vocab, "_v").groupBy("token").agg(F.collect_set("_v").alias("_known"))
-    out = base.join(known, "token", "left").withColumn("_known", F.coalesce("_known", F.array().cast("array<string>")))
-    isin = lambda c: F.exists("_known", lambda k: k == c)
-    for prefix, suffix in SEQUENTIAL:
-        out = out.withColumn("_c", F.when(isin(without(F.col("_c"), prefix, suffix)), without(F.col("_c"), prefix, suffix)).otherwise(F.col("_c")))
-    last = [F.when(isin(without(F.col("_c"), "", s)), without(F.col("_c"), "", s)) for s in LAST_RESORT]
-    lemma = F.when(F.col("_c") == "", F.lit(None).cast("string")).when(isin(F.col("_c")), F.col("_c")).otherwise(F.coalesce(*last))
-    return out.select("token", lemma.alias("lemma"))
-
-
-def _each(forms: Column, prefix: str, suffix: str, without) -> Column:
-    return F.transform(forms, lambda c: without(c, prefix, suffix))
+    out = base.join(known, "token", "left").where("_known is not null")
+    isin = lambda c: F.array_contains("_known", c)
+    stripped = F.aggregate(affixes(SEQUENTIAL), F.col("_c"), lambda c, a: F.when(isin(without(c, a)), without(c, a)).otherwise(c))
+    out = out.select("token", "_c", "_known", stripped.alias("_s"))
+    tries = F.filter(F.transform(last_resort, lambda a: without(F.col("_s"), a)), isin)
+    lemma = F.when(F.col("_c") == "", F.lit(None).cast("string")).when(isin(F.col("_s")), F.col("_s")).otherwise(F.get(tries, 0))
+    found = out.select("token", lemma.alias("lemma"))
+    return base.select("token").join(found, "token", "left")
 
 
 def merge_words(raw: list[str], lemma_of: dict[str, str | None], entries: set[str]) -> list[str]:

@@ -37,8 +37,9 @@ def under(synsets: DataFrame, topics: DataFrame, closure: DataFrame, synset: str
     shared = [c for c in topics.columns if c != topic and c in synsets.columns]
     selves = synsets.select(F.col(synset).alias("node"), F.col(synset).alias("ancestor")).distinct()
     reach = closure.select("node", "ancestor").unionByName(selves)
-    good = reach.join(topics.select(*shared, F.col(topic).alias("ancestor")).distinct(), "ancestor").select("node", *shared).distinct()
-    condition = [synsets[synset] == good["node"], *[synsets[c] == good[c] for c in shared]]
+    named = topics.select(*[F.col(c).alias(f"_{c}") for c in shared], F.col(topic).alias("ancestor")).distinct()
+    good = reach.join(named, "ancestor").select("node", *[f"_{c}" for c in shared]).distinct()
+    condition = [F.col(synset) == F.col("node"), *[F.col(c) == F.col(f"_{c}") for c in shared]]
     return synsets.join(good, condition, "left_semi")
 
 

@@ -27,7 +27,7 @@ NEVER_PART = ".-+_':()"
 QUOTES = {'"': '"', "“": "”"}
 
 #: Java pattern of a field that holds one value by its characters alone.
-SINGLE_VALUE = r"^[\p{L}\p{M}\p{Nd}\p{Zs}.\-+_':]+$"
+SINGLE_VALUE = r"^[\p{L}\p{M}\p{Nd}\p{Zs}.\-+_':]+\z"
 
 
 def _parts(ch: str) -> bool:

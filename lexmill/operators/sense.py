@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import gloss as G
 from lexmill.functions import text as T
+from lexmill.session import cut_lineage
 
 # Other parts of speech under which a gloss is looked up too; the second table
 # holds only for words with one dictionary part of speech.
@@ -143,7 +144,7 @@ def align_senses(words: DataFrame, translations: DataFrame, senses: DataFrame, m
     Glosses that begin with an underscore, and those that no part of speech finds, come out
     as stubs without a sense; so do words without a gloss (only the word).
     """
-    rows = lookups(words)
+    rows = cut_lineage(lookups(words))  # parsed once, used by hits, misses and stubs
     named = rows.where(~F.startswith("eng_word", F.lit("_")))
     evidence = translations.groupBy("word", "pos", "sense").agg(*[F.array_sort(F.collect_set(F.when(F.col("lang") == c, F.col("tr_word")))).alias(f"_{c}") for c in ("es", "eo")])
     keyed = evidence.withColumnsRenamed({"word": "eng_word"})
@@ -197,7 +198,7 @@ def eng_with_senses(rows: DataFrame) -> DataFrame:
 
 def extension_table(words: DataFrame, rows: DataFrame, translations: DataFrame, langs: Sequence[str], notes: DataFrame | None = None) -> DataFrame:
     """The wide table: word, eng_with_senses and one column for each of ``langs``; words without accepted senses have empty cells."""
-    good = accepted(rows)
+    good = cut_lineage(accepted(rows))
     wide = extension_cells(good, translations, notes).groupBy("word").pivot("lang", list(langs)).agg(F.first("cell"))
     return words.select("word").distinct().join(eng_with_senses(good), "word", "left").join(wide, "word", "left").na.fill("")
 

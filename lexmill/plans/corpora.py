@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
@@ -85,19 +85,25 @@ def _lemma_sql() -> str:
         at = f"c{i}"
     last = [f"(case when ends_with({at}, '{s}') then left({at}, length({at}) - {len(s)}) else {at} end)" for s in corpus.LAST_RESORT]
     tries = " ".join(f"when {x} in (select word from v) then {x}" for x in last)
-    return f"with v as (select distinct word from word_list where word is not null), {_BARE}, {', '.join(steps)} select token, case when {at} = '' then null when {at} in (select word from v) then {at} {tries} end as lemma from s{len(steps)}"
+    return f"with v as (select word from word_list where word is not null union select unnest(regexp_extract_all(lower(translationeng), '\\p{{L}}+')) from word_list), {_BARE}, {', '.join(steps)} select token, case when {at} = '' then null when {at} in (select word from v) then {at} {tries} end as lemma from s{len(steps)}"
+
+
+def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of the list and those of its glosses."""
+    w = table(spark, sf, "word_list")
+    return w.select("word").unionByName(w.select(F.explode(T.letter_tokens("translationeng")).alias("word"))).where("word is not null").distinct()
 
 
 @query(_lemma_sql())
 def c_lemmas(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "documents").where("text is not null").select(F.explode(T.tokens_by_blank("text")).alias("t"))
-    return corpus.lemmas(t, "t", table(spark, sf, "word_list"))
+    return corpus.lemmas(t, "t", vocabulary(spark, sf))
 
 
 @query()
 def c_merged_entries(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences("text")).alias("no", "s"))
-    return corpus.merged_entries(d, ["doc_id", "no"], "s", table(spark, sf, "word_list"))
+    return corpus.merged_entries(d, ["doc_id", "no"], "s", vocabulary(spark, sf))
 
 
 _SENT = rf"sent as (select doc_id, unnest(v) || '.' as s, generate_subscripts(v, 1) - 1 as no from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\n]'), lambda s: {strip('s')}), lambda s: s <> '') as v from documents where text is not null))"
@@ -324,13 +330,11 @@ def w_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy("block_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places"))
 
 
-@query("select l_shipmode_, l_orderkey, revenue from (select l_returnflag as l_shipmode_, l_orderkey, round(sum(l_extendedprice), 2) as revenue, row_number() over (partition by l_returnflag order by round(sum(l_extendedprice), 2) desc, l_orderkey) as k from lineitem group by all) where k <= 20")
+@query("select flag, l_orderkey, revenue from (select *, row_number() over (partition by flag order by revenue desc, l_orderkey) as k from (select l_returnflag as flag, l_orderkey, round(sum(l_extendedprice), 2) as revenue from lineitem group by all)) where k <= 20")
 def w_top_n(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty largest orders of each flag."""
-    from pyspark.sql import Window
-
-    per = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("l_shipmode_"), "l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
-    w = Window.partitionBy("l_shipmode_").orderBy(F.desc("revenue"), "l_orderkey")
+    per = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), "l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+    w = Window.partitionBy("flag").orderBy(F.desc("revenue"), "l_orderkey")
     return per.withColumn("k", F.row_number().over(w)).where("k <= 20").drop("k")
 
 

@@ -606,7 +606,6 @@ def alignment(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     records = readers.parse_dictionary(table(spark, sf, "raw_wiktextract"))
     t = readers.translations(records)
     w = _entries(spark, sf).select("word", "wordclass", "eng", "spa", "epo", "tags", "antonyms")
-    # Some of the dictionary's words stand in as glosses, so that the joins have hits.
     return w, t, sense.align_senses(w, t, readers.senses(records, ["rec_id"]), readers.markings(marking_rows(spark, sf), "row_id"))
 
 
