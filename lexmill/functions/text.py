@@ -134,11 +134,11 @@ def strip_gender(col: ColumnLike) -> Column:
 
 
 def parse_cell(col: ColumnLike) -> Column:
-    """Groups of struct(text, gender) of an extension cell; null, empty and ``False`` cells have none."""
+    """Groups of struct(text, gender) of an extension cell; empty groups keep their place; null, empty and ``False`` cells have none."""
     c = strip(col)
     item = lambda x: F.struct(strip_gender(x).alias("text"), gender(x).alias("gender"))
-    group = lambda g: F.filter(F.transform(F.split(g, ","), lambda x: item(strip(x))), lambda s: s["text"] != "")
-    groups = F.filter(F.transform(F.split(c, ";"), lambda g: group(strip(g))), lambda g: F.size(g) > 0)
+    group = lambda g: F.filter(F.transform(F.split(g, ", "), lambda x: item(strip(x))), lambda s: s["text"] != "")
+    groups = F.transform(F.split(c, "; "), group)
     return F.when((c == "") | (c == "False") | c.isNull(), F.array().cast("array<array<struct<text:string,gender:string>>>")).otherwise(groups)
 
 
@@ -265,8 +265,9 @@ def first_match(col: ColumnLike, *patterns: str) -> Column:
 # Patterns of image links in pages, by page kind and in order of preference.
 LINK_PATTERNS = {
     "general": [r'(?s)<td[^>]*class="infobox-image"[^>]*>.*?<a[^>]*href="([^"]+)"', r'(?s)<table[^>]*class="infobox biota"[^>]*>.*?<a[^>]*href="([^"]+)"', r'(?s)<figure[^>]*class="mw-default-size"[^>]*>.*?<a[^>]*href="([^"]+)"'],
-    "biota": [r'(?s)<table[^>]*class="infobox biota"[^>]*>.*?<a[^>]*class="mw-file-description"[^>]*href="([^"]+)"'],
-    "element": [r'(?s)<table[^>]*class="[^"]*infobox[^"]*"[^>]*>.*?<img[^>]*src="([^"]+)"'],
+    "biota": [r'(?s)<figure[^>]*>.*?<a[^>]*href="([^"]+)"'],
+    "element": [r'(?s)<td[^>]*class="infobox-image"[^>]*>.*?<a[^>]*href="([^"]+)"'],
+    "file": [r'<a[^>]*class="mw-thumbnail-link"[^>]*href="([^"]+)"', r'(?s)<div[^>]*class="mw-content-ltr fullMedia"[^>]*>.*?<a[^>]*href="([^"]+)"'],
 }
 
 
@@ -275,7 +276,26 @@ def page_link(html: ColumnLike, kind: str = "general") -> Column:
     return first_match(html, *LINK_PATTERNS[kind])
 
 
-def nth_link(html: ColumnLike, *choices: int) -> Column:
-    """The n-th image link of a page, for the first n of ``choices`` (from 1) that exists."""
-    links = F.regexp_extract_all(_c(html), F.lit(r'<a[^>]*class="mw-file-description"[^>]*href="([^"]+)"'), 1)
-    return F.coalesce(*[F.get(links, n - 1) for n in choices])
+def country_map_link(html: ColumnLike) -> Column:
+    """Link of the third image of a country's box, of the second if there are no three."""
+    box = F.regexp_extract(_c(html), r'(?s)<table[^>]*class="infobox ib-country vcard"[^>]*>(.*?)</table>', 1)
+    links = F.regexp_extract_all(box, F.lit(r'<a[^>]*href="([^"]+)"[^>]*>\s*<img'), 1)
+    return F.coalesce(F.get(links, 2), F.get(links, 1))
+
+
+def plain_file_name(name: ColumnLike, suffix: str) -> Column:
+    """Whether a name is small letters and underscores with the suffix, and so safe to serve."""
+    return _c(name).rlike(r"^[a-z_]+\Q." + suffix + r"\E\z")
+
+
+def emphasise_phrase(text: ColumnLike, phrase: ColumnLike) -> Column:
+    """Every whole-word occurrence of a phrase between ``**``, whatever its case."""
+    pattern = F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])(\Q"), _c(phrase), F.lit(r"\E)(?![\p{L}\p{N}])"))
+    return F.regexp_replace(_c(text), pattern, F.lit("**$1**"))
+
+
+def emphasise_first(text: ColumnLike, phrases: ColumnLike) -> Column:
+    """The first of several phrases (an array) that stands in the text, emphasised; the text as it is if none does."""
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    fits = F.filter(_c(phrases), lambda p: (p != "") & low.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " "), F.lit(" "))))
+    return F.when(F.size(fits) > 0, emphasise_phrase(text, F.get(fits, 0))).otherwise(_c(text))

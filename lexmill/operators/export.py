@@ -14,8 +14,25 @@ from lexmill.functions import text as T
 # pronoun = gender code; foreign gender marker = code; word class = tags of its groups.
 PRONOUN_GENDERS = {"te": "ut", "to": "nt", "mante": "m", "femte": "f"}
 FOREIGN_GENDERS = {"m": "m", "f": "f", "n": "nt"}
-CLASS_TAGS = {"n": ["n"], "f": ["vblex"], "b": ["n", "vblex"], "t": ["adj", "adv"], "s": ["adj"], "m": ["adv"], "su n": ["np"], "su t": ["adj"], "p": ["pr"], "l": ["cnjcoo"], "num": ["num"], "pn": ["prn"], "d": ["det"], "il": ["ij"]}
-FUNCTION_CLASSES = ["d", "il", "l", "num", "p", "par", "pn", "xp"]
+CLASS_TAGS = {
+    "n": ["n"],
+    "f": ["vblex"],
+    "f.sah": ["vbmod"],
+    "b": ["n", "vblex"],
+    "t": ["adj", "adv"],
+    "s": ["adj"],
+    "p jm": ["adv"],
+    "m": ["adv"],
+    "su n": ["np"],
+    "su t": ["adj"],
+    "il": ["ij"],
+    "l": ["cnjsub"],
+    "num": ["num"],
+    "p": ["pr"],
+    "pn": ["prn"],
+    "d": ["det"],
+}
+FUNCTION_CLASSES = ["p", "d", "l"]
 NO_GENDER = "GD"
 
 
@@ -49,14 +66,15 @@ def dictionary_lines(words: DataFrame, languages: Sequence[str], pronouns: DataF
         w = w.join(pronouns.select("word", F.col("pronoun").alias("_p")), "word", "left")
     else:
         w = w.withColumn("_p", F.lit(None).cast("string"))
-    tags = F.try_element_at(G.list_map(CLASS_TAGS), G.class_key("wordclass"))
+    known = G.list_map(CLASS_TAGS)
+    tags = F.coalesce(F.try_element_at(known, F.col("wordclass")), F.try_element_at(known, G.class_key("wordclass")))
     base = w.select("*", genders(F.col("_p")).alias("_g"), F.posexplode(tags).alias("_i", "tag"))
     left = T.xml_blanks("word")
     noun = F.col("tag").isin("n", "np")
-    mono_noun = F.transform("_g", lambda g: F.concat(F.lit('<e lm="'), F.col("word"), F.lit('"><i>'), left, F.when(g == NO_GENDER, F.lit('</i><par n="__n"/></e>')).otherwise(F.concat(F.lit('</i><par n="__n_'), g, F.lit('"/></e>')))))
-    mono_other = F.array(F.concat(F.lit("<e><p><l>"), F.col("word"), F.lit("</l><r>"), F.col("word"), F.lit('<s n="'), F.col("tag"), F.lit('"/></r></p></e>')))
+    mono_noun = F.transform("_g", lambda g: F.concat(F.lit('<e lm="'), F.col("word"), F.lit('">       <i>'), left, F.when(g == NO_GENDER, F.lit('</i><par n="__n"/></e>')).otherwise(F.concat(F.lit('</i><par n="__n_'), g, F.lit('"/></e>')))))
+    mono_other = F.array(F.concat(F.lit("<e><p><l>"), F.col("word"), F.lit("</l>       <r>"), F.col("word"), F.lit('<s n = "'), F.col("tag"), F.lit('"/></r></p></e>')))
     out = base.select(F.lit("mono").alias("lang"), "word", F.explode(F.when(noun, mono_noun).otherwise(mono_other)).alias("line"))
-    mark = lambda c: F.concat(F.lit('<s n="'), c, F.lit('"/>'))
+    mark = lambda c: F.concat(F.lit('<s n = "'), c, F.lit('"/>'))
     for lang in languages:
         groups = T.split_groups(T.strip_italic(lang))
         items = F.flatten(F.transform(F.split(F.get(groups, F.col("_i")), ", "), lambda g: F.when(noun, T.expand_parentheses(T.strip(g))).otherwise(F.array(T.strip(g)))))
@@ -66,7 +84,7 @@ def dictionary_lines(words: DataFrame, languages: Sequence[str], pronouns: DataF
         foreign = F.when(noun & (F.size(marked) > 0), F.transform(marked, lambda m: F.try_element_at(G.string_map(FOREIGN_GENDERS), m))).otherwise(F.array(F.lit(None).cast("string")))
         own = own.withColumn("f", F.explode(foreign)) if lang in gendered else own.withColumn("f", F.lit(None).cast("string"))
         right = T.xml_blanks(F.regexp_replace("item", "<.*?>", "")) if lang in gendered else T.xml_blanks("item")
-        line = F.concat(F.lit("<e><p><l>"), left, mark(F.col("tag")), F.coalesce(mark(F.col("g")), F.lit("")), F.lit("</l><r>"), right, mark(F.col("tag")), F.coalesce(mark(F.col("f")), F.lit("")), F.lit("</r></p></e>"))
+        line = F.concat(F.lit("<e><p><l>"), F.when(noun, left).otherwise(F.col("word")), mark(F.col("tag")), F.coalesce(mark(F.col("g")), F.lit("")), F.lit("</l>   <r>"), right, mark(F.col("tag")), F.coalesce(mark(F.col("f")), F.lit("")), F.lit("</r></p></e>"))
         out = out.unionByName(own.select(F.lit(lang).alias("lang"), "word", line.alias("line")))
     return out
 
@@ -77,6 +95,12 @@ def _slot(glosses: Column, types: Sequence[str]) -> Column:
     return F.coalesce(T.bold_html(F.try_element_at(F.transform(found, lambda g: g["gloss"]), F.lit(-1))), F.lit(""))
 
 
+def card_pos(pos: Column) -> Column:
+    """Name of a part of speech on a card."""
+    words = F.replace(F.lower(pos), F.lit("_"), F.lit(" "))
+    return F.when(pos == "VERBAL_ADVERB", F.lit("Verbal-Adverb")).otherwise(F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2))))
+
+
 CARD_COLUMNS = (
     "word stressed pos1 pos2 pos3 meaning1 meaning2 meaning3 animate_adjective inanimate_adjective transitive echo_transitive intransitive copula image image_source nsfw second_image second_image_source animation animation_source "
     "anaphor other_anaphor antonyms example example_cloze example_translation second_example second_example_cloze second_example_translation third_example third_example_cloze third_example_translation video video_codec audio audio_source audio_codec audio_label tags"
@@ -128,7 +152,7 @@ def card_rows(ranking: DataFrame, words: DataFrame, *, pronouns: DataFrame | Non
         "tags": tags,
     }
     for i in range(3):
-        made[f"pos{i + 1}"] = text(F.get(F.transform(plain, lambda g: g["pos"]), i))
+        made[f"pos{i + 1}"] = text(F.get(F.transform(plain, lambda g: card_pos(g["pos"])), i))
         made[f"meaning{i + 1}"] = text(T.bold_html(F.get(F.transform(plain, lambda g: g["gloss"]), i)))
     return r.select("rank", *[made.get(c, F.lit("")).alias(c) for c in CARD_COLUMNS])
 
@@ -143,16 +167,22 @@ def card_html(picture: Column, nsfw: Column, example: Column, translation: Colum
 def page_candidates(words: DataFrame, mode: str, elements: DataFrame | None = None) -> DataFrame:
     """(word, page): words whose page is worth a look, by mode.
 
-    ``general``: two parts of speech and one gloss group; ``bio``: class ``b`` and a last gloss
-    between underscores; ``atomic``: a last gloss that is an element's name.
+    ``general``: two parts of speech and one gloss in the first group; ``bio``: first class ``b``
+    and a last gloss of the first group with underscores at an end; ``atomic``: one that is an
+    element's name. Annotations count as plain parentheses.
     """
-    glosses = T.split_items_strict(T.strip_italic("eng"))
-    w = words.where("eng is not null").withColumn("_last", T.strip(F.element_at(glosses, -1)))
+    plain = F.replace(F.replace("eng", F.lit("(_"), F.lit("(")), F.lit("_)"), F.lit(")"))
+    glosses = T.split_items_strict(T.split_groups(plain)[0])
+    classes = F.split("wordclass", "; ")
+    keys = F.transform(classes, lambda c: F.when(F.startswith(c, F.lit("b.")), F.lit("b")).otherwise(c))
+    n_pos = F.aggregate(keys, F.lit(0), lambda n, k: n + F.coalesce(F.size(G.class_pos(k)), F.lit(0)))
+    w = words.where("eng is not null").withColumns({"_first": T.strip(glosses[0]), "_last": T.strip(F.element_at(glosses, -1))})
     if mode == "general":
-        return w.where((F.size(G.class_pos("wordclass")) == 2) & ~F.contains("eng", F.lit("; ")) & ~F.contains("eng", F.lit(", "))).select("word", F.col("_last").alias("page"))
+        return w.where((n_pos == 2) & (F.size(glosses) == 1)).select("word", F.col("_first").alias("page"))
     if mode == "bio":
-        return w.where((F.col("wordclass") == "b") & F.col("_last").rlike("^_.+_$")).select("word", F.replace("_last", F.lit("_"), F.lit("")).alias("page"))
+        bare = F.btrim("_last", F.lit("_"))
+        return w.where((classes[0] == "b") & (bare != F.col("_last"))).select("word", bare.alias("page"))
     if mode == "atomic" and elements is not None:
-        names = elements.select(F.lower("element").alias("page")).distinct()
-        return w.withColumn("page", F.lower("_last")).join(F.broadcast(names), "page").select("word", "page")
+        names = elements.select(F.col("element").alias("page")).distinct()
+        return w.withColumn("page", F.col("_last")).join(names, "page").select("word", "page")
     raise ValueError(f"unknown mode {mode!r}")

@@ -7,10 +7,68 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.gloss import lists, rows
 from lexmill.session import cut_lineage
 
 # Overlap wanted for 0, 1, 2, ... query words; the last holds for more.
 THRESHOLDS = [0, 1, 2, 2]
+# Topic of derived nouns by suffix (in order), topics and classes of nouns by tag, as interlingual ids.
+SUFFIX_TOPICS = """
+dom = i53558
+ya = i35547
+tim = i69080
+sa = i69527
+ismo = i68061
+krasi = i35610
+tul = i55130
+kamer = i58265
+ista = i88069
+yen = i35561
+xey = i35549
+kaxa = i35546
+lari = i35589
+kef = i88364
+ente = i35561
+"""
+TAG_TOPICS = """
+hewan = i35563
+piu = i43203
+basa = i69527
+yamxey = i76470
+sabzi = i35564, i105484
+planta = i35564, i105484
+bio = i35552
+tul = i55130, i35573
+fruta = i105676
+jismulogi = i64399
+futru = i105042
+gluxey = i78658
+mubile = i54111
+dom = i53558
+klima = i97626
+figura = i35581
+kimikali monlari = i113874
+musikatul = i56458
+labas = i52057, i55130
+calyo = i52319
+materyal = i113651
+petra = i114224, i115285, i114036
+hoxinlyo = i78162, i35564
+"""
+TAG_CLASSES = """
+daygeo = i85253
+dexa = i81888
+"""
+
+
+def topic_tables(synsets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The suffix and tag tables that ``suffix_filter`` and ``tag_filter`` take, with the synsets (synset_id, ili) of their ids."""
+    suffixes = [(k, "n", v, i) for i, (k, v) in enumerate(rows(SUFFIX_TOPICS).items())]
+    tags = [(k, "n", kind, ili) for table, kind in ((TAG_TOPICS, "hypernym"), (TAG_CLASSES, "instance_of")) for k, v in lists(table).items() for ili in v]
+    spark = synsets.sparkSession
+    ids = synsets.select("ili", F.col("synset_id").alias("topic_id"))
+    a = spark.createDataFrame(suffixes, "suffix string, pos string, ili string, ord int").join(ids, "ili").drop("ili")
+    return a, spark.createDataFrame(tags, "tag string, pos string, kind string, ili string").join(ids, "ili").drop("ili")
 
 
 def ancestors(edges: DataFrame, child: str = "src", parent: str = "dst", max_rounds: int = 64) -> DataFrame:

@@ -131,6 +131,12 @@ def flagged(words: DataFrame, members: DataFrame, flag: str, word: str = "word")
     return words.join(m, word, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def with_files(words: DataFrame, files: DataFrame, flag: str, suffix: str, word: str = "word", path: str = "path") -> DataFrame:
+    """``words`` with a boolean for a file named like the word in a listing of paths."""
+    names = files.select(F.regexp_extract(path, r"([^/]+)\Q." + suffix + r"\E\z", 1).alias(word)).where(F.col(word) != "")
+    return flagged(words, names, flag, word)
+
+
 def attach(words: DataFrame, sides: dict[str, DataFrame], word: str = "word", order: str | None = None) -> DataFrame:
     """Left joins with the first row of each side table, its columns as one struct column; sides of a proven size are broadcast."""
     out = words

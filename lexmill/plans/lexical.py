@@ -156,7 +156,7 @@ def t_default_pos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-with g as (select ext_id, list_filter(list_transform(string_split(deu, ';'), lambda g: list_filter(string_split(g, ','), lambda x: trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) <> '')), lambda g: len(g) > 0) as v from menalari_extension where deu is not null and trim(deu) not in ('', 'False')),
+with g as (select ext_id, list_transform(string_split(trim(deu), '; '), lambda g: list_filter(string_split(g, ', '), lambda x: trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) <> '')) as v from menalari_extension where deu is not null and trim(deu) not in ('', 'False')),
 h as (select ext_id, unnest(v) as i, generate_subscripts(v, 1) - 1 as group_no from g),
 t as (select ext_id, group_no, unnest(i) as x, generate_subscripts(i, 1) - 1 as item_no from h)
 select ext_id, group_no::int as group_no, item_no::int as item_no, trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) as text_, nullif(regexp_extract(x, '<([mfn])>', 1), '') as gender from t
@@ -648,6 +648,13 @@ def e_cards(spark: SparkSession, sf: str) -> DataFrame:
     return export.card_rows(ranking, w)
 
 
-@query(f"with {WORDS} select word, {strip(r"regexp_replace(translationeng, '\(_.*?_\)', '', 'g')")} as page from words where not contains(translationeng, '; ') and not contains(translationeng, ', ') and wordclass in ({sql_list(k for k, v in G.lists(G.WORD_CLASSES).items() if len(v) == 2)})")
+_TWO = sql_list(k for k, v in G.lists(G.WORD_CLASSES).items() if len(v) == 2)
+_ONE = sql_list(k for k, v in G.lists(G.WORD_CLASSES).items() if len(v) == 1)
+
+
+@query(f"""
+with {WORDS}, p as (select word, string_split(wordclass, '; ') as k, string_split({strip("replace(replace(translationeng, '(_', '('), '_)', ')')")}, '; ')[1] as g from words where translationeng is not null and wordclass is not null)
+select word, {strip('g')} as page from p where not contains(g, ', ') and list_sum(list_transform(k, lambda c: case when starts_with(c, 'b.') or c in ({_TWO}) then 2 when c in ({_ONE}) then 1 else 0 end)) = 2
+""")
 def e_pages(spark: SparkSession, sf: str) -> DataFrame:
     return export.page_candidates(_entries(spark, sf), "general")

@@ -83,9 +83,16 @@ def test_legacy(ev):
 
 
 def test_scripts(ev):
-    assert [ev(S.stress_word, w) for w in ("globasa", "fe", "basan", "ba")] == ["globása", "fe", "basán", "bá"]
+    assert [ev(S.stress_word, w) for w in ("lobasa", "fe", "basan", "ba")] == ["lobása", "fe", "basán", "bá"]
     assert ev(S.latin_stressed, "ba") == "ba" and ev(S.stress_sentence, "ba!") == "ba!"
-    assert ev(S.cyrillic, "yam") == "ям" and ev(S.cyrillic, "globasa") == "глоба́са"
+    assert ev(S.cyrillic, "yam") == "ям" and ev(S.cyrillic, "lobasa") == "лоба́са"
     assert ev(lambda c: S.convert_sentence(c, "Cyrillic"), "yusu, yo!") == "ю́су, йо!"
     assert ev(S.featural, "rrr") == "\ue2ce\ue2db"
     assert ev(T.syllables, "basa -ka un") == 3
+
+
+def test_emphasis_and_names(ev):
+    assert ev(lambda t: T.emphasise_phrase(t, F.lit("red fox")), "A Red fox, redfox") == "A **Red fox**, redfox"
+    assert ev(lambda t: T.emphasise_first(t, F.array(F.lit("owl"), F.lit("fox"))), "One fox.") == "One **fox**."
+    assert ev(lambda t: T.emphasise_first(t, F.array(F.lit("owl"))), "One fox.") == "One fox."
+    assert ev(lambda n: T.plain_file_name(n, "ogg"), "ka_sa.ogg") and not ev(lambda n: T.plain_file_name(n, "ogg"), "../x.ogg")

@@ -115,6 +115,9 @@ def test_graph(spark):
     assert out(graph.tag_filter(cand, tags, topics, closure, instances), "word") == [("ya",)]
     th = spark.range(10).select(graph.threshold(F.col("id").cast("int")).alias("t")).collect()
     assert [r["t"] for r in th] == [0, 1, 2, 2, 2, 2, 2, 2, 2, 2]
+    synsets = spark.createDataFrame([("s7", "i53558"), ("s8", "i85253")], "synset_id string, ili string")
+    by_suffix, by_tag = graph.topic_tables(synsets)
+    assert out(by_suffix, "suffix", "topic_id") == [("dom", "s7")] and out(by_tag, "tag", "kind", "topic_id") == [("daygeo", "instance_of", "s8"), ("dom", "hypernym", "s7")]
     rel = spark.createDataFrame([("s3", "antonym", "s4")], "src string, rel string, dst string")
     lem = spark.createDataFrame([("s4", "tent")], "synset_id string, lemma string")
     ant = spark.createDataFrame([("kasa", "tent")], "word string, lemma string")
@@ -166,7 +169,12 @@ def test_search(spark):
 def test_export(spark):
     w = word_rows(spark)
     lines = {(r["lang"], r["word"]): r["line"] for r in export.dictionary_lines(w.where("word = 'kasa'"), ["eng"]).collect()}
-    assert lines[("mono", "kasa")] == '<e lm="kasa"><i>kasa</i><par n="__n"/></e>'
+    assert lines[("mono", "kasa")] == '<e lm="kasa">       <i>kasa</i><par n="__n"/></e>'
+    assert '<e><p><l>kasa<s n = "n"/><s n = "GD"/></l>   <r>home<s n = "n"/></r></p></e>' in {r["line"] for r in export.dictionary_lines(w.withColumn("eng", F.regexp_replace("eng", "n: ", "")).where("word = 'kasa'"), ["eng"]).collect()}
+    pages = w.withColumn("eng", F.when(F.col("word") == "nan", F.lit("iron")).when(F.col("word") == "kasa", F.lit("x, _Felis_")).otherwise(F.col("eng")))
+    elements = spark.createDataFrame([("iron",)], "element string")
+    assert out(export.page_candidates(pages, "atomic", elements), "word", "page") == [("nan", "iron")]
+    assert out(export.page_candidates(pages.withColumn("wordclass", F.lit("b")), "bio"), "word", "page") == [("kasa", "Felis")]
     ranking = spark.createDataFrame([(1, "kasaidi", "A **kasaidi** b", "src", "An **x**"), (2, "devtest", None, None, None), (3, "zz", None, None, None)], "rank int, word string, example string, source string, english string")
     images = spark.createDataFrame([("kasaidi", "u.gif", "p")], "word string, direct_url string, source_page string")
     card = export.card_rows(ranking, w, images=images).collect()
