@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import ColumnLike, _c, expand_context, split_groups, strip
+from lexmill.functions.text import ColumnLike, _c, expand_context, let, split_groups, strip
 
 GLOSS = "struct<gloss:string,pos:string,verb_type:string,qualifier:string,affix_type:string>"
 
@@ -219,22 +219,30 @@ def annotation(segment: ColumnLike, table: str = ANNOTATIONS) -> Column:
     The longest known annotation before a colon counts; failing that a known annotation
     followed by a qualifier in parentheses and a colon.
     """
-    s = strip(segment)
-    low = F.lower(s)
     keys = sorted(rows(table), key=len, reverse=True)
-    known = F.regexp_extract(low, "^(" + "|".join(map(re.escape, keys)) + "):", 1)
-    base = F.coalesce(
-        *[
-            F.when(_c(F.regexp_extract(low, p, 1)).isin(*keys), F.struct(strip(F.regexp_extract(low, p, 1)).alias("base"), strip(F.regexp_extract(low, p, 2)).alias("qualifier")))
-            for p in (r"^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:", r"^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:")
-        ]
-    )
+    exact = "^(" + "|".join(map(re.escape, keys)) + "):"
+    qualified = [r"^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:", r"^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:"]
     none = F.lit(None).cast("string")
-    return (
-        F.when(known != "", F.struct(known.alias("prefix"), strip(F.substr(s, F.length(known) + 2)).alias("gloss"), F.nullif(F.regexp_extract(known, r"\(([^)]+)\)", 1), F.lit("")).alias("qualifier")))
-        .when(base.isNotNull(), F.struct(base["base"].alias("prefix"), strip(F.substr(s, F.instr(s, ":") + 1)).alias("gloss"), base["qualifier"].alias("qualifier")))
-        .otherwise(F.struct(none.alias("prefix"), s.alias("gloss"), none.alias("qualifier")))
-    )
+
+    def named(prefix: Column, gloss: Column, qualifier: Column) -> Column:
+        return F.named_struct(F.lit("prefix"), prefix, F.lit("gloss"), strip(gloss), F.lit("qualifier"), qualifier)
+
+    def base(low: Column) -> Column:
+        return F.coalesce(*[F.when(F.regexp_extract(low, p, 1).isin(*keys), F.named_struct(F.lit("base"), F.regexp_extract(low, p, 1), F.lit("qualifier"), strip(F.regexp_extract(low, p, 2)))) for p in qualified])
+
+    def read(s: Column) -> Column:
+        parts = F.named_struct(F.lit("known"), F.regexp_extract(F.lower(s), exact, 1), F.lit("base"), base(F.lower(s)))
+        return let(
+            parts,
+            lambda p: F.when(
+                p["known"] != "",
+                named(p["known"], F.substr(s, F.length(p["known"]) + 2), F.nullif(F.regexp_extract(p["known"], r"\(([^)]+)\)", 1), F.lit(""))),
+            )
+            .when(p["base"].isNotNull(), named(p["base"]["base"], F.substr(s, F.instr(s, ":") + 1), p["base"]["qualifier"]))
+            .otherwise(named(none, s, none)),
+        )
+
+    return let(strip(segment), read)
 
 
 def verb_class(word_class: ColumnLike) -> Column:
@@ -262,7 +270,8 @@ def class_pos(word_class: ColumnLike) -> Column:
 
 def _gloss(gloss: Column, pos: Column, verb: Column | None = None, qualifier: Column | None = None, affix: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(gloss.alias("gloss"), pos.alias("pos"), (none if verb is None else verb).alias("verb_type"), (none if qualifier is None else qualifier).alias("qualifier"), (none if affix is None else affix).alias("affix_type"))
+    values = {"gloss": gloss, "pos": pos, "verb_type": verb, "qualifier": qualifier, "affix_type": affix}
+    return F.named_struct(*[x for name, v in values.items() for x in (F.lit(name), none if v is None else v)])
 
 
 def _by_class(gloss: Column, place: Column, pos: Column) -> Column:
@@ -281,9 +290,8 @@ def parse_annotated(text: ColumnLike, word_class: ColumnLike) -> Column:
     pos = class_pos(cls)
     table = _entry_map(ANNOTATIONS)
 
-    def read(seg: Column) -> Column:
-        a = annotation(seg)
-        return F.struct(a["gloss"].alias("gloss"), a["qualifier"].alias("qualifier"), _look(table, a["prefix"]).alias("entries"), expand_context(a["gloss"]).alias("variants"))
+    def read(a: Column) -> Column:
+        return F.named_struct(F.lit("gloss"), a["gloss"], F.lit("qualifier"), a["qualifier"], F.lit("entries"), _look(table, a["prefix"]), F.lit("variants"), expand_context(a["gloss"]))
 
     def step(done: Column, seg: Column) -> Column:
         annotated = F.flatten(F.transform(seg["entries"], lambda e: F.transform(seg["variants"], lambda g: _gloss(g, e["pos"], refine(e["verb_type"], cls), seg["qualifier"], e["affix_type"]))))
@@ -291,33 +299,32 @@ def parse_annotated(text: ColumnLike, word_class: ColumnLike) -> Column:
         return F.concat(done, F.when(seg["entries"].isNotNull(), annotated).otherwise(plain)).cast(f"array<{GLOSS}>")
 
     empty = F.array().cast(f"array<{GLOSS}>")
-    parsed = F.aggregate(F.transform(split_groups(text), read), empty, step)
+    parsed = F.aggregate(F.transform(F.transform(split_groups(text), lambda g: annotation(g)), read), empty, step)
     return F.when(F.coalesce(strip(text), F.lit("")) == "", empty).otherwise(parsed)
 
 
 def alignment(glosses: Column) -> Column:
     """The first gloss of each (part of speech, verb type, affix type), in order."""
     key = lambda g: F.concat_ws("/", g["pos"], F.coalesce(g["verb_type"], F.lit("-")), F.coalesce(g["affix_type"], F.lit("-")))
-    keys = F.transform(glosses, key)
-    return F.filter(glosses, lambda g, i: F.array_position(keys, key(g)) == i + 1)
+    return let(F.transform(glosses, key), lambda keys: F.filter(glosses, lambda g, i: F.array_position(keys, key(g)) == i + 1))
 
 
 def parse_translation(text: ColumnLike, leading: Column, word_class: ColumnLike) -> Column:
     """Parsed glosses of another language: by its own annotation, else by the place in the leading language, else by the word class."""
     table = _entry_map(TRANSLATION_ANNOTATIONS)
-    aligned, pos = alignment(leading), class_pos(word_class)
-
-    def read(seg: Column, i: Column) -> Column:
-        s = strip(seg)
-        a = annotation(s, TRANSLATION_ANNOTATIONS)
-        entries = _look(table, a["prefix"])
-        own = F.transform(entries, lambda e: _gloss(a["gloss"], e["pos"], e["verb_type"], a["qualifier"], e["affix_type"]))
-        lead = F.get(aligned, i)
+    pos = class_pos(word_class)
+    empty = F.array().cast(f"array<{GLOSS}>")
+
+    def read(aligned: Column, a: Column, i: Column) -> Column:
+        # Without an annotation the gloss is the whole group.
+        entries, s, lead = _look(table, a["prefix"]), a["gloss"], F.get(aligned, i)
+        own = F.transform(entries, lambda e: _gloss(s, e["pos"], e["verb_type"], a["qualifier"], e["affix_type"]))
         placed = F.array(_gloss(s, lead["pos"], lead["verb_type"], lead["qualifier"], lead["affix_type"]))
-        return F.when(s == "", F.array().cast(f"array<{GLOSS}>")).when(entries.isNotNull(), own).when(i < F.size(aligned), placed).otherwise(F.array(_by_class(s, i, pos)))
+        return F.when(entries.isNotNull(), own).when(s == "", empty).when(i < F.size(aligned), placed).otherwise(F.array(_by_class(s, i, pos)))
 
-    empty = F.array().cast(f"array<{GLOSS}>")
-    return F.when(F.coalesce(strip(text), F.lit("")) == "", empty).otherwise(F.flatten(F.transform(split_groups(text), read)))
+    groups = F.transform(split_groups(text), lambda g: annotation(g, TRANSLATION_ANNOTATIONS))
+    parsed = let(alignment(leading), lambda aligned: F.flatten(F.transform(groups, lambda a, i: read(aligned, a, i))))
+    return F.when(F.coalesce(strip(text), F.lit("")) == "", empty).otherwise(parsed)
 
 
 def default_pos(word_class: ColumnLike) -> Column:

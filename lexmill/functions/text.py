@@ -7,7 +7,7 @@ the Unicode kind unless the name says otherwise; null in gives null out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def _c(col: ColumnLike) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(col: ColumnLike) -> Column:
     """Without the white space at both ends, of every Unicode kind."""
     return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
@@ -92,13 +97,15 @@ def expand_context(col: ColumnLike) -> Column:
     Short leaves the words out, long takes the parentheses off; leading ones come first.
     Parentheses that hold an underscore are annotations and do not count.
     """
-    c = _c(col)
-    full = squeeze(strip(F.regexp_replace(c, "[()]", "")))
-    pairs = []
-    for pattern in (_LEADING, _TRAILING):
-        short = strip(F.regexp_replace(c, pattern, ""))
-        pairs.append((c.rlike(pattern) & (short != "") & (full != "") & (short != full), F.array(short, full)))
-    return F.when(pairs[0][0], pairs[0][1]).when(pairs[1][0], pairs[1][1]).when(c.isNotNull(), F.array(c))
+
+    def variants(c: Column) -> Column:
+        full = squeeze(strip(F.regexp_replace(c, "[()]", "")))
+        lead, trail = (strip(F.regexp_replace(c, p, "")) for p in (_LEADING, _TRAILING))
+        forms = F.named_struct(F.lit("full"), full, F.lit("lead"), lead, F.lit("trail"), trail)  # names survive where aliases are cleaned away
+        use = lambda f, short, p: c.rlike(p) & (f[short] != "") & (f["full"] != "") & (f[short] != f["full"])
+        return let(forms, lambda f: F.when(use(f, "lead", _LEADING), F.array(f["lead"], f["full"])).when(use(f, "trail", _TRAILING), F.array(f["trail"], f["full"])).when(c.isNotNull(), F.array(c)))
+
+    return F.when(F.contains(_c(col), F.lit("(")), let(_c(col), variants)).when(_c(col).isNotNull(), F.array(_c(col)))
 
 
 def expand_parentheses(col: ColumnLike) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import gloss as G
 from lexmill.functions import text as T
 from lexmill.operators.rows import keep_first
-from lexmill.session import broadcast_if_small
+from lexmill.session import broadcast_if_small, cut_lineage
 
 SUGGESTIONS, SHORTEST_QUERY, EXAMPLES, LONGEST_PHRASE = 15, 2, 20, 5
 
@@ -205,7 +205,7 @@ def translation_groups(words: DataFrame, core: dict[str, str], extension: dict[s
     """
     parsed = words.withColumn("_e", G.parse_annotated("eng", "wordclass"))
     key = lambda g: F.struct(pos_name(g["pos"]).alias("pos"), verb_name(g["verb_type"]).alias("verb_type"))
-    groups = parsed.withColumn("_g", F.array_distinct(F.transform("_e", key)))
+    groups = cut_lineage(parsed.withColumn("_g", F.array_distinct(F.transform("_e", key))))  # parsed once, used for every language
     lead = groups.select("word", "_g", F.explode(F.transform("_e", lambda g: F.struct(key(g).alias("k"), g["gloss"].alias("text")))).alias("x"))
     if exclude is not None:
         lead = lead.withColumn("_x", F.col("x.text")).join(exclude.select("word", F.col("gloss").alias("_x")), ["word", "_x"], "left_anti").drop("_x")
