@@ -239,13 +239,12 @@ def h_drop_dominated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with t as (select distinct s_suppkey as k, s_nationkey as w from supplier), a as (select k, w from t where k % 3 = 0), i as (select k, w from t where k % 5 = 0), o as (select k, w from t where k % 7 = 0)
-select k, w, case when k % 7 = 0 then 'other' when k % 5 = 0 or k % 3 = 0 then 'applicable' else 'other' end as status from t
+select s_suppkey as k, s_nationkey as w, case when s_acctbal < 1000 then 'other' when s_acctbal < 3000 or s_acctbal > 6000 then 'applicable' else 'other' end as status from supplier
 """)
 def h_synset_status(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("w"))
-    marks = t.where("k % 5 = 0").withColumn("app", F.lit("s")).unionByName(t.where("k % 7 = 0").withColumn("app", F.lit(""))).withColumn("vetted", F.lit("v"))
-    return graph.synset_status(t, t.where("k % 3 = 0"), marks, ["k", "w"])
+    t = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("w"), "s_acctbal")
+    marks = t.where("s_acctbal < 3000").withColumn("app", F.when(F.col("s_acctbal") < 1000, "").otherwise("s")).withColumn("vetted", F.lit("v"))
+    return graph.synset_status(t, t.where("s_acctbal > 6000"), marks, ["k", "w"])
 
 
 def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -263,25 +262,28 @@ with d as (select * from dump_tc where c4 is not null and c6 is not null and c2
 en as (select c2 || '/' || c4 as ili, c2 as pos, list(distinct c1) as l from d group by all),
 es as (select c2 || '/' || c4 as ili, list(distinct c6) as l from d where c5 in ('qig', 'qct', 'qbb') group by all),
 ep as (select c2 || '/' || c4 as ili, arg_min(c6, row_id) as l from d where c5 = 'qcp' group by all),
-q as (select 'w' || c1 as word, 0 as group_no, c2 as pos, [c1] as eng, list(distinct c6) filter (where c5 in ('qig', 'qct', 'qbb')) as spa, list_sort(list(distinct c6) filter (where c5 = 'qcp')) as epo from d where starts_with(c1, 'ba') group by c1, c2),
+q as (select 'w' || c1 as word, 0 as group_no, c2 as pos, [c1] as eng, list(distinct c6) filter (where c5 in ('qig', 'qct', 'qbb')) as spa, list_sort(list(distinct c6) filter (where c5 = 'qcp')) as epo from d group by c1, c2),
 q2 as (select word, group_no, pos, eng, coalesce(spa, []) as spa, coalesce(epo, []) as epo from q),
-c as (select q2.*, en.ili, en.l as el, es.l as sl, ep.l as pl, len(list_intersect(en.l, eng)) > 0 as english, coalesce(len(list_intersect(es.l, spa)) > 0, false) as spanish from q2 join en using (pos) left join es using (ili) left join ep using (ili))
+eu as (select pos, ili, unnest(l) as w from en), su as (select en.pos, es.ili, unnest(es.l) as w from es join en using (ili)),
+h as (select distinct word, q2.pos, ili, true as english from (select word, pos, unnest(eng) as w from q2) q2 join eu using (pos, w) union all select distinct word, q2.pos, ili, false from (select word, pos, unnest(spa) as w from q2) q2 join su using (pos, w)),
+k as (select word, pos, ili, bool_or(english) as english from h group by all),
+c as (select q2.*, k.ili, en.l as el, es.l as sl, ep.l as pl, k.english, true as spanish from k join q2 using (word, pos) join en on en.ili = k.ili left join es on es.ili = k.ili left join ep on ep.ili = k.ili)
 select word, group_no, pos, ili, english and (case when sl is not null then len(list_intersect(el, eng)) + len(list_intersect(sl, spa)) >= [0, 1, 2, 2][least(len(eng) + len(spa), 3) + 1] else len(list_intersect(el, eng)) >= [0, 1, 2, 2][least(len(eng), 3) + 1] end or coalesce(pl = epo[1], false)) as applicable from c where english or spanish
 """)
 def h_score_synsets(spark: SparkSession, sf: str) -> DataFrame:
     synsets, lemmas, epo = _network(spark, sf)
-    d = table(spark, sf, "dump_tc").where("c4 is not null and c6 is not null and c2 is not null and startswith(c1, 'ba')")
+    d = table(spark, sf, "dump_tc").where("c4 is not null and c6 is not null and c2 is not null")
     q = d.groupBy("c1", "c2").agg(F.collect_set(F.when(F.col("c5").isin("qig", "qct", "qbb"), F.col("c6"))).alias("spa"), F.array_sort(F.collect_set(F.when(F.col("c5") == "qcp", F.col("c6")))).alias("epo"))
     q = q.select(F.concat(F.lit("w"), "c1").alias("word"), F.lit(0).alias("group_no"), F.col("c2").alias("pos"), F.array("c1").alias("eng"), "spa", "epo")
     return graph.score_synsets(q, synsets, lemmas, epo).select("word", "group_no", "pos", "ili", "applicable")
 
 
 @query("""
-with s as (select c1, list_sort(list(distinct c6) filter (where c7 = 'm' and c6 is not null)) as a, list_sort(list(distinct c6) filter (where c7 = 'f' and c6 is not null)) as b from dump_tc where c1 in ('set', 'run', 'light', 'turn', 'draw', 'stand', 'strike', 'open', 'clear', 'fall') group by c1)
-select c1, case when len(list_intersect(a, b)) > 0 then len(list_intersect(a, b)) else len(a) end::int as n from s
+with s as (select c1, list_sort(list(distinct c6) filter (where c7 = 'm' and c6 is not null)) as a, list_sort(list(distinct c6) filter (where c7 = 'f' and c6 is not null)) as b from dump_tc group by c1)
+select c1, case when len(list_intersect(a, b)) > 0 then len(list_intersect(a, b)) else coalesce(len(a), 0) end::int as n from s
 """)
 def h_progressive(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "dump_tc").where("c1 in ('set', 'run', 'light', 'turn', 'draw', 'stand', 'strike', 'open', 'clear', 'fall')")
+    d = table(spark, sf, "dump_tc")
     s = d.groupBy("c1").agg(*[F.collect_set(F.when(F.col("c7") == k, F.col("c6"))).alias(k) for k in "mf"])
     return s.select("c1", F.size(graph.progressive_intersection(F.array("m", "f"))).alias("n"))
 

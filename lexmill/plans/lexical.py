@@ -366,7 +366,7 @@ def j_attach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with l as (select distinct c1 as w, c2 as pos from dump_tc where starts_with(c1, 'ba')),
+with l as (select distinct c1 as w, c2 as pos from dump_tc),
 t as (select *, unnest(case pos when 'Noun' then ['Noun', 'Proper noun'] when 'Proper noun' then ['Proper noun', 'Noun'] else [pos] end) as p from l),
 r as (select c1 as w, c2 as p, count(*) as n from dump_tc where c7 = 'm' group by all)
 select w, pos, p, n from t join r using (w, p)
@@ -383,12 +383,12 @@ def _TRIES():
 
 def _fallback_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf, "dump_tc").withColumnRenamed("c1", "w")
-    left = d.where(F.startswith("w", F.lit("ba"))).select("w", F.col("c2").alias("pos")).distinct()
+    left = d.select("w", F.col("c2").alias("pos")).distinct()
     return left, d.where("c7 = 'm'").groupBy("w", F.col("c2").alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
-with l as (select distinct c1 as w, c2 as pos from dump_tc where starts_with(c1, 'ba')), r as (select distinct c1 as w, c2 as p from dump_tc where c7 = 'm')
+with l as (select distinct c1 as w, c2 as pos from dump_tc), r as (select distinct c1 as w, c2 as p from dump_tc where c7 = 'm')
 select w, pos from l where not exists (select 1 from r where r.w = l.w and (r.p = l.pos or (l.pos = 'Noun' and r.p = 'Proper noun') or (l.pos = 'Proper noun' and r.p = 'Noun')))
 """)
 def j_misses(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,9 +440,9 @@ def f_display_names(spark: SparkSession, sf: str) -> DataFrame:
 # --- aggregation and sets --------------------------------------------------------------------
 
 
-@query("select c1, c5, array_to_string(list_sort(list(distinct c6)), ', ') as cell from dump_tc where c6 is not null and c1 not in ('set', 'run') group by all")
+@query("select c1, c5, array_to_string(list_sort(list(distinct c6)), ', ') as cell from dump_tc where c6 is not null group by all")
 def g_fold_items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "dump_tc").where("c6 is not null and c1 not in ('set', 'run')").groupBy("c1", "c5").agg(F.array_join(F.array_sort(F.collect_set("c6")), ", ").alias("cell"))
+    return table(spark, sf, "dump_tc").where("c6 is not null").groupBy("c1", "c5").agg(F.array_join(F.array_sort(F.collect_set("c6")), ", ").alias("cell"))
 
 
 @query("""
@@ -465,7 +465,7 @@ def g_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-with a as (select c1, list(distinct c6) filter (where c7 = 'm' and c6 is not null) as m, list(distinct c6) filter (where c7 = 'f' and c6 is not null) as f, list(distinct c6) filter (where c7 = 'n' and c6 is not null) as n, list(distinct c6) filter (where c7 = 'c' and c6 is not null) as c from dump_tc where c5 in ('qig', 'qct', 'qbb', 'qcp') group by c1),
+with a as (select c1, list(distinct c6) filter (where c7 = 'm' and c6 is not null) as m, list(distinct c6) filter (where c7 = 'f' and c6 is not null) as f, list(distinct c6) filter (where c7 = 'n' and c6 is not null) as n, list(distinct c6) filter (where c7 = 'c' and c6 is not null) as c from dump_tc group by c1),
 b as (select c1, coalesce(m, []) as m, coalesce(f, []) as f, coalesce(n, []) as n, coalesce(c, []) as c from a),
 v as (select *, len(m) > 0 and len(f) > 0 as sf, len(n) > 0 and len(c) > 0 as ef, list_sort(list_intersect(m, f)) as si, list_sort(list_filter(m, lambda x: not list_contains(f, x))) as su, list_sort(list_intersect(n, c)) as ei, list_sort(list_filter(n, lambda x: not list_contains(c, x))) as eu from b)
 select c1, case when ((len(si) > 0 and sf) or not sf) and ((len(ei) > 0 and ef) or not ef) and (sf or ef) then 's' else '' end as app,
@@ -474,7 +474,7 @@ select c1, case when ((len(si) > 0 and sf) or not sf) and ((len(ei) > 0 and ef)
 """)
 def g_crossvalidate(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validation of one evidence set by another, for two kinds of evidence."""
-    d = table(spark, sf, "dump_tc").where("c5 in ('qig', 'qct', 'qbb', 'qcp')")
+    d = table(spark, sf, "dump_tc")
     sets = d.groupBy("c1").agg(*[F.collect_set(F.when(F.col("c7") == k, F.col("c6"))).alias(k) for k in "mfnc"])
     return sets.select("c1", sense.crossvalidate(F.col("m"), F.col("f"), F.col("n"), F.col("c")).alias("v")).select("c1", "v.app", "v.spa", "v.epo")
 
