@@ -133,15 +133,17 @@ def cut(text: str, token_bytes: np.ndarray, limit: int, overlap: int) -> list[tu
     return out
 
 
-def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERLAP, token_bytes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text; every piece encoded by itself is within the limit.
 
+    ``token_bytes`` are the sizes of the text's tokens, if they are known already.
+
     A piece may take a few tokens more by itself than as part of the text, as its first word
     may be cut. Where one is over the limit, the text is cut again with less room.
     """
-    ids, _, token_bytes = own.encode([text])
-    if len(ids) <= limit:
-        return [(0, len(text), len(ids))]
+    token_bytes = own.encode([text])[2] if token_bytes is None else token_bytes
+    if len(token_bytes) <= limit:
+        return [(0, len(text), len(token_bytes))]
     for spare in (0, 2, 4, 8, 16, 32, 64, 128, 256):
         pieces = cut(text, token_bytes, limit - spare, overlap)
         counts = own.encode([text[a:b] for a, b in pieces])[1]
@@ -171,14 +173,15 @@ def split_documents(documents: DataFrame, *, key: str = "doc_id", text: str = "t
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps(texts):
-                counts = own.encode(texts[a:b])[1]
+                _, counts, sizes = own.encode(texts[a:b])
+                ends = np.cumsum(counts)
                 rows: list[tuple] = []
                 for i in range(a, b):
                     t = texts[i]
                     if not t or counts[i - a] <= limit:
                         rows.append((i, 0, 0, len(t or ""), int(counts[i - a]), t))
                     else:
-                        rows += [(i, no, s, e, c, t[s:e]) for no, (s, e, c) in enumerate(split_text(t, own, limit, overlap))]
+                        rows += [(i, no, s, e, c, t[s:e]) for no, (s, e, c) in enumerate(split_text(t, own, limit, overlap, sizes[ends[i - a] - counts[i - a] : ends[i - a]]))]
                 at, *rest = zip(*rows)
                 kinds = [pa.int32()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(rest, kinds)]], names=schema.names)
