@@ -1,7 +1,8 @@
 """Several values packed in one field (problem 2).
 
 Method: dictionary-guided segmentation. The dictionary holds known whole values (fields that
-consist of one value). A multi-pattern automaton finds them in a packed text; dynamic
+consist of one value, and values that closed marks protect somewhere, which may hold
+delimiters and marks that never close). A multi-pattern automaton finds them in a packed text; dynamic
 programming picks the cover of the text by known values and rule segments with the fewest
 unknown pieces, then the fewest pieces.
 
@@ -171,17 +172,33 @@ class Segmenter:
         return out
 
 
+def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of (field, text) rows that hold a parting delimiter, found by the rule alone."""
+    cutter = Segmenter()
+    for batch in batches:
+        at, item = [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            values = [v for v in cutter.split(text) if any(map(_parts, v))]
+            at.extend([i] * len(values))
+            item.extend(values)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.string())], names=["field", "item"])
+
+
 def known_values(df: DataFrame, fields: list[str], limit: int = 50_000) -> dict[str, list[str]]:
-    """The ``limit`` most frequent whole values of each field, counted over all rows.
+    """The ``limit`` most frequent whole values of the fields, counted over all rows; those that hold a delimiter first, as only they can bridge one.
 
-    Only fields that are one value by their characters count. ``limit`` bounds what reaches
-    the driver and is broadcast; a smaller dictionary changes nothing about values that the
-    rule can part.
+    Whole values are fields that are one value by their characters, and values that closed
+    marks protect. A field that merely recurs is not one: rows are delivered twice, and lists
+    with them. ``limit`` bounds what reaches the driver and is broadcast; a smaller dictionary
+    changes nothing about values that the rule can part.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f)).alias("item")) for f in fields])).alias("p")
-    rows = df.select(pairs).select("p.*").where(F.col("item").rlike(SINGLE_VALUE)).groupBy("field", "item").count()
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f).cast("string")).alias("item")) for f in fields])).alias("p")
+    cells = df.select(pairs).select("p.*")
+    single = cells.where(F.col("item").rlike(SINGLE_VALUE)).withColumn("bridges", F.lit(0))
+    held = cells.where(F.col("item").rlike(r'["“(]')).mapInArrow(_protected, "field string, item string").withColumn("bridges", F.lit(1))
+    rows = single.unionByName(held).groupBy("field", "item", "bridges").count()
     out: dict[str, list[str]] = {f: [] for f in fields}
-    for row in rows.orderBy(F.desc("count"), "field", "item").limit(limit).collect():
+    for row in rows.orderBy(F.desc("bridges"), F.desc("count"), "field", "item").limit(limit).collect():
         out[row["field"]].append(row["item"])
     return out
 

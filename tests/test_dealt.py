@@ -156,6 +156,16 @@ def test_unpack_fields(spark):
     assert packed.unpack_fields(df.limit(0), "row_id", ["f"]).count() == 0
 
 
+def test_unpack_fields_learns_values_with_delimiters(spark):
+    data = [(1, '"dull (sharp, round"; oil'), (2, "dull (sharp, round; oil"), (3, '"salt, pepper"'), (4, '5" salt, pepper'), (5, "salt, pepper"), (6, "mild (warm, soft"), (7, "mild (warm, soft")]
+    df = spark.createDataFrame(data, "row_id int, f string")
+    assert packed.known_values(df, ["f"]) == {"f": ["dull (sharp, round", "salt, pepper"]} and packed.known_values(df, ["f"], 1) == {"f": ["dull (sharp, round"]}
+    got = {}
+    for r in rows(packed.unpack_fields(df, "row_id", ["f"]), "row_id", "pos_no", "item"):
+        got.setdefault(r[0], []).append(r[2])
+    assert got == {1: ["dull (sharp, round", "oil"], 2: ["dull (sharp, round", "oil"], 3: ["salt, pepper"], 4: ["5", "salt, pepper"], 5: ["salt", "pepper"], 6: ["mild (warm", "soft"], 7: ["mild (warm", "soft"]}
+
+
 # --- orphans
 
 
