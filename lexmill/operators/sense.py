@@ -138,15 +138,16 @@ def lookups(words: DataFrame) -> DataFrame:
     return rows.select("word", "group_no", "wikt_pos", "single_pos", "spa_words", "epo_words", "original", F.col("_a.note").alias("clarification"), F.explode(T.expand_context("_a.text")).alias("eng_word"))
 
 
-def align_senses(words: DataFrame, translations: DataFrame, senses: DataFrame, markings: DataFrame | None = None) -> DataFrame:
+def align_senses(words: DataFrame, translations: DataFrame, senses: DataFrame, markings: DataFrame | None = None, *, spa_codes: Sequence[str] = ("es",), epo_codes: Sequence[str] = ("eo",)) -> DataFrame:
     """Per-sense rows of a word list: word, group_no, eng_word, clarification, pos, sense, definition, example1..3, app, tier, spa, epo.
 
     Glosses that begin with an underscore, and those that no part of speech finds, come out
-    as stubs without a sense; so do words without a gloss (only the word).
+    as stubs without a sense; so do words without a gloss (only the word). ``spa_codes`` and
+    ``epo_codes`` are the codes of the translations that are evidence.
     """
     rows = cut_lineage(lookups(words))  # parsed once, used by hits, misses and stubs
     named = rows.where(~F.startswith("eng_word", F.lit("_")))
-    evidence = translations.groupBy("word", "pos", "sense").agg(*[F.array_sort(F.collect_set(F.when(F.col("lang") == c, F.col("tr_word")))).alias(f"_{c}") for c in ("es", "eo")])
+    evidence = translations.groupBy("word", "pos", "sense").agg(*[F.array_sort(F.collect_set(F.when(F.col("lang").isin(*codes), F.col("tr_word")))).alias(name) for name, codes in (("_es", spa_codes), ("_eo", epo_codes))])
     keyed = evidence.withColumnsRenamed({"word": "eng_word"})
     hits = fallback_join(named, keyed, ["eng_word"], pos_keys(F.col("wikt_pos"), F.col("single_pos")), "pos")
     defined = match_definitions(translations, senses).withColumnsRenamed({"word": "eng_word"}).drop("sense_no")

@@ -602,11 +602,23 @@ def q_lookup(spark: SparkSession, sf: str) -> DataFrame:
 # --- composites -----------------------------------------------------------------------------
 
 
+# The codes that stand for Spanish and Esperanto in the tables, and the dictionary's names of the dump's parts of speech.
+SPANISH, ESPERANTO = ("qig", "qct", "qbb"), ("qcp",)
+DUMP_POS = {"Noun": "noun", "Proper noun": "name", "Verb": "verb", "Adjective": "adj", "Adverb": "adv", "Numeral": "num", "Preposition": "prep", "Phrase": "phrase"}
+
+
+def gloss_markings(spark: SparkSession, sf: str, words: DataFrame) -> DataFrame:
+    """The dump's markings of English headwords, for each word that has the headword as a gloss."""
+    pos = F.coalesce(F.try_element_at(G.string_map(DUMP_POS), F.col("Prt of Sp")), F.col("Prt of Sp"))
+    marks = readers.markings(marking_rows(spark, sf).withColumns({"Eng": F.col("Glb"), "Prt of Sp": pos}), "row_id").drop("glb")
+    return sense.lookups(words).select(F.col("word").alias("glb"), F.col("eng_word").alias("eng")).distinct().join(marks, "eng")
+
+
 def alignment(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     records = readers.parse_dictionary(table(spark, sf, "raw_wiktextract"))
     t = readers.translations(records)
     w = _entries(spark, sf).select("word", "wordclass", "eng", "spa", "epo", "tags", "antonyms")
-    return w, t, sense.align_senses(w, t, readers.senses(records, ["rec_id"]), readers.markings(marking_rows(spark, sf), "row_id"))
+    return w, t, sense.align_senses(w, t, readers.senses(records, ["rec_id"]), gloss_markings(spark, sf, w), spa_codes=SPANISH, epo_codes=ESPERANTO)
 
 
 @query()
