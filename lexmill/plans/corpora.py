@@ -142,6 +142,15 @@ def c_zipf_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("b", F.round("b", 6))
 
 
+@query(f"""
+with {_TOK}, r as (select w, cnt, row_number() over (order by cnt desc, w desc) - 1 as i from (select w, count(*) as cnt from tok group by w)), x as (select a.i, b.i as j, a.cnt / b.cnt as r from r a, r b where b.i <= 200)
+select i, j, round(case when i = j or r = 1 then -1 else -(r * (j + 1) - i + 1) / (1 - r) end, 6) as b from x
+""")
+def c_zipf_word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank-frequency pairs of all words, each with the first 201 ranks."""
+    return corpus.zipf_pairs(c_frequency_rank(spark, sf), "cnt").withColumn("b", F.round("b", 6))
+
+
 @query(f"""
 with {_TOK}, top as (select w as word from tok group by w having count(*) >= 50), fb as (select word from (values ('kasa'), ('set'), ('the')) t(word))
 select word, 0 as section from top union all select word, 1 from fb where word not in (select word from top) union all select distinct word, 2 from word_list where word is not null and word not in (select word from top) and word not in (select word from fb)

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from lexmill.plans import lexical
+from lexmill.plans import corpora, lexical
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -37,3 +37,10 @@ def test_extension_table_has_cells(spark, tables):
     got = out(lexical.q_sense_alignment(spark, sf).where("sense is not null"), "word", "pos", "app", "tier", "spa", "epo")
     assert got == [("kasa", "noun", "s", "v", "casa", "domo"), ("sui", "noun", "", "", " /agua/", "")]
     assert out(lexical.q_extension_table(spark, sf), "word", "eng_with_senses", "qig", "qeu", "qew") == [("kasa", "house [to live in]", "", "Haus", ""), ("sui", "", "", "", "")]
+
+
+def test_zipf_pairs_rank_words(spark, tables):
+    sf = tables("documents", [(1, "a", "one two two"), (2, "b", "two One three"), (3, "b", None)], "doc_id bigint, source string, text string")
+    got = {(r["i"], r["j"]): r["b"] for r in corpora.c_zipf_word_pairs(spark, sf).collect()}
+    assert set(got) == {(i, j) for i in range(3) for j in range(3)}  # two, one, three
+    assert (got[1, 0], got[0, 0], got[2, 1]) == (-2.0, -1.0, 0.0)
