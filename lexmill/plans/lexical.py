@@ -171,6 +171,32 @@ def t_cell_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "menalari_extension").select("ext_id", T.fold_cell(T.parse_cell("deu")).alias("cell"))
 
 
+CELLS = {"deu": "German", "fra": "French", "rus": "Russian", "zho": "Chinese"}
+_CELLS = "cells as (" + " union all ".join(f"select ext_id, '{c}' as lang, {c} as cell from menalari_extension" for c in CELLS) + ")"
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """(ext_id, lang, cell) of every language of the extension table."""
+    lang = F.explode(F.array(*[F.struct(F.lit(c).alias("lang"), F.col(c).alias("cell")) for c in CELLS])).alias("c")
+    return table(spark, sf, "menalari_extension").select("ext_id", lang).select("ext_id", "c.*")
+
+
+@query(rf"""
+with {_CELLS}, g as (select ext_id, lang, list_transform(string_split(trim(cell), '; '), lambda g: list_filter(string_split(g, ', '), lambda x: trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) <> '')) as v from cells where cell is not null and trim(cell) not in ('', 'False')),
+h as (select ext_id, lang, unnest(v) as i, generate_subscripts(v, 1) - 1 as group_no from g),
+t as (select ext_id, lang, group_no, unnest(i) as x, generate_subscripts(i, 1) - 1 as item_no from h)
+select ext_id, lang, group_no::int as group_no, item_no::int as item_no, trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) as text_, nullif(regexp_extract(x, '<([mfn])>', 1), '') as gender from t
+""")
+def t_cells_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    g = cells(spark, sf).select("ext_id", "lang", F.posexplode(T.parse_cell("cell")).alias("group_no", "g"))
+    return g.select("ext_id", "lang", "group_no", F.posexplode("g").alias("item_no", "i")).select("ext_id", "lang", "group_no", "item_no", F.col("i.text").alias("text_"), "i.gender")
+
+
+@query(f"with {_CELLS} select ext_id, lang, coalesce(trim(cell), '') as cell from cells")
+def t_cell_round_trip_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    return cells(spark, sf).select("ext_id", "lang", T.fold_cell(T.parse_cell("cell")).alias("cell"))
+
+
 @query(rf"select row_id, regexp_replace({strip("string_split(translationeng, ';')[1]")}, '^[a-z./ ]+:\s*', '') as gloss from word_list where translationeng is not null")
 def t_short_gloss(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "word_list").where("translationeng is not null").select("row_id", T.short_gloss("translationeng").alias("gloss"))
@@ -582,8 +608,8 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    ext = rows.keep_first(table(spark, sf, "menalari_extension").where("globasa is not null").select(F.col("globasa").alias("word"), "ext_id", "deu", "fra"), ["word"], ["ext_id"])
-    return search.translation_groups(_entries(spark, sf).join(ext, "word", "left"), {"spa": "Spanish", "epo": "Esperanto"}, {"deu": "German", "fra": "French"})
+    ext = rows.keep_first(table(spark, sf, "menalari_extension").where("globasa is not null").select(F.col("globasa").alias("word"), "ext_id", *CELLS), ["word"], ["ext_id"])
+    return search.translation_groups(_entries(spark, sf).join(ext, "word", "left"), {"spa": "Spanish", "epo": "Esperanto"}, CELLS)
 
 
 @query()

@@ -44,3 +44,14 @@ def test_zipf_pairs_rank_words(spark, tables):
     got = {(r["i"], r["j"]): r["b"] for r in corpora.c_zipf_word_pairs(spark, sf).collect()}
     assert set(got) == {(i, j) for i in range(3) for j in range(3)}  # two, one, three
     assert (got[1, 0], got[0, 0], got[2, 1]) == (-2.0, -1.0, 0.0)
+
+
+def test_extension_columns_of_every_language(spark, tables):
+    tables("word_list", [(1, "kasa", "n", "house", None, None, None, None, DAY)], "row_id bigint, word string, wordclass string, translationeng string, translationspa string, translationepo string, lexiliasel string, example string, added_at timestamp")
+    sf = tables("menalari_extension", [(7, "kasa", "Haus <n>", "maison <f>", "дом", "房子")], "ext_id bigint, globasa string, deu string, fra string, rus string, zho string")
+    texts = [("Chinese", "房子"), ("English", "house"), ("French", "maison <f>"), ("German", "Haus <n>"), ("Russian", "дом")]
+    assert out(lexical.q_translation_groups(spark, sf), "lang", "texts") == texts
+    payload = json.loads(lexical.q_lookup(spark, sf).first()["payload"])
+    assert sorted((t["lang"], *t["texts"]) for t in payload["translations"]) == texts
+    assert out(lexical.t_cells_by_language(spark, sf), "lang", "text_", "gender") == [("deu", "Haus", "n"), ("fra", "maison", "f"), ("rus", "дом", None), ("zho", "房子", None)]
+    assert out(lexical.t_cell_round_trip_by_language(spark, sf), "lang", "cell") == [("deu", "Haus <n>"), ("fra", "maison <f>"), ("rus", "дом"), ("zho", "房子")]
