@@ -298,6 +298,18 @@ e as (select j->>'word' as word, j->>'pos' as pos, unnest(json_extract(j, '$.tra
 select distinct word, pos, t->>'sense' as sense, t->>'code' as lang, t->>'word' as tr_word from e where t->>'word' is not null and t->>'sense' is not null and t->>'code' is not null
 """)
 def s_translations(spark: SparkSession, sf: str) -> DataFrame:
+    """Translations of the records that write them as a list."""
+    listed = table(spark, sf, "raw_wiktextract").where(F.startswith(F.get_json_object("raw_line", "$.translations"), F.lit("[")))
+    return readers.translations(readers.parse_dictionary(listed)).select("word", "pos", "sense", "lang", "tr_word").distinct()
+
+
+@query("""
+with r as (select raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
+e as (select j->>'word' as word, j->>'pos' as pos, unnest(case json_type(j, '$.translations') when 'ARRAY' then json_extract(j, '$.translations[*]') when 'OBJECT' then [json_extract(j, '$.translations')] else [] end) as t from r where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR')
+select distinct word, pos, t->>'sense' as sense, t->>'code' as lang, t->>'word' as tr_word from e where t->>'word' is not null and t->>'sense' is not null and t->>'code' is not null
+""")
+def s_all_translations(spark: SparkSession, sf: str) -> DataFrame:
+    """Translations of all records, a bare object included."""
     t = readers.translations(readers.parse_dictionary(table(spark, sf, "raw_wiktextract")))
     return t.select("word", "pos", "sense", "lang", "tr_word").distinct()
 

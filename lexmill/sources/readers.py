@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from lexmill.functions.text import prefix_key
 from lexmill.operators.rows import keep_first, keep_last
@@ -24,11 +24,14 @@ def strings(*names: str) -> StructType:
 
 DUMP = strings("src_lang", "word", "pos", "kind", "sense", "lang", "translation", "extra1", "extra2", "extra3", "extra4")
 LANGUAGES = strings("Id", "Part2b", "Part2t", "Part1", "Scope", "Language_Type", "Ref_Name", "Comment")
+# The lists inside senses and translations, with the type of their members.
+SENSE_LISTS = {**dict.fromkeys(("glosses", "raw_glosses", "tags"), StringType()), "examples": strings("text", "english", "type")}
+TRANSLATION_LISTS = {"tags": StringType()}
 DICTIONARY = StructType(
     [
         *strings("word", "lang", "pos").fields,
-        StructField("senses", ArrayType(StructType([*[StructField(n, ArrayType(StringType())) for n in ("glosses", "raw_glosses", "tags")], StructField("examples", ArrayType(strings("text", "english", "type")))]))),
-        StructField("translations", ArrayType(StructType([*strings("word", "sense", "code", "romanization").fields, StructField("tags", ArrayType(StringType()))]))),
+        StructField("senses", ArrayType(StructType([StructField(n, ArrayType(k)) for n, k in SENSE_LISTS.items()]))),
+        StructField("translations", ArrayType(StructType([*strings("word", "sense", "code", "romanization").fields, *[StructField(n, ArrayType(k)) for n, k in TRANSLATION_LISTS.items()]]))),
     ]
 )
 
@@ -60,9 +63,27 @@ def prefix_lookup(dump: DataFrame, words: DataFrame, word: str = "word") -> Data
     return dump.join(keys, ["pfx", "word"])
 
 
+def _objects(text: Column, members: StructType, lists: dict[str, DataType]) -> Column:
+    """The objects of a JSON list, which may be written as its one bare object, as may each of their ``lists``.
+
+    The list is read twice, with the inner lists as lists and as their one bare member; a null
+    in the one reading is filled from the other.
+    """
+    wrapped = F.when(F.startswith(F.ltrim(text), F.lit("{")), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    bare = ArrayType(StructType([StructField(f.name, lists.get(f.name, f.dataType)) for f in members]))
+    member = lambda a, b, n: F.coalesce(a[n], F.when(b[n].isNotNull(), F.array(b[n]))) if n in lists else a[n]
+    one = lambda a, b: F.when(a.isNotNull(), F.struct(*[member(a, b, n).alias(n) for n in members.names]))
+    return F.zip_with(F.from_json(wrapped, ArrayType(members)), F.from_json(wrapped, bare), one)
+
+
 def parse_dictionary(lines: DataFrame, column: str = "raw_line") -> DataFrame:
-    """Dictionary records from lines of JSON; lines that are broken or lack ``word`` or ``lang`` are left out."""
-    record = F.from_json(column, DICTIONARY, {"mode": "PERMISSIVE"})
+    """Dictionary records from lines of JSON; lines that are broken or lack ``word`` or ``lang`` are left out.
+
+    A list may be written as its one bare member.
+    """
+    texts = F.from_json(column, strings(*DICTIONARY.names), {"mode": "PERMISSIVE"})
+    parsed = [_objects(texts[n], DICTIONARY[n].dataType.elementType, lists).alias(n) for n, lists in (("senses", SENSE_LISTS), ("translations", TRANSLATION_LISTS))]
+    record = F.when(texts.isNotNull(), F.struct(*[texts[n].alias(n) for n in ("word", "lang", "pos")], *parsed))
     rest = [c for c in lines.columns if c != column and c not in DICTIONARY.names]
     return lines.select(*rest, record.alias("_r")).where("_r.word is not null and _r.lang is not null").select(*rest, "_r.*")
 

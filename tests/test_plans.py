@@ -55,3 +55,17 @@ def test_extension_columns_of_every_language(spark, tables):
     assert sorted((t["lang"], *t["texts"]) for t in payload["translations"]) == texts
     assert out(lexical.t_cells_by_language(spark, sf), "lang", "text_", "gender") == [("deu", "Haus", "n"), ("fra", "maison", "f"), ("rus", "дом", None), ("zho", "房子", None)]
     assert out(lexical.t_cell_round_trip_by_language(spark, sf), "lang", "cell") == [("deu", "Haus <n>"), ("fra", "maison <f>"), ("rus", "дом"), ("zho", "房子")]
+
+
+def test_lists_written_as_one_bare_member(spark, tables):
+    sense = {"glosses": "to live in", "tags": ["a", "b"], "examples": {"text": "my house"}}
+    tr = {"word": "casa", "sense": "to live in", "code": "qig", "tags": "feminine"}
+    lists = {"glosses": ["to live in"], "tags": "[x", "examples": [{"text": "e"}, None]}
+    records = [record("house", sense, tr), record("home", [None, lists], [tr, None]), record("void", None, []), "{bad", record("word", {}, "odd")]
+    sf = tables("raw_wiktextract", list(enumerate(records)), "rec_id bigint, raw_line string")
+    assert out(lexical.s_senses(spark, sf), "word", "glosses", "n_examples") == [("home", "to live in", 2), ("house", "to live in", 1), ("word", "", None)]
+    t = lexical.readers.translations(lexical.readers.parse_dictionary(spark.read.parquet(f"{sf}/raw_wiktextract.parquet")))
+    assert out(t, "word", "tags") == [("home", ["feminine"]), ("house", ["feminine"])] == [(w, ["feminine"]) for w, *_ in out(lexical.s_all_translations(spark, sf), "word")]
+    tags = lexical.readers.senses(lexical.readers.parse_dictionary(spark.read.parquet(f"{sf}/raw_wiktextract.parquet")))
+    assert out(tags, "word", "tags") == [("home", ["[x"]), ("house", ["a", "b"]), ("word", [])]
+    assert out(lexical.q_sense_definitions(spark, sf), "word", "definition", "examples") == [("home", "to live in", "e|"), ("house", "to live in", "my house")]
