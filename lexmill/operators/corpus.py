@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import TOKEN_PUNCTUATION, ColumnLike, _c, strip_marks
 from lexmill.operators.rows import number_rows, sections
+from lexmill.session import cut_lineage
 
 # Fixed values of the affix and multi-word rules: affixes stripped one after the other while the
 # rest is a word, suffixes tried last, heads of multi-word entries, and words that continue one.
@@ -190,15 +191,26 @@ def emphasise(sentence: ColumnLike, word: ColumnLike, forms: ColumnLike) -> Colu
     return F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(_c(forms), F.lower(strip_marks(t))), mark(t)).otherwise(t)), " ")
 
 
+BROADCAST_PHRASES = 100_000
+
+
 def phrase_hits(sentences: DataFrame, key: Sequence[str], words: str, phrases: DataFrame, phrase: str, longest: int = 5) -> DataFrame:
     """(key, start, phrase) for every phrase (words parted by blanks) that stands in a sentence's word array.
 
-    The windows of one to ``longest`` words are formed once and joined with the phrases.
+    Phrases whose first word stands nowhere are set aside first. Windows of one to ``longest``
+    words are formed only where a first word of the others stands; these phrases are broadcast
+    up to ``BROADCAST_PHRASES``, beyond it the same joins shuffle.
     """
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: n <= F.size(words))
-    windows = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(words, i, n), " ").alias("phrase")))))
-    spread = sentences.select(*key, F.explode(windows).alias("_w")).select(*key, "_w.*")
-    return spread.join(phrases.select(F.col(phrase).alias("phrase")).distinct(), "phrase").select(*key, "start", "phrase")
+    uses = sentences.select(F.explode(words).alias("_h")).distinct()
+    known = phrases.select(F.col(phrase).alias("phrase"), F.split(phrase, " ")[0].alias("_h")).where("phrase is not null").distinct()
+    known = cut_lineage(known.join(uses, "_h", "left_semi"))
+    small = known.count() <= BROADCAST_PHRASES
+    shared = lambda df: F.broadcast(df) if small else df
+    heads, known = shared(known.select("_h").distinct()), shared(known.select("phrase"))
+    places = sentences.select(*key, F.col(words).alias("_t"), F.posexplode(words).alias("_i", "_h"))
+    places = places.select(*key, (F.col("_i") + 1).alias("start"), "_h", F.slice("_t", F.col("_i") + 1, longest).alias("_t")).join(heads, "_h", "left_semi")
+    windows = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda n: F.array_join(F.slice("_t", 1, n), " "))
+    return places.select(*key, "start", F.explode(windows).alias("phrase")).join(known, "phrase").select(*key, "start", "phrase")
 
 
 def two_word_entries(tokens: DataFrame, partition: Sequence[str], order: Sequence[str], token: str, entries: DataFrame, entry: str = "entry") -> DataFrame:

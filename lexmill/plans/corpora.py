@@ -162,6 +162,12 @@ def c_ranking_sections(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.ranking_sections(top, fallback, table(spark, sf, "word_list").where("word is not null").select("word"))
 
 
+def phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of the word list, hyphens read as blanks, and the headwords of the dump."""
+    w = table(spark, sf, "word_list").where("word is not null").select(F.lower(F.regexp_replace("word", "-", " ")).alias("p"))
+    return w.unionByName(table(spark, sf, "dump_tc").select(F.col("c1").alias("p")))
+
+
 @query(rf"""
 with i as (select item_id, regexp_extract_all(lower(text), '\p{{L}}+') as t from eval_items where text is not null),
 w as (select item_id, n, unnest(range(1, len(t) - n + 2)) as start, t from (select item_id, t, unnest(range(1, 6)) as n from i) where n <= len(t)),
@@ -170,8 +176,7 @@ select item_id, start::int as start, array_to_string(t[start:start + n - 1], ' '
 """)
 def c_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
     i = table(spark, sf, "eval_items").where("text is not null").select("item_id", T.letter_tokens("text").alias("t"))
-    d = table(spark, sf, "word_list").where("word is not null").select(F.lower(F.regexp_replace("word", "-", " ")).alias("p")).unionByName(table(spark, sf, "dump_tc").select(F.col("c1").alias("p")))
-    return corpus.phrase_hits(i, ["item_id"], "t", d, "p")
+    return corpus.phrase_hits(i, ["item_id"], "t", phrases(spark, sf), "p")
 
 
 @query(rf"""
@@ -185,6 +190,44 @@ def c_two_word_entries(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.two_word_entries(tokens(spark, sf), ["doc_id"], ["pos"], "w", e).groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of the documents: doc_id, no, s."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences("text")).alias("no", "s"))
+
+
+_PHRASES = "d as (select distinct lower(regexp_replace(word, '-', ' ', 'g')) as phrase from word_list where word is not null union select distinct c1 from dump_tc)"
+
+
+@query(rf"""
+with {_SENT}, i as (select doc_id, no, regexp_extract_all(lower(s), '\p{{L}}+') as t from sent),
+w as (select doc_id, no, n, unnest(range(1, len(t) - n + 2)) as start, t from (select doc_id, no, t, unnest(range(1, 6)) as n from i) where n <= len(t)), {_PHRASES}
+select doc_id, no::int as no, start::int as start, array_to_string(t[start:start + n - 1], ' ') as phrase from w where array_to_string(t[start:start + n - 1], ' ') in (select phrase from d)
+""")
+def c_sentence_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Dictionary phrases in the sentences of the documents."""
+    t = sentences(spark, sf).select("doc_id", "no", T.letter_tokens("s").alias("t"))
+    return corpus.phrase_hits(t, ["doc_id", "no"], "t", phrases(spark, sf), "p")
+
+
+@query(rf"""
+with {_TOK}, p as (select w || ' ' || lead(w) over (partition by doc_id order by pos) as entry, doc_id, pos from tok), {_PHRASES}
+select doc_id, entry, count(*) as n from p where entry in (select phrase from d where regexp_full_match(phrase, '\S+ \S+')) group by all
+""")
+def c_dictionary_two_word_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """The two-word entries of the dictionary wherever they stand in documents."""
+    e = phrases(spark, sf).where(F.col("p").rlike(r"^\S+ \S+\z")).withColumnRenamed("p", "entry")
+    return corpus.two_word_entries(tokens(spark, sf), ["doc_id"], ["pos"], "w", e).groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""
+with {_SENT} select doc_id, no::int as no, array_to_string(list_transform(string_split(s, ' '), lambda x: case when lower(trim(x, ':;#,."“”!?-*/+' || chr(10))) in ('the', 'some') then regexp_replace(x, '(?i)(the|some)', '**\1**') else x end), ' ') as marked from sent
+""")
+def c_sentence_emphasis(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of the documents with two words emphasised."""
+    one = corpus.emphasise("s", F.lit("the"), F.array(F.lit("the")))
+    return sentences(spark, sf).select("doc_id", "no", one.alias("m")).select("doc_id", "no", corpus.emphasise("m", F.lit("some"), F.array(F.lit("some"))).alias("marked"))
+
+
 @query(f"""
 with s as (select item_id, list_distinct(string_split(text, ' ')) as v, string_split(text, ' ') as t from eval_items where text is not null)
 select item_id, array_to_string(list_transform(t, lambda x: case when lower(trim(x, ':;#,."“”!?-*/+')) in ('the', 'some') then regexp_replace(x, '(?i)(the|some)', '**\\1**') else x end), ' ') as marked from s

@@ -69,3 +69,12 @@ def test_lists_written_as_one_bare_member(spark, tables):
     tags = lexical.readers.senses(lexical.readers.parse_dictionary(spark.read.parquet(f"{sf}/raw_wiktextract.parquet")))
     assert out(tags, "word", "tags") == [("home", ["[x"]), ("house", ["a", "b"]), ("word", [])]
     assert out(lexical.q_sense_definitions(spark, sf), "word", "definition", "examples") == [("home", "to live in", "e|"), ("house", "to live in", "my house")]
+
+
+def test_phrases_in_sentences_of_documents(spark, tables):
+    tables("documents", [(1, "a", "Buy the red house. Some red-house, x"), (2, "a", None)], "doc_id bigint, source string, text string")
+    tables("word_list", [("red-house",), ("Buy the",), (None,)], "word string")
+    sf = tables("dump_tc", [("house",), ("three word entry",), (None,)], "c1 string")
+    assert out(corpora.c_sentence_phrase_hits(spark, sf), "no", "start", "phrase") == [(0, 1, "buy the"), (0, 3, "red house"), (0, 4, "house"), (1, 2, "red house"), (1, 3, "house")]
+    assert out(corpora.c_dictionary_two_word_entries(spark, sf), "doc_id", "entry", "n") == [(1, "buy the", 1), (1, "red house", 2)]
+    assert out(corpora.c_sentence_emphasis(spark, sf), "no", "marked") == [(0, "Buy **the** red house."), (1, "**Some** red-house, x.")]
