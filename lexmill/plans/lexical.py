@@ -292,6 +292,18 @@ def s_prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return readers.prefix_lookup(d, asked).select("row_id", "word", "lang", "translation")
 
 
+@query(f"""
+with asked as (select word as w from word_list union select {strip("unnest(string_split(translationeng, ','))")} from word_list union select c1 from dump_tc)
+select row_id, c1 as word, c5 as lang, c6 as translation from dump_tc where c1 in (select w from asked where w is not null)
+""")
+def s_prefix_lookup_words(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of the list, the items of their glosses and all headwords, across the partitions."""
+    w = table(spark, sf, "word_list")
+    d = readers.with_prefix(dump(spark, sf))
+    asked = w.select("word").unionByName(w.select(F.explode(T.split_items("translationeng")).alias("word"))).unionByName(d.select("word"))
+    return readers.prefix_lookup(d, asked.distinct()).select("row_id", "word", "lang", "translation")
+
+
 @query("""
 with r as (select raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
 e as (select j->>'word' as word, j->>'pos' as pos, unnest(json_extract(j, '$.translations[*]')) as t from r where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR' and json_type(j, '$.translations') = 'ARRAY')
@@ -502,6 +514,13 @@ def g_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return rows.pivot_fixed(d, ["c1"], "c5", _LANGS, F.min("c6"))
 
 
+@query()
+def g_pivot_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """One column for each id of the language table; headwords without a cell stay."""
+    ids = sorted(r["id"] for r in table(spark, sf, "iso_639_3").where("id is not null").select("id").distinct().collect())
+    return rows.pivot_fixed(table(spark, sf, "dump_tc"), ["c1"], "c5", ids, F.min("c6"))
+
+
 @query("""
 with a as (select c1, list(distinct c6) filter (where c7 = 'm' and c6 is not null) as m, list(distinct c6) filter (where c7 = 'f' and c6 is not null) as f, list(distinct c6) filter (where c7 = 'n' and c6 is not null) as n, list(distinct c6) filter (where c7 = 'c' and c6 is not null) as c from dump_tc group by c1),
 b as (select c1, coalesce(m, []) as m, coalesce(f, []) as f, coalesce(n, []) as n, coalesce(c, []) as c from a),

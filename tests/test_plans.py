@@ -78,3 +78,11 @@ def test_phrases_in_sentences_of_documents(spark, tables):
     assert out(corpora.c_sentence_phrase_hits(spark, sf), "no", "start", "phrase") == [(0, 1, "buy the"), (0, 3, "red house"), (0, 4, "house"), (1, 2, "red house"), (1, 3, "house")]
     assert out(corpora.c_dictionary_two_word_entries(spark, sf), "doc_id", "entry", "n") == [(1, "buy the", 1), (1, "red house", 2)]
     assert out(corpora.c_sentence_emphasis(spark, sf), "no", "marked") == [(0, "Buy **the** red house."), (1, "**Some** red-house, x.")]
+
+
+def test_lookup_and_pivot_over_all_rows(spark, tables):
+    tables("word_list", [("kasa", "house, set"), (None, None)], "word string, translationeng string")
+    tables("iso_639_3", [("qaa",), ("qab",)], "id string")
+    sf = tables("dump_tc", [(1, "house", None, "sense", "qaa", "x", None), (2, "bat", None, None, "qab", "y", None), (3, "zoo", None, None, "qzz", "z", None), (4, None, None, None, "qaa", "v", None)], "row_id bigint, c1 string, c2 string, c4 string, c5 string, c6 string, c7 string")
+    assert out(lexical.s_prefix_lookup_words(spark, sf), "row_id") == [(1,), (2,), (3,)]
+    assert out(lexical.g_pivot_languages(spark, sf), "c1", "qaa", "qab") == sorted([("house", "x", None), ("bat", None, "y"), ("zoo", None, None), (None, "v", None)], key=repr)
