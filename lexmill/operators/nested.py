@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 from collections.abc import Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
@@ -28,19 +31,102 @@ def _no_constant(name: str) -> Any:
     raise ValueError(f"{name} is not JSON")
 
 
+_SCALARS = json.JSONDecoder(parse_constant=_no_constant)
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def _name(text: str, i: int) -> tuple[str, int]:
+    """A member's name at ``i`` and where its value begins."""
+    if text[i : i + 1] != '"':
+        raise ValueError("no name")
+    name, i = scanstring(text, i + 1, True)
+    i = _BLANKS.match(text, i).end()
+    if text[i : i + 1] != ":":
+        raise ValueError("no colon")
+    return name, _BLANKS.match(text, i + 1).end()
+
+
+def _loads_deep(text: str) -> Any:
+    """As json.loads, for any depth."""
+    open_: list[tuple[Any, str | None]] = []
+    i = _BLANKS.match(text).end()
+    while True:
+        ch = text[i : i + 1]
+        if ch == "{" or ch == "[":
+            value: Any = {} if ch == "{" else []
+            i = _BLANKS.match(text, i + 1).end()
+            if text[i : i + 1] != ("}" if ch == "{" else "]"):
+                name = None
+                if ch == "{":
+                    name, i = _name(text, i)
+                open_.append((value, name))
+                continue
+            i += 1
+        else:
+            value, i = _SCALARS.raw_decode(text, i)
+        while True:
+            i = _BLANKS.match(text, i).end()
+            if not open_:
+                if i < len(text):
+                    raise ValueError("more than one value")
+                return value
+            holder, name = open_[-1]
+            if isinstance(holder, list):
+                holder.append(value)
+            else:
+                holder[name] = value
+            ch = text[i : i + 1]
+            if ch == ",":
+                i = _BLANKS.match(text, i + 1).end()
+                if isinstance(holder, dict):
+                    name, i = _name(text, i)
+                    open_[-1] = (holder, name)
+                break
+            if ch != ("]" if isinstance(holder, list) else "}"):
+                raise ValueError("not closed")
+            open_.pop()
+            value, i = holder, i + 1
+
+
+def _dumps_deep(value: Any) -> str:
+    """Canonical text, for any depth."""
+    out: list[str] = []
+    todo: list[tuple[bool, Any]] = [(False, value)]
+    while todo:
+        done, x = todo.pop()
+        if done or not isinstance(x, (dict, list)):
+            out.append(x if done else json.dumps(x))
+            continue
+        is_map = isinstance(x, dict)
+        parts: list[tuple[bool, Any]] = [(True, "{" if is_map else "[")]
+        for n, k in enumerate(sorted(x) if is_map else x):
+            parts.append((True, ("," if n else "") + (json.dumps(k) + ":" if is_map else "")))
+            parts.append((False, x[k] if is_map else k))
+        todo.extend(reversed([*parts, (True, "}" if is_map else "]")]))
+    return "".join(out)
+
+
 def read_object(line: str | None) -> dict | None:
-    """The object a line holds; None if the line is null, is not valid JSON or holds something else."""
+    """The object a line holds, however deep and with numbers of any length; None if the line is null, is not valid JSON or holds something else."""
     if line is None:
         return None
+    sys.set_int_max_str_digits(0)  # longer integers are valid JSON too
     try:
-        value = json.loads(line, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
+        try:
+            value = json.loads(line, parse_constant=_no_constant)
+        except RecursionError:
+            value = _loads_deep(line)
+    except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
 
 def _identity(kind: str, members: dict[str, Any]) -> tuple[str, str]:
-    body = json.dumps({k: v for k, v in members.items() if v is not None}, sort_keys=True, ensure_ascii=True, separators=(",", ":"))
+    own = {k: v for k, v in members.items() if v is not None}
+    try:
+        body = json.dumps(own, sort_keys=True, ensure_ascii=True, separators=(",", ":"))
+    except RecursionError:
+        body = _dumps_deep(own)
     return hashlib.blake2b(f"{kind}\n{body}".encode(), digest_size=16).hexdigest(), body
 
 

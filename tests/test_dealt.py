@@ -227,6 +227,23 @@ def test_nested_deep_and_long(spark):
     assert nested.occurrences(df).where("rec_id = 2 and child = 'sense'").count() == 3000
 
 
+def test_nested_any_depth_and_number(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    lines = ['{"senses":[{"x":' + deep + '}]}', '{"senses":[{"n":' + "7" * 5000 + "}]}", '{"senses":[{"x":' + deep[:-1] + "}]}", '{"senses":{"x":' + deep + ',"y":NaN}}']
+    df = spark.createDataFrame(list(enumerate(lines)), "rec_id int, raw_line string")
+    found = nested.occurrences(df).where("child = 'sense'")
+    assert rows(found, "rec_id", "sense_no") == [(0, 0), (1, 0)]
+    assert {r["rec_id"]: r["body"] for r in found.collect()} == {0: '{"x":' + deep + "}", 1: '{"n":' + "7" * 5000 + "}"}
+    for text in ('{"b": [1, {"a": "x\\n", "c": []}, null], "a": {}}', "[]", ' {"a" : [ ] } '):
+        assert nested._loads_deep(text) == json.loads(text) and nested._dumps_deep(json.loads(text)) == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+    for text in ('{"a":1,}', "[1,]", "{} x", '{"a" 1}', "[", "", "[1 2]", "[NaN]"):
+        try:
+            nested._loads_deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)
+
+
 # --- skew
 
 
