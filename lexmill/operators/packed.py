@@ -1,27 +1,32 @@
 """Several values packed in one field (problem 2).
 
-Method: dictionary-guided segmentation. The dictionary holds known whole values (fields that
-consist of one value, and values that closed marks protect somewhere, which may hold
-delimiters and marks that never close). A multi-pattern automaton finds them in a packed text; dynamic
-programming picks the cover of the text by known values and rule segments with the fewest
-unknown pieces, then the fewest pieces.
-
-Which delimiters may part values is a rule: letters, marks, digits, spaces and the signs of
-``NEVER_PART`` never do, delimiters inside closed parentheses or closed double quotes do not,
-every other delimiter does. A dictionary value may bridge a delimiter only where the rule
-leaves it open, that is behind a parenthesis or quote which never closes; with
+Method: dictionary-guided segmentation. The dictionary holds all known whole values of a field
+(cells that consist of one value, and values that closed marks protect somewhere, which may
+hold delimiters and marks that never close). A multi-pattern automaton finds them in every
+packed text; dynamic programming picks the cover of the text by known values and unknown
+pieces with the fewest unknown pieces, then the fewest pieces. The rows are read off that cover.
+
+A rule gives the places where the cover may and must part: letters, marks, digits, spaces and
+the signs of ``NEVER_PART`` never part, nor do delimiters inside closed parentheses or closed
+double quotes; every other delimiter does. Only where the rule leaves a delimiter open, that
+is behind a parenthesis or quote which never closes, may a known value bridge it; with
 ``dictionary_protects=True`` known values may bridge any delimiter.
+
+The dictionary is never cut short. Up to ``DICTIONARY_CHARS`` characters, which are counted,
+it is broadcast; beyond that the pieces a text could hold are looked up by a join and each
+batch builds its automaton from what was found, with the same result.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 # Signs that never part values.
 NEVER_PART = ".-+_':()"
@@ -30,6 +35,9 @@ QUOTES = {'"': '"', "“": "”"}
 #: Java pattern of a field that holds one value by its characters alone.
 SINGLE_VALUE = r"^[\p{L}\p{M}\p{Nd}\p{Zs}.\-+_':]+\z"
 
+#: Characters of all dictionary values together up to which the dictionary is broadcast.
+DICTIONARY_CHARS = 4_000_000
+
 
 def _parts(ch: str) -> bool:
     return not (ch in NEVER_PART or unicodedata.category(ch)[0] in "LMN" or unicodedata.category(ch) == "Zs")
@@ -114,7 +122,7 @@ def clean(piece: str) -> str:
 
 
 class Segmenter:
-    """Cover of packed texts by known values and rule segments."""
+    """Cover of packed texts by known values and unknown pieces."""
 
     def __init__(self, known: Iterable[str] = (), dictionary_protects: bool = False):
         import ahocorasick
@@ -127,49 +135,79 @@ class Segmenter:
         if self.known:
             self.automaton.make_automaton()
 
-    def _bridges(self, text: str, bounds: list[tuple[int, int]], unclosed: int) -> dict[int, list[int]]:
-        """Segments a -> segments b such that a known value is exactly the text of a..b with its delimiters."""
-        if not self.known or len(bounds) < 2 or not (self.protects or unclosed < len(text)):
-            return {}
-        starts, ends = {}, {}
-        for k, (a, b) in enumerate(bounds):
-            piece = text[a:b]
-            starts[a + len(piece) - len(piece.lstrip())] = k
-            ends[b - (len(piece) - len(piece.rstrip()))] = k
-        out: dict[int, list[int]] = {}
-        for last, length in self.automaton.iter(text):
-            a, b = starts.get(last + 1 - length), ends.get(last + 1)
-            if a is not None and b is not None and b > a and (self.protects or bounds[b][0] > unclosed):
-                out.setdefault(a, []).append(b)
-        return out
-
-    def split(self, text: str) -> list[str]:
-        cuts, unclosed = scan(text)
-        bounds, at = [], 0
-        for c in [*cuts, len(text)]:
-            bounds.append((at, c))
-            at = c + 1
-        bridges = self._bridges(text, bounds, unclosed)
-        if not bridges:  # the rule's segments are the only cover
-            return [v for a, b in bounds if (v := clean(text[a:b]))]
-        n = len(bounds)
+    def cover(self, text: str) -> list[tuple[str, bool]]:
+        """The values of a text in order, each with whether the dictionary holds it."""
+        segments, unclosed = _segments(text)
+        n = len(segments)
+        values = [clean(text[a:b]) for a, b in segments]
+        known = [False] * n
+        bridges: dict[int, list[int]] = {}
+        if self.known:
+            starts = {a: k for k, (a, b) in enumerate(segments) if a < b}
+            ends = {b: k for k, (a, b) in enumerate(segments) if a < b}
+            inner = {_inside(text, a, b): k for k, (a, b) in enumerate(segments) if values[k] != text[a:b]}
+            for last, length in self.automaton.iter(text):
+                a, b = starts.get(last + 1 - length), ends.get(last + 1)
+                if a is not None and a == b:
+                    known[a] = True
+                elif a is not None and b is not None and b > a and (self.protects or segments[b][0] > unclosed):
+                    bridges.setdefault(a, []).append(b)
+                elif (k := inner.get((last + 1 - length, last + 1))) is not None:
+                    known[k] = True
+            for k in inner.values():  # a doubled quote is written otherwise than in the dictionary
+                known[k] = known[k] or values[k] in self.known
+        # best[k]: (unknown pieces, pieces) of the best cover from segment k on, step[k]: segments its first piece takes.
         best: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         step = [1] * n
         for k in range(n - 1, -1, -1):
-            piece = clean(text[bounds[k][0] : bounds[k][1]])
             unknown, pieces = best[k + 1]
-            best[k] = (unknown + (piece != "" and piece not in self.known), pieces + (piece != ""))
-            for b in bridges.get(k, []):
+            best[k] = (unknown + (values[k] != "" and not known[k]), pieces + (values[k] != ""))
+            for b in bridges.get(k, ()):
                 unknown, pieces = best[b + 1]
                 if (unknown, pieces + 1) < best[k]:
                     best[k], step[k] = (unknown, pieces + 1), b + 1 - k
         out, k = [], 0
         while k < n:
-            v = clean(text[bounds[k][0] : bounds[k + step[k] - 1][1]])
-            if v:
-                out.append(v)
+            if step[k] > 1:
+                out.append((clean(text[segments[k][0] : segments[k + step[k] - 1][1]]), True))
+            elif values[k]:
+                out.append((values[k], known[k]))
             k += step[k]
-        return out
+        return [x for x in out if x[0]]
+
+    def split(self, text: str) -> list[str]:
+        return [v for v, _ in self.cover(text)]
+
+
+def _segments(text: str) -> tuple[list[tuple[int, int]], int]:
+    """What the rule's delimiters leave, without the blanks around, and where an unclosed mark opens."""
+    cuts, unclosed = scan(text)
+    out, at = [], 0
+    for c in [*cuts, len(text)]:
+        piece = text[at:c]
+        a = at + len(piece) - len(piece.lstrip())
+        out.append((a, max(a, c - (len(piece) - len(piece.rstrip())))))
+        at = c + 1
+    return out, unclosed
+
+
+def _inside(text: str, a: int, b: int) -> tuple[int, int]:
+    """Span inside the quotes of a quoted segment."""
+    piece = text[a + 1 : b - 1]
+    return a + 1 + len(piece) - len(piece.lstrip()), b - 1 - (len(piece) - len(piece.rstrip()))
+
+
+def candidates(text: str, longest: int, dictionary_protects: bool = False) -> set[str]:
+    """All pieces of a text that a dictionary value of at most ``longest`` delimiters could be in a cover."""
+    segments, unclosed = _segments(text)
+    out = set()
+    for k, (a, b) in enumerate(segments):
+        out.add(text[a:b])
+        out.add(clean(text[a:b]))
+        for to in range(k + 1, min(k + longest, len(segments) - 1) + 1):
+            if a < b and (dictionary_protects or segments[to][0] > unclosed):
+                out.add(text[a : segments[to][1]])
+    return out - {""}
 
 
 def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,53 +222,128 @@ def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.string())], names=["field", "item"])
 
 
-def known_values(df: DataFrame, fields: list[str], limit: int = 50_000) -> dict[str, list[str]]:
-    """The ``limit`` most frequent whole values of the fields, counted over all rows; those that hold a delimiter first, as only they can bridge one.
+def _cells(df: DataFrame, fields: Sequence[str], *keep: Column) -> DataFrame:
+    """One row per non-empty cell: what is kept, ``field`` and ``text``."""
+    cell = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("_cell")
+    return df.select(*keep, cell).where("_cell.text <> ''").select(*[c for c in df.select(*keep).columns], "_cell.field", "_cell.text")
+
+
+def known_values(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, item): every whole value of the fields, once; taken from all rows.
 
-    Whole values are fields that are one value by their characters, and values that closed
-    marks protect. A field that merely recurs is not one: rows are delivered twice, and lists
-    with them. ``limit`` bounds what reaches the driver and is broadcast; a smaller dictionary
-    changes nothing about values that the rule can part.
+    Whole values are cells that are one value by their characters, and values with a
+    delimiter that closed marks protect. A cell that merely recurs is not one: rows are
+    delivered twice, and lists with them.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f).cast("string")).alias("item")) for f in fields])).alias("p")
-    cells = df.select(pairs).select("p.*")
-    single = cells.where(F.col("item").rlike(SINGLE_VALUE)).withColumn("bridges", F.lit(0))
-    held = cells.where(F.col("item").rlike(r'["“(]')).mapInArrow(_protected, "field string, item string").withColumn("bridges", F.lit(1))
-    rows = single.unionByName(held).groupBy("field", "item", "bridges").count()
-    out: dict[str, list[str]] = {f: [] for f in fields}
-    for row in rows.orderBy(F.desc("bridges"), F.desc("count"), "field", "item").limit(limit).collect():
-        out[row["field"]].append(row["item"])
-    return out
+    cells = _cells(df, fields).select("field", F.trim("text").alias("item")).where("item <> ''")
+    single = cells.where(F.col("item").rlike(SINGLE_VALUE))
+    held = cells.where(F.col("item").rlike(r'["“(]')).mapInArrow(_protected, "field string, item string")
+    return single.unionByName(held).distinct()
+
+
+_CUTTERS: dict[str, dict[str, Segmenter]] = {}
 
 
-def unpack_fields(df: DataFrame, key: str, fields: list[str], *, dictionary: dict[str, list[str]] | None = None, dictionary_protects: bool = False) -> DataFrame:
-    """One row per value: ``key``, ``field``, ``pos_no`` (from 1), ``item``.
+def _cutters(key: str, known: Mapping[str, Sequence[str]], protects: bool) -> dict[str, Segmenter]:
+    """The automata of a dictionary; a Python worker keeps the last one."""
+    if key not in _CUTTERS:
+        _CUTTERS.clear()
+        _CUTTERS[key] = {f: Segmenter(items, protects) for f, items in known.items()}
+    return _CUTTERS[key]
+
+
+def _looked_up(cells: DataFrame, dictionary: DataFrame, longest: int, protects: bool) -> DataFrame:
+    """``cells`` with ``_held``: the dictionary values that the text could hold, found by a join on the pieces of each distinct text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, item = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = candidates(text, longest, protects)
+                at.extend([i] * len(found))
+                item.extend(found)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(item, pa.string())], names=["field", "text", "item"])
+
+    texts = cells.select("field", "text").distinct()
+    hits = texts.mapInArrow(run, "field string, text string, item string").join(dictionary, ["field", "item"])
+    held = hits.groupBy("field", "text").agg(F.collect_set("item").alias("_held"))  # at most the pieces of one text
+    return cells.join(held, ["field", "text"], "left")
+
+
+def unpack_fields(
+    df: DataFrame,
+    key: str,
+    fields: Sequence[str],
+    *,
+    dictionary: Mapping[str, Sequence[str]] | DataFrame | None = None,
+    dictionary_protects: bool = False,
+    carry: Sequence[str] = (),
+    once: bool = False,
+    dictionary_chars: int = DICTIONARY_CHARS,
+) -> DataFrame:
+    """One row per value: ``key``, the columns of ``carry``, ``field``, ``pos_no`` (from 1), ``item``, ``known`` (whether the dictionary holds it).
+
+    ``dictionary`` is field -> values, or rows (field, item); without one it is learned from
+    ``df``. With ``once`` an item that a cell repeats comes once, at its first position.
 
     Defined cases: null, empty and blank fields give no rows; empty values are dropped and
     not counted; values repeated in a field keep their positions; repeated or null keys are
     carried through; an empty table gives none; other columns are ignored whatever their
     names; the length of a text is not limited (one pass over it).
     """
+    kept = [key, *carry]
+    if len({*kept, "field", "pos_no", "item", "known"}) < len(kept) + 4:
+        raise ValueError("the columns kept must have names of their own")
+    spark = df.sparkSession
+    if isinstance(dictionary, Mapping):
+        dictionary = spark.createDataFrame([(f, v) for f, values in dictionary.items() for v in values], "field string, item string").distinct()
     dictionary = known_values(df, fields) if dictionary is None else dictionary
-    shared = df.sparkSession.sparkContext.broadcast((dictionary, dictionary_protects))
-    schema = StructType([StructField(key, df.schema[key].dataType), StructField("field", StringType()), StructField("pos_no", IntegerType()), StructField("item", StringType())])
+    own = [F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)]
+    cells = _cells(df, fields, *own)
+    delimiters = F.length(F.regexp_replace("item", r"[\p{L}\p{M}\p{N}\p{Zs}.\-+_':()]", ""))
+    size = dictionary.agg(F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars"), F.coalesce(F.max(delimiters), F.lit(0)).alias("longest")).first()
+    schema = StructType([*[StructField(c, df.schema[c].dataType) for c in kept], StructField("field", StringType()), StructField("pos_no", IntegerType()), StructField("item", StringType()), StructField("known", BooleanType())])
+    shared = None
+    if size["chars"] <= dictionary_chars:
+        known: dict[str, list[str]] = {f: [] for f in fields}
+        for row in dictionary.collect():
+            known.setdefault(row["field"], []).append(row["item"])
+        shared = spark.sparkContext.broadcast(known)
+    else:
+        cells = _looked_up(cells, dictionary, size["longest"], dictionary_protects)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, protects = shared.value
-        cutters = {f: Segmenter(known.get(f, ()), protects) for f in fields}
         for batch in batches:
-            at, field, pos, item = [], [], [], []
-            for k, f in enumerate(fields):
-                split = cutters[f].split
-                for i, text in enumerate(batch.column(k + 1).to_pylist()):
-                    if text:
-                        values = split(text)
-                        at.extend([i] * len(values))
-                        pos.extend(range(1, len(values) + 1))
-                        item.extend(values)
-                field.extend([f] * (len(at) - len(field)))
+            columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            field_of, texts = columns["field"].to_pylist(), columns["text"].to_pylist()
+            if shared is not None:
+                cutters = _cutters(name, shared.value, dictionary_protects)
+            else:
+                held: dict[str, set[str]] = {f: set() for f in fields}
+                for f, items in zip(field_of, columns["_held"].to_pylist()):
+                    held[f].update(items or ())
+                cutters = {f: Segmenter(items, dictionary_protects) for f, items in held.items()}
+            covers: dict[tuple[str, str], tuple[list[int], list[str], list[bool]]] = {}
+            at, pos, item, known_ = [], [], [], []
+            for i, cell in enumerate(zip(field_of, texts)):
+                found = covers.get(cell)
+                if found is None:
+                    values = [(p, v, k) for p, (v, k) in enumerate(cutters[cell[0]].cover(cell[1]), 1)]
+                    if once:
+                        first: dict[str, tuple] = {}
+                        for x in values:
+                            first.setdefault(x[1], x)
+                        values = list(first.values())
+                    found = covers[cell] = tuple(map(list, zip(*values))) if values else ([], [], [])
+                at.extend([i] * len(found[0]))
+                pos.extend(found[0])
+                item.extend(found[1])
+                known_.extend(found[2])
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(field, pa.string()), pa.array(pos, pa.int32()), pa.array(item, pa.string())], names=[key, "field", "pos_no", "item"]
+                [*[columns[f"_c{i}"].take(take) for i in range(len(kept))], columns["field"].take(take), pa.array(pos, pa.int32()), pa.array(item, pa.string()), pa.array(known_, pa.bool_())], names=schema.names
             )
 
-    return df.select(F.col(key), *[F.col(f).cast("string").alias(f"_f{k}") for k, f in enumerate(fields)]).mapInArrow(run, schema)
+    return cells.mapInArrow(run, schema)

@@ -31,18 +31,22 @@ def p1_bad_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return packed.unpack_fields(table(spark, sf, "word_list"), "row_id", PACKED_FIELDS)
+    return packed.unpack_fields(table(spark, sf, "word_list"), "row_id", PACKED_FIELDS).drop("known")
+
+
+def p2_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of each field by whether they are in its dictionary."""
+    return packed.unpack_fields(table(spark, sf, "word_list"), "row_id", PACKED_FIELDS).groupBy("field", "known").agg(F.count(F.lit(1)).alias("n"))
 
 
 def naming_rows(words: DataFrame) -> DataFrame:
-    """Each name in the referring fields: ``row_id``, ``field``, ``target``, ``added_at``; once per row and field."""
-    # Names are split by the same rule as other packed fields; times are joined back by row.
-    listed = packed.unpack_fields(words, "row_id", NAMING_FIELDS).select("row_id", "field", F.col("item").alias("target"))
-    blank = r"(?U)^\s+|\s+$"
-    parts = F.transform(F.split("lexiliasel", r"\+"), lambda x: F.regexp_replace(x, blank, ""))
-    compounds = words.where(F.col("lexiliasel").contains("+") & ~F.col("lexiliasel").rlike("[()]")).select("row_id", F.lit("lexiliasel").alias("field"), F.explode(parts).alias("target")).where("target != ''")
-    times = words.select("row_id", "added_at")
-    return listed.unionByName(compounds).distinct().join(times, "row_id")
+    """Each name in the referring fields: ``row_id``, ``added_at``, ``field``, ``target``; once per row and field."""
+    # The parts of a compound are quoted, which makes it a packed field like the others.
+    quoted = F.transform(F.split("lexiliasel", r"\+"), lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')))
+    compound = F.when(F.col("lexiliasel").contains("+") & ~F.col("lexiliasel").rlike("[()]"), F.array_join(quoted, ","))
+    listed = words.select("row_id", "added_at", *NAMING_FIELDS, compound.alias("lexiliasel"))
+    names = packed.unpack_fields(listed, "row_id", [*NAMING_FIELDS, "lexiliasel"], carry=["added_at"], once=True)
+    return names.select("row_id", "added_at", "field", F.col("item").alias("target"))
 
 
 def p4_orphans(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +113,7 @@ def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     return p6_headwords(spark, sf).select("c1", F.col("left_rows").alias("n_rows"), F.coalesce("rows_in_known_language", F.lit(0)).alias("n_known"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_bad_cells, p2_found, p4_found, p4_report, p4_languages, p5_found, p5_nodes, p5_senses, p5_examples, p5_translations, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_bad_cells, p2_found, p2_known, p4_found, p4_report, p4_languages, p5_found, p5_nodes, p5_senses, p5_examples, p5_translations, p6_found, p6_counts)}
 
 _FIELD = r'(?:[^"\t][^\t]*|"(?:[^"]|"")*")?'
 _P1 = rf"""
@@ -168,12 +172,22 @@ union all select rec_id, 'example', no::int, child_no::int from e where json_typ
 union all select rec_id, 'translation', no::int, child_no::int from t where json_type(o) = 'OBJECT'
 """
 
+_P2_ITEMS = " union all ".join(f"select '{f}' as field, unnest({_items(f)}) as item from word_list where {f} is not null" for f in PACKED_FIELDS)
+_P2_CELLS = " union all ".join(f"select '{f}' as field, trim({f}) as item from word_list" for f in PACKED_FIELDS)
+_P2_KNOWN = rf"""
+with item as ({_P2_ITEMS}), cell as ({_P2_CELLS}),
+dict as (select distinct field, item, true as known from cell where regexp_full_match(item, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Zs}}.\-+_'':]+')
+  union select field, item, true from item where regexp_matches(item, '[^\p{{L}}\p{{M}}\p{{N}}\p{{Zs}}.\-+_'':()]'))
+select field, coalesce(known, false) as known, count(*) as n from item left join dict using (field, item) group by all
+"""
+
 ORACLE_SQL = {
     "p1_found": _P1 + "select line_id, reason from judged where reason is not null",
     "p1_loaded": _P1 + "select line_id, " + ", ".join(f"f[{i + 1}] as c{i}" for i in range(11)) + " from judged where reason is null",
     "p2_found": " union all ".join(
         f"select row_id, '{f}' as field, i::int as pos_no, v[i] as item from (select row_id, v, unnest(range(1, len(v) + 1)) as i from (select row_id, {_items(f)} as v from word_list where {f} is not null))" for f in PACKED_FIELDS
     ),
+    "p2_known": _P2_KNOWN,
     "p4_found": _P4 + "select row_id, field, target, strftime(added_at, '%Y-%m') as year_month from orphan",
     "p4_report": _P4 + "select 'word_list' as table_name, field, strftime(added_at, '%Y-%m') as year_month, count(*) as orphans from orphan group by all",
     "p4_languages": " union all ".join(f"select c0, c5, count(*) as n_rows, '{c}' as field from dump_tc where {c} is not null and {c} not in (select id from iso_639_3 where id is not null) group by c0, c5" for c in ("c0", "c5")),

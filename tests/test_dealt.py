@@ -7,6 +7,7 @@ import json
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import nested, orphans, packed, rejects, skew
@@ -142,6 +143,27 @@ def test_packed_unclosed_marks_and_dictionary():
     assert split("salt, pepper, oil", known=["salt, pepper"], dictionary_protects=True) == ["salt, pepper", "oil"]
 
 
+def test_packed_cover_is_by_the_dictionary():
+    cover = lambda text, *known, **kw: packed.Segmenter(known, **kw).cover(text)
+    assert cover("oil, salt; x", "salt", "oil") == [("oil", True), ("salt", True), ("x", False)]
+    assert cover('"a, b", b', "a, b") == [("a, b", True), ("b", False)] and cover('"the ""old"" one"', 'the "old" one') == [('the "old" one', True)]
+    assert cover("saltpan, pan", "salt", "pan") == [("saltpan", False), ("pan", True)]  # a hit must be a whole piece
+    # Covers with equally many unknown pieces differ in the number of pieces; fewer unknown ones come first.
+    assert cover("(a, b, c", "b, c", "(a") == [("(a", True), ("b, c", True)]
+    assert cover("(a, b, c", "(a, b", "b, c", "c") == [("(a, b", True), ("c", True)]
+    assert cover("(a, b, c, d", "(a, b", "b, c", "(a", "d") == [("(a", True), ("b, c", True), ("d", True)]
+
+
+def test_packed_candidates_hold_every_piece_of_a_cover():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(['a', 'b', ', ', '; ', '"', '(', ')', ' ']) for _ in range(rng.randint(1, 14)))
+        for protects in (False, True):
+            pool = packed.candidates(text, 3, protects)
+            known = {x for x in pool if rng.random() < 0.4}
+            assert all(v in pool for v, k in packed.Segmenter(known, protects).cover(text) if k)
+
+
 def test_packed_long_text_is_linear():
     assert len(split("(" * 20_000 + "a, b" + '"' * 3)) >= 2
     assert len(split("a," * 100_000)) == 100_000
@@ -159,13 +181,31 @@ def test_unpack_fields(spark):
 def test_unpack_fields_learns_values_with_delimiters(spark):
     data = [(1, '"dull (sharp, round"; oil'), (2, "dull (sharp, round; oil"), (3, '"salt, pepper"'), (4, '5" salt, pepper'), (5, "salt, pepper"), (6, "mild (warm, soft"), (7, "mild (warm, soft")]
     df = spark.createDataFrame(data, "row_id int, f string")
-    assert packed.known_values(df, ["f"]) == {"f": ["dull (sharp, round", "salt, pepper"]} and packed.known_values(df, ["f"], 1) == {"f": ["dull (sharp, round"]}
+    assert rows(packed.known_values(df, ["f"]), "field", "item") == [("f", "dull (sharp, round"), ("f", "salt, pepper")]
     got = {}
     for r in rows(packed.unpack_fields(df, "row_id", ["f"]), "row_id", "pos_no", "item"):
         got.setdefault(r[0], []).append(r[2])
     assert got == {1: ["dull (sharp, round", "oil"], 2: ["dull (sharp, round", "oil"], 3: ["salt, pepper"], 4: ["5", "salt, pepper"], 5: ["salt", "pepper"], 6: ["mild (warm", "soft"], 7: ["mild (warm", "soft"]}
 
 
+def test_unpack_fields_broadcast_and_join_agree(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice(["oil", "salt", "salt, pepper", '"salt, pepper"', "dull (sharp", '"x; (y"', "x; (y", "a (b, c)", " ", ""])
+    data = [(i, rng.choice([", ", "; ", "|"]).join(word() for _ in range(rng.randint(0, 5))), rng.choice([None, "oil", "x; (y, oil"]), i) for i in range(200)]
+    df = spark.createDataFrame(data, "row_id int, f string, g string, item int")
+    for protects in (False, True):
+        ways = [rows(packed.unpack_fields(df, "row_id", ["f", "g"], dictionary_chars=n, dictionary_protects=protects), "row_id", "field", "pos_no", "item", "known") for n in (packed.DICTIONARY_CHARS, 0)]
+        assert ways[0] == ways[1] and {r[4] for r in ways[0]} == {True, False}
+
+
+def test_unpack_fields_carries_columns_and_drops_repeats(spark):
+    df = spark.createDataFrame([(1, "a, b, a", "x"), (1, "a", None)], "row_id int, f string, at string")
+    got = packed.unpack_fields(df, "row_id", ["f"], carry=["at"], once=True, dictionary={"f": ["b"]})
+    assert rows(got, "row_id", "at", "pos_no", "item", "known") == sorted([(1, "x", 1, "a", False), (1, "x", 2, "b", True), (1, None, 1, "a", False)], key=repr)
+    with pytest.raises(ValueError):
+        packed.unpack_fields(df.withColumn("item", F.lit(1)), "row_id", ["f"], carry=["item"])
+
+
 # --- orphans
 
 
