@@ -1,20 +1,23 @@
 """References to records that do not exist (problem 4).
 
 Method: composite keys with partial nulls. References are grouped by their null mask; each
-mask is checked by an anti-join on its non-null columns under the declared match semantics.
-Where a reference only holds at a time (``valid``), the anti-join asks whether any target row
-of that key was in force at that time.
-
-The temporal check does not pair references with target rows. Both go as events into one
-stream per (key, day), the latest end of validity so far runs along it, and the latest end of
-all earlier days is carried over from a table with one row per key and day. A key that holds
-a third of all rows is thereby spread over its days, and no pair is ever formed.
+mask is checked by one anti-join on its non-null columns under the declared match semantics.
+
+Where a reference only holds at a time (``valid``), the anti-join asks for a span of validity
+of that key around that time. The target rows are merged to disjoint spans first, so that a
+key has a span more only where it was gone for a while. They are merged within minutes, what
+is left within days, and what is left of these by key: a key that holds a third of all rows
+is spread over its minutes and days, and each step hands on one span where spans touch. The
+references, one row each, go through one shuffle; the anti-join keeps them as its streamed
+side, which adaptive execution splits where one key holds many of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,46 +36,49 @@ class Validity:
 
 _FAR = "9999-12-31 23:59:59.999999"
 
+#: Periods within which spans are merged before they are merged by key.
+PERIODS = ("minute", "day")
 
-def _null_mask(keys: Sequence[str]) -> Column:
-    mask = F.lit(0)
-    for k, key in enumerate(keys):
-        mask = mask + F.when(F.col(key).isNull(), F.lit(1 << k)).otherwise(F.lit(0))
-    return mask
 
+def _has_mask(keys: Sequence[str], mask: int) -> Column:
+    """Whether exactly the columns of a null mask are null."""
+    return reduce(and_, [F.col(key).isNull() if mask >> k & 1 else F.col(key).isNotNull() for k, key in enumerate(keys)])
 
-def _missing_now(refs: DataFrame, targets: DataFrame, keys: list[str], target_keys: list[str]) -> DataFrame:
-    existing = targets.select(*[F.col(t).alias(f"_t{k}") for k, t in enumerate(target_keys)]).distinct()
-    condition = [F.col(key) == F.col(f"_t{k}") for k, key in enumerate(keys)]
-    return refs.join(existing, condition, "left_anti")
 
+def spans(targets: DataFrame, keys: Sequence[str], valid: Validity) -> DataFrame:
+    """Disjoint spans of validity of each key: ``_k0``, ..., ``_from`` (included), ``_to`` (not included).
 
-def _missing_at(refs: DataFrame, targets: DataFrame, keys: list[str], target_keys: list[str], valid: Validity) -> DataFrame:
-    far = F.to_timestamp_ntz(F.lit(_FAR))
-    stamp = lambda c: F.col(c).cast("timestamp_ntz")
+    Rows with a null in the key, without a start, or whose end is not after their start
+    give none; rows without an end are valid for ever.
+    """
     parts = [f"_k{k}" for k in range(len(keys))]
-    ref_row = F.struct(*refs.columns)
-    asked = refs.select(*[F.col(c).alias(p) for c, p in zip(keys, parts)], stamp(valid.at).alias("_at"), F.lit(None).cast("timestamp_ntz").alias("_end"), F.lit(1).alias("_kind"), ref_row.alias("_ref"))
-    # One event for a key and start: of rows that start together, only the latest end matters.
-    offered = (
-        targets.select(*[F.col(c).alias(p) for c, p in zip(target_keys, parts)], stamp(valid.start).alias("_at"), F.coalesce(stamp(valid.end), far).alias("_end"))
-        .where(F.col("_at").isNotNull() & F.expr(" and ".join(f"{p} is not null" for p in parts)))
-        .groupBy(*parts, "_at")
-        .agg(F.max("_end").alias("_end"))
-    )
-    by_day = offered.groupBy(*parts, F.to_date("_at").alias("_day")).agg(F.max("_end").alias("_day_end"))
-    events = offered.select(*parts, "_at", "_end", F.lit(0).alias("_kind"), F.lit(None).cast(asked.schema["_ref"].dataType).alias("_ref")).unionByName(asked)
-    days = (
-        events.where("_kind = 1").select(*parts, F.to_date("_at").alias("_day")).distinct()
-        .join(by_day, [*parts, "_day"], "full")
-    )
-    earlier = Window.partitionBy(*parts).orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(*parts, "_day", F.max("_day_end").over(earlier).alias("_carried"))
-    within = Window.partitionBy(*parts, "_day").orderBy(F.col("_at").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    running = events.withColumn("_day", F.to_date("_at")).withColumn("_running", F.max("_end").over(within)).where("_kind = 1")
-    same = [F.col(f"r.{p}") == F.col(f"c.{p}") for p in parts] + [F.col("r._day") == F.col("c._day")]
-    latest = F.greatest(F.col("_running"), F.col("_carried"))
-    return running.alias("r").join(carried.alias("c"), same, "left").where(latest.isNull() | F.col("_at").isNull() | (latest <= F.col("_at"))).select("_ref.*")
+    stamp = lambda c: F.col(c).cast("timestamp_ntz")
+    rows = targets.select(*[F.col(c).alias(p) for c, p in zip(keys, parts)], stamp(valid.start).alias("_from"), F.coalesce(stamp(valid.end), F.to_timestamp_ntz(F.lit(_FAR))).alias("_to"))
+    rows = rows.where(F.expr(" and ".join(f"{p} is not null" for p in parts)) & (F.col("_from") < F.col("_to")))
+    # Of rows that start together only the latest end matters; repeated deliveries combine before the shuffle.
+    rows = rows.groupBy(*parts, "_from").agg(F.max("_to").alias("_to"))
+    for period in (*PERIODS, None):
+        rows = rows.withColumn("_period", F.date_trunc(period, "_from")) if period else rows
+        group = [*parts, "_period"] if period else parts
+        order = Window.partitionBy(*group).orderBy("_from")
+        reached = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        begun = rows.withColumn("_new", F.when(reached >= F.col("_from"), 0).otherwise(1))
+        numbered = begun.withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = numbered.groupBy(*group, "_no").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to")).select(*parts, "_from", "_to")
+    return rows
+
+
+def _missing(refs: DataFrame, targets: DataFrame, keys: list[str], target_keys: list[str], valid: Validity | None) -> DataFrame:
+    """The anti-join of one null mask."""
+    if valid is None:
+        there = targets.select(*[F.col(t).alias(f"_k{k}") for k, t in enumerate(target_keys)]).distinct()
+    else:
+        there = spans(targets, target_keys, valid)
+    met = [refs[key] == there[f"_k{k}"] for k, key in enumerate(keys)]
+    if valid is not None:
+        at = refs[valid.at].cast("timestamp_ntz")
+        met += [there["_from"] <= at, at < there["_to"]]
+    return refs.join(there, met, "left_anti")
 
 
 def orphan_references(refs: DataFrame, targets: DataFrame, keys: Sequence[str], target_keys: Sequence[str] | None = None, *, match: str = SIMPLE, valid: Validity | None = None) -> DataFrame:
@@ -94,15 +100,14 @@ def orphan_references(refs: DataFrame, targets: DataFrame, keys: Sequence[str],
     if match not in (SIMPLE, PARTIAL, FULL):
         raise ValueError(f"unknown match rule {match!r}")
     all_null = (1 << len(keys)) - 1
-    masks = range(all_null) if match == PARTIAL else [0]
+    masks = range(all_null) if match == PARTIAL else [0]  # bit k of a mask: column k is null
     found = []
     for mask in masks:
         at = [k for k in range(len(keys)) if not mask >> k & 1]
-        own = refs.where(_null_mask(keys) == mask)
-        own_keys, own_targets = [keys[k] for k in at], [target_keys[k] for k in at]
-        found.append(_missing_at(own, targets, own_keys, own_targets, valid) if valid else _missing_now(own, targets, own_keys, own_targets))
+        own = refs.where(_has_mask(keys, mask))
+        found.append(_missing(own, targets, [keys[k] for k in at], [target_keys[k] for k in at], valid))
     if match == FULL:
-        found.append(refs.where((_null_mask(keys) != 0) & (_null_mask(keys) != all_null)))
+        found += [refs.where(_has_mask(keys, mask)) for mask in range(1, all_null)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

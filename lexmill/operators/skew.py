@@ -30,8 +30,9 @@ def eager_join_aggregate(
 ) -> DataFrame:
     """What ``left join right group by ...`` gives, without ever joining rows.
 
-    Columns: the groups ``by_left`` and ``by_right``; ``left_rows`` (rows of the left input that
-    took part, each counted once), ``join_rows`` (rows the row-level join would have); and
+    Columns: the groups ``by_left`` and ``by_right``; ``met_rows`` (rows of the left input that met
+    a row of the right one, each counted once), ``left_rows`` (these and, under ``left``, those
+    that met none), ``join_rows`` (rows the row-level join would have); and
     for each entry name -> column of ``sum_left`` / ``sum_right`` its sum over the joined rows.
 
     ``how`` is ``inner`` or ``left``. Defined cases: null join keys match nothing, a left row
@@ -60,7 +61,8 @@ def eager_join_aggregate(
     joined = a.join(b, keys, how)
     many = F.coalesce(F.col("_m"), F.lit(1))
     out = joined.groupBy(*lg, *rg).agg(
-        F.sum("_n").alias("left_rows"),
+        F.sum(F.when(F.col("_m").isNotNull(), F.col("_n")).otherwise(0)).alias("_met"),
+        F.sum(F.when(F.col("_m").isNotNull(), 0).otherwise(F.col("_n"))).alias("_alone"),
         F.sum(F.col("_n") * many).alias("join_rows"),
         *[F.sum(F.col(f"_ls{i}") * many).alias(name) for i, name in enumerate(sum_left)],
         *[F.sum(F.col(f"_rs{i}") * F.col("_n")).alias(name) for i, name in enumerate(sum_right)],
@@ -68,7 +70,8 @@ def eager_join_aggregate(
     return out.select(
         *[F.col(g).alias(c) for g, c in zip(lg, by_left)],
         *[F.col(g).alias(f"right_{c}" if c in by_left else c) for g, c in zip(rg, by_right)],
-        "left_rows",
+        F.col("_met").alias("met_rows"),
+        (F.col("_met") + F.col("_alone")).alias("left_rows"),
         "join_rows",
         *sum_left,
         *sum_right,
@@ -78,7 +81,9 @@ def eager_join_aggregate(
 def hot_keys(per_key: DataFrame, key: str, count: str, share: float) -> DataFrame:
     """Keys whose ``count`` is at least ``share`` of the sum of all counts; null is no key.
 
-    The total is a scalar subquery over the compact per-key states, not over the rows.
+    The total is a scalar subquery over the compact per-key states. Key and count stand in one
+    condition, which stays above the aggregation, so that the subquery reads the shuffle of
+    the states instead of computing them again from the rows.
     """
     total = per_key.agg(F.sum(count).alias("n"))
-    return per_key.where(F.col(key).isNotNull() & (F.col(count) >= F.lit(share) * total.scalar()))
+    return per_key.where(F.when(F.col(key).isNotNull(), F.col(count)) >= F.lit(share) * total.scalar())

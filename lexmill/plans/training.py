@@ -63,12 +63,12 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_report(p4_orphans(spark, sf), "word_list", "field", "added_at")
 
 
-def p4_languages(spark: SparkSession, sf: str) -> DataFrame:
-    """(Source, target) language codes of translations that the language table does not hold; either code may be null."""
-    ids = table(spark, sf, "iso_639_3").select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    pairs = table(spark, sf, "dump_tc").groupBy("c0", "c5").agg(F.count(F.lit(1)).alias("n_rows"))
-    unknown = [orphans.orphan_references(pairs, ids, [c], [t], match=orphans.PARTIAL).withColumn("field", F.lit(c)) for c, t in (("c0", "src"), ("c5", "dst"))]
-    return unknown[0].unionByName(unknown[1])
+def p4_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Loaded lines whose (source language, headword, target language) the dump does not hold, under each match rule; the source may be missing."""
+    lines = p1_loaded(spark, sf).select("line_id", F.nullif("c0", F.lit("")).alias("c0"), "c1", "c5")
+    tc = table(spark, sf, "dump_tc").select("c0", "c1", "c5")
+    found = [orphans.orphan_references(lines, tc, ["c0", "c1", "c5"], match=m).select("line_id", F.lit(m).alias("rule")) for m in (orphans.SIMPLE, orphans.PARTIAL, orphans.FULL)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def p5_bridge(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,10 +99,9 @@ def p5_translations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_headwords(spark: SparkSession, sf: str) -> DataFrame:
-    """Per headword: its rows, and those in a known target language."""
-    tc = table(spark, sf, "dump_tc")
-    langs = table(spark, sf, "iso_639_3").withColumn("known", F.lit(1).cast("bigint"))
-    return skew.eager_join_aggregate(tc, langs, ["c5"], ["id"], by_left=["c1"], sum_right={"rows_in_known_language": "known"}, how="left")
+    """Per headword its rows, and those whose language meets the language table."""
+    langs = table(spark, sf, "iso_639_3").select("id").distinct()
+    return skew.eager_join_aggregate(table(spark, sf, "dump_tc"), langs, ["c5"], ["id"], by_left=["c1"], how="left")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,10 +109,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_headwords(spark, sf).select("c1", F.col("left_rows").alias("n_rows"), F.coalesce("rows_in_known_language", F.lit(0)).alias("n_known"))
+    return p6_headwords(spark, sf).select("c1", F.col("left_rows").alias("n_rows"), F.col("met_rows").alias("n_known"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_bad_cells, p2_found, p2_known, p4_found, p4_report, p4_languages, p5_found, p5_nodes, p5_senses, p5_examples, p5_translations, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_bad_cells, p2_found, p2_known, p4_found, p4_report, p4_lines, p5_found, p5_nodes, p5_senses, p5_examples, p5_translations, p6_found, p6_counts)}
 
 _FIELD = r'(?:[^"\t][^\t]*|"(?:[^"]|"")*")?'
 _P1 = rf"""
@@ -190,7 +189,9 @@ ORACLE_SQL = {
     "p2_known": _P2_KNOWN,
     "p4_found": _P4 + "select row_id, field, target, strftime(added_at, '%Y-%m') as year_month from orphan",
     "p4_report": _P4 + "select 'word_list' as table_name, field, strftime(added_at, '%Y-%m') as year_month, count(*) as orphans from orphan group by all",
-    "p4_languages": " union all ".join(f"select c0, c5, count(*) as n_rows, '{c}' as field from dump_tc where {c} is not null and {c} not in (select id from iso_639_3 where id is not null) group by c0, c5" for c in ("c0", "c5")),
+    "p4_lines": _P1 + """, line_key as (select line_id, nullif(f[1], '') as c0, f[2] as c1, f[6] as c5 from judged where reason is null),
+missing as (select *, not exists (select 1 from dump_tc d where (l.c0 is null or d.c0 = l.c0) and d.c1 = l.c1 and d.c5 = l.c5) as missing from line_key l)
+select line_id, 'simple' as rule from missing where c0 is not null and missing union all select line_id, 'partial' from missing where missing union all select line_id, 'full' from missing where c0 is null or missing""",
     "p5_found": _P5,
     "p6_found": "select c1 from dump_tc where c1 is not null group by c1 having count(*) >= 0.02 * (select count(*) from dump_tc)",
     "p6_counts": "select c1, count(*) as n_rows, count(*) filter (where c5 in (select id from iso_639_3)) as n_known from dump_tc group by c1",

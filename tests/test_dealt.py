@@ -234,6 +234,29 @@ def test_orphans_in_time_random(spark):
     assert sum(x["orphans"] for x in report.collect()) == len(want)
 
 
+def test_spans_merge_across_minutes_and_days(spark):
+    rng = random.Random(11)
+    start = dt.datetime(2024, 1, 1)
+    data = [(rng.choice("ab"), a := start + dt.timedelta(seconds=rng.choice([1, 60, 86400]) * rng.randrange(300)), a + dt.timedelta(seconds=rng.choice([-5, 0, 1, 90, 90_000]))) for _ in range(150)]
+    t = spark.createDataFrame(data, "k string, s timestamp_ntz, e timestamp_ntz")
+    want = []
+    for k in "ab":
+        for s, e in sorted((s, e) for w, s, e in data if w == k and s < e):
+            if want and want[-1][0] == k and want[-1][2] >= s:
+                want[-1] = (k, want[-1][1], max(want[-1][2], e))
+            else:
+                want.append((k, s, e))
+    assert rows(orphans.spans(t, ["k"], orphans.Validity("s", "e", "s")), "_k0", "_from", "_to") == sorted(want, key=repr)
+
+
+def test_orphans_in_time_with_null_masks_and_clashing_names(spark):
+    at = dt.datetime(2024, 1, 2)
+    refs = spark.createDataFrame([(1, "a", None, at), (2, "a", "y", at), (3, None, "x", at), (4, None, None, at), (5, "a", "x", None)], "_from int, k1 string, k2 string, _k0 timestamp_ntz")
+    targets = spark.createDataFrame([("a", "x", dt.datetime(2024, 1, 1), None), ("b", "y", dt.datetime(2024, 1, 3), None)], "k1 string, k2 string, s timestamp_ntz, e timestamp_ntz")
+    got = lambda m: [r[0] for r in rows(orphans.orphan_references(refs, targets, ["k1", "k2"], match=m, valid=orphans.Validity("s", "e", "_k0")), "_from")]
+    assert got("simple") == [2, 5] and got("partial") == [2, 5] and got("full") == [1, 2, 3, 5]
+
+
 # --- nested records
 
 
@@ -297,6 +320,11 @@ def test_eager_join_equals_row_join(spark):
         want = l.join(r, F.col("l.k") == F.col("r.k"), how).groupBy(F.col("l.g").alias("g"), F.col("r.g").alias("right_g")).agg(F.count(F.lit(1)).alias("join_rows"), F.sum("l.v").alias("sl"), F.sum("r.v").alias("sr"))
         cols = ["g", "right_g", "join_rows", "sl", "sr"]
         assert rows(got, *cols) == rows(want, *cols)
+        per = skew.eager_join_aggregate(left, right, ["k"], ["k"], by_left=["g"], how=how)
+        keys = {x["k"] for x in right.collect()} - {None}
+        met = lambda g: sum(x["g"] == g and x["k"] in keys for x in left.collect())
+        every = lambda g: met(g) if how == "inner" else sum(x["g"] == g for x in left.collect())
+        assert rows(per, "g", "met_rows", "left_rows") == [(g, met(g), every(g)) for g in "ab"]
     assert skew.eager_join_aggregate(left.limit(0), right, ["k"], ["k"], by_left=["g"]).count() == 0
 
 
