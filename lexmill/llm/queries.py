@@ -12,25 +12,25 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _spellings(spark: SparkSession, sf: str) -> list[str]:
+def _vocabulary(spark: SparkSession, sf: str) -> lookalike.Vocabulary:
     texts = _table(spark, sf, "dump_tc").select(F.col("c6").alias("t")).unionByName(_table(spark, sf, "menalari_extension").select(F.col("globasa").alias("t")))
-    return lookalike.canonical_spellings(texts, "t")
+    return lookalike.Vocabulary(lookalike.vocabulary(texts, "t"), spark)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    spellings = _spellings(spark, sf)
+    words = _vocabulary(spark, sf)
     found = [
-        lookalike.same_look_pairs(_table(spark, sf, name), key, column, within, spellings).select(F.lit(name).alias("table_name"), "id_a", "id_b")
+        lookalike.same_look_pairs(_table(spark, sf, name), key, column, within, words).select(F.lit(name).alias("table_name"), "id_a", "id_b")
         for name, key, column, within in (("dump_tc", "row_id", "c6", ["c1", "c5"]), ("menalari_extension", "ext_id", "globasa", []))
     ]
     return found[0].unionByName(found[1])
 
 
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Each text of the two columns in its one form."""
-    spellings = _spellings(spark, sf)
+    """Each text of the two columns in its one form, the class it belongs to."""
+    words = _vocabulary(spark, sf)
     forms = [
-        lookalike.unify(_table(spark, sf, name).select(F.col(key).alias("row_key"), F.col(column).alias("written")), "written", "form", spellings).select(F.lit(name).alias("table_name"), "row_key", "form")
+        lookalike.unify(_table(spark, sf, name).select(F.col(key).alias("row_key"), F.col(column).alias("written")), "written", "form", words).select(F.lit(name).alias("table_name"), "row_key", "form")
         for name, key, column in (("dump_tc", "row_id", "c6"), ("menalari_extension", "ext_id", "globasa"))
     ]
     return forms[0].unionByName(forms[1])

@@ -51,11 +51,64 @@ def test_pairs_against_brute_force(spark):
         got = lookalike.same_look_pairs(df, "id", "t", ["g"], spellings)
         assert sorted((r["id_a"], r["id_b"]) for r in got.collect()) == want
     assert lookalike.same_look_pairs(df.limit(0), "id", "t", [], []).count() == 0
-    assert lookalike.canonical_spellings(df, "t", 2) and unicodedata.is_normalized("NFC", "".join(lookalike.canonical_spellings(df, "t")))
     with pytest.raises(ValueError):
         lookalike.unify(df, "t", "g", [])
 
 
+def test_automaton_weighs_edits():
+    words = ["kasa", "kása", "сор", "cop", "mana"]
+    near = lambda t, budget: lookalike.Automaton(words, budget).canonical(t)[0]
+    # The first of the spellings at no cost; ignorables, widths and scripts cost nothing.
+    assert near("cop", 0) == near("сo\u200bр", 0) == "сор" and near("ｋаsa", 0) == "kasa" and near("ka\u0301sa", 0) == "kása" and near("k\u200ba\u200b\u0301sa", 0) == "kása"
+    assert near("Kasa", 0) is near("kas", 0) is near("kàsa", 0) is None
+    # A letter of another case is cheaper than an accent, an accent than any other edit.
+    assert near("Kasa", 1) == "kasa" and near("kàsa", 1) is None and near("kàsa", 2) == "kasa" and near("kas", 2) is None and near("kas", 3) == near("kasta", 3) == near("katа", 3) == "kasa"
+    assert near("KÁSA", 6) == "kása" and near("mama", 3) == "mana"
+    rng, letters = random.Random(3), ["a", "а", "\u0301", "\u200b", "b", "A"]
+
+    def brute(a, b):
+        a, b = list(lookalike._written(a)), list(lookalike._written(b))
+        row = [0]
+        for y in b:
+            row.append(row[-1] + lookalike._cost("", y))
+        for x in a:
+            nxt = [row[0] + lookalike._cost(x, "")]
+            for j, y in enumerate(b):
+                nxt.append(min(row[j] + lookalike._cost(x, y), row[j + 1] + lookalike._cost(x, ""), nxt[j] + lookalike._cost("", y)))
+            row = nxt
+        return row[-1]
+
+    for _ in range(300):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 4))) for _ in range(4)]
+        token = "".join(rng.choice(letters) for _ in range(rng.randint(0, 4)))
+        for budget in (0, 2, 4):
+            best = min((brute(token, w), i) for i, w in enumerate(words))
+            got = lookalike.Automaton(words, budget).canonical(token)[0]
+            want = words[best[1]] if best[0] <= budget else None
+            assert got == want or (got is not None and want is not None and list(lookalike._written(got)) == list(lookalike._written(want)))
+
+
+def test_written_symbols_are_the_decomposed_text():
+    rng = random.Random(5)
+    letters = ["a", "é", "\u0301", "\u0323", "\u200b", "ｶ", "ﾞ", "가", " ", "￣", "　"]
+    for _ in range(500):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 6)))
+        assert "".join(lookalike._written(t)) == lookalike.symbols(t)
+
+
+def test_vocabulary_decides_the_form_and_has_no_bound(spark):
+    texts = ["сор", "сор", "cop", "kasa", "kasа", "ｋasa", "cop​", None, "", "été сор", "Kasa"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    table = lookalike.vocabulary(df, "t")
+    assert sorted((r["spelling"], r["by_table"]) for r in table.collect()) == [("Kasa", True), ("kasa", True), ("été", True), ("сор", False)]
+    ways = [{r["id"]: r["f"] for r in lookalike.unify(df, "t", "f", lookalike.Vocabulary(table, spark, chars)).collect()} for chars in (1000, 5, 0)]
+    assert ways[0] == ways[1] == ways[2] == dict(enumerate(["сор", "сор", "сор", "kasa", "kasa", "kasa", "сор", None, "", "été сор", "Kasa"]))
+    near = {r["id"]: r["f"] for r in lookalike.unify(df, "t", "f", ["kasa"], budget=1).collect()}
+    assert near[10] == near[3] == "kasa"
+    pairs = [sorted(map(tuple, lookalike.same_look_pairs(df, "id", "t", [], lookalike.Vocabulary(table, spark, chars)).collect())) for chars in (1000, 0)]
+    assert pairs[0] == pairs[1] == [(0, 2), (0, 6), (1, 2), (1, 6), (2, 6), (3, 4), (3, 5), (4, 5)]
+
+
 # --- tokenizer
 
 
