@@ -6,10 +6,12 @@ span of ``GRAM + WINDOW - 1`` words therefore has a fingerprint that both texts
 Fingerprints are joined, and each hit is extended word by word to the full shared span, which
 makes the result exact.
 
-The items' fingerprints are broadcast only while their checked number is within
-``BROADCAST_FINGERPRINTS``; they then filter the documents' fingerprints before anything is
-shuffled, and the hits are extended in the same pass. Beyond that the two sides are joined
-by a shuffle on the hash and only texts with hits are read again.
+The items are broadcast only while their checked size is within ``BROADCAST_FINGERPRINTS``;
+the hits are then extended in the scan of the documents. Beyond that a bitmap of the items'
+hashes, of a size fixed by ``FILTER_BITS`` whatever the items, is broadcast instead. It drops
+nearly all of the documents' fingerprints in the scan; those left are extended there to the
+spans of ``SPAN`` words that hold them, and only the 128-bit hashes of these spans are
+shuffled and joined to those of the items, so that nothing but true pairs comes out of the join.
 """
 
 from __future__ import annotations
@@ -20,17 +22,26 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from lexmill.llm.bpe import steps
 
 SPAN = 12
 GRAM = 6
 WINDOW = SPAN - GRAM + 1
 BROADCAST_FINGERPRINTS = 2_000_000
 
+#: Bits of a fingerprint that the filter of the items tells apart: 2 ** 27 bits are 16 MB.
+FILTER_BITS = 27
+#: Parts of a span's group in the join; the items' side, the small one, is repeated for each.
+SALTS = 8
+
 _MEMORY = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_SECOND_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=1)
@@ -69,6 +80,19 @@ def word_hashes() -> WordHashes:
     return WordHashes()
 
 
+def _hash_runs(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
+    """Hash of every run of ``length`` words, across the ends of texts too."""
+    runs = len(words) - length + 1
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(runs, 0), np.uint64)
+        for k in range(length):
+            h = h * base + words[k : k + len(h)]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def fingerprints(words: np.ndarray, counts: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept grams of many texts: hash, text number, and position of the first word within all words.
 
@@ -80,13 +104,7 @@ def fingerprints(words: np.ndarray, counts: np.ndarray, gram: int = GRAM, window
     if n < gram:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     grams = n - gram + 1
-    with np.errstate(over="ignore"):
-        h = np.zeros(grams, np.uint64)
-        for k in range(gram):
-            h = h * _BASE + words[k : k + grams]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+    h = _hash_runs(words, gram, _BASE)
     inside = text[:grams] == text[gram - 1 :]
     at = np.flatnonzero(inside)
     h, text = h[at], text[at]
@@ -152,37 +170,52 @@ def _items(texts: tuple[str, ...]) -> Items:
     return Items(list(texts))
 
 
-def _fingerprint_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Fingerprints of each row: ``_key``, ``_hash``, ``_span`` (hashes of the words that a shared span through it can need), ``_from`` (its place in that)."""
-    schema = StructType([StructField("_key", df.schema[key].dataType), StructField("_hash", LongType()), StructField("_from", IntegerType()), StructField("_span", ArrayType(LongType()))])
+def _span_rows(df: DataFrame, key: str, text: str, bitmap: Broadcast | None = None) -> DataFrame:
+    """``_key``, ``_gram``, ``_h1``, ``_h2``: of each fingerprint the spans of ``SPAN`` words that hold its gram; with a bitmap of the grams in it only, and each span once."""
+    schema = StructType([StructField("_key", df.schema[key].dataType), StructField("_gram", LongType()), StructField("_h1", LongType()), StructField("_h2", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            words, counts = word_hashes()(batch.column(1).to_pylist())
-            h, t, at = fingerprints(words, counts)
-            ends = np.cumsum(counts)
-            begin, end = np.maximum(at - (SPAN - GRAM), (ends - counts)[t]), np.minimum(at + SPAN, ends[t])
-            signed = words.view(np.int64)
-            spans = pa.array([signed[a:b] for a, b in zip(begin, end)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t)), pa.array(h.view(np.int64)), pa.array((at - begin).astype(np.int32)), spans], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in steps(texts):
+                words, counts = word_hashes()(texts[lo:hi])
+                h, t, at = fingerprints(words, counts)
+                if bits is not None:
+                    place = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    kept = (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                    h, t, at = h[kept], t[kept], at[kept]
+                ends = np.cumsum(counts)
+                start = (at[:, None] - np.arange(SPAN - GRAM + 1)[None, :]).ravel()
+                owner, gram = np.repeat(t, SPAN - GRAM + 1), np.repeat(h, SPAN - GRAM + 1)
+                inside = (start >= (ends - counts)[owner]) & (start + SPAN <= ends[owner])
+                start, owner, gram = start[inside], owner[inside], gram[inside]
+                if bits is not None:  # one row a span is enough where the gram has done its work
+                    start, first = np.unique(start, return_index=True)
+                    owner, gram = owner[first], gram[first]
+                pair = [_hash_runs(words, SPAN, base)[start].view(np.int64) if len(start) else np.empty(0, np.int64) for base in (_BASE, _SECOND_BASE)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + owner, pa.int64())), pa.array(gram.view(np.int64)), *map(pa.array, pair)], names=schema.names)
 
     return df.select(F.col(key), F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull()).mapInArrow(run, schema)
 
 
-def _leaks_by_shuffle(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, doc_text: str, item_text: str) -> DataFrame:
-    """Both sides' fingerprints carry the few words around them, so that hits are extended after the join without reading texts again."""
-    a = _fingerprint_rows(documents, doc_key, doc_text).select(F.col("_key").alias("_doc"), "_hash", F.col("_from").alias("_i"), F.col("_span").alias("_a"))
-    b = _fingerprint_rows(items, item_key, item_text).select(F.col("_key").alias("_item"), "_hash", F.col("_from").alias("_j"), F.col("_span").alias("_b"))
-    hits = a.join(b, "_hash")
-    schema = StructType([StructField(doc_key, documents.schema[doc_key].dataType), StructField(item_key, items.schema[item_key].dataType)])
+def _bitmap(grams: DataFrame) -> bytes:
+    """The leading bits of all fingerprints as a bitmap; put together in parts of 4 KB, ``2 ** FILTER_BITS`` bits in all."""
+    place = F.shiftrightunsigned("_gram", 64 - FILTER_BITS) + 1  # the functions count from 1
+    parts = grams.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    out = bytearray((1 << FILTER_BITS) // 8)
+    for row in parts.collect():
+        start = (row["_part"] - 1) * 4096
+        out[start : start + 4096] = row["_bits"]
+    return bytes(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            i, j, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
-            good = pa.array([spans_meet(np.array(p), m, np.array(q), n) for m, n, p, q in zip(i, j, x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=schema.names)
 
-    return hits.select("_doc", "_item", "_i", "_j", "_a", "_b").mapInArrow(run, schema).distinct()
+def _leaks_by_shuffle(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, doc_text: str, item_text: str) -> DataFrame:
+    spans = _span_rows(items, item_key, item_text)
+    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(spans.select("_gram")))
+    mine = _span_rows(documents, doc_key, doc_text, bitmap).select(F.col("_key").alias(doc_key), "_h1", "_h2", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).alias("_salt"))
+    theirs = spans.select(F.col("_key").alias("_item"), "_h1", "_h2").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return mine.join(theirs, ["_h1", "_h2", "_salt"]).select(F.col(doc_key), F.col("_item").alias(item_key)).distinct()
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id", item_key: str = "item_id", doc_text: str = "text", item_text: str = "text", broadcast_limit: int = BROADCAST_FINGERPRINTS) -> DataFrame:
@@ -209,8 +242,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _items(shared.value)
         for batch in batches:
-            which, item = own.leaks(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(item, pa.int32())], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in steps(texts):
+                which, item = own.leaks(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + w for w in which], pa.int64())), pa.array(item, pa.int32())], names=schema.names)
 
     hits = documents.select(F.col(doc_key), F.col(doc_text).cast("string").alias("_text")).mapInArrow(run, schema)
     return hits.join(F.broadcast(numbered), "_no").select(doc_key, item_key).distinct()
