@@ -9,15 +9,16 @@ come from a bounded cache; the ids of a batch are gathered with array operations
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -49,11 +50,11 @@ def byte_letters() -> list[str]:
 class Encoder:
     """Ids of texts, without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: bytes):
+        """``vocabulary`` is the content of the vocabulary file."""
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = json.loads(vocabulary)["model"]
         vocab: dict[str, int] = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         a = np.array([vocab[x] for x, _ in pairs], np.int64)
@@ -192,15 +193,29 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and vocabulary."""
-    return Encoder(path)
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def vocabulary_path(spark: SparkSession, folder: str | None = None) -> str:
-    """Path of the vocabulary; the session setting ``spark.lexmill.tokenizers`` may name another folder."""
-    return os.path.join(folder or spark.conf.get("spark.lexmill.tokenizers", DEFAULT_FOLDER), VOCABULARY)
+def encoder(vocabulary: tuple[str, Broadcast]) -> Encoder:
+    """The encoder of a shared vocabulary; a Python worker keeps one."""
+    name, content = vocabulary
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(content.value)
+    return _ENCODERS[name]
+
+
+def shared_vocabulary(spark: SparkSession, folder: str | None = None) -> tuple[str, Broadcast]:
+    """Digest and content of the vocabulary file, a few MB, broadcast; executors need no copy of the folder.
+
+    The session setting ``spark.lexmill.tokenizers`` may name another folder.
+    """
+    path = os.path.join(folder or spark.conf.get("spark.lexmill.tokenizers", DEFAULT_FOLDER), VOCABULARY)
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; name its folder by spark.lexmill.tokenizers or LEXMILL_TOKENIZERS")
+    with open(path, "rb") as f:
+        content = f.read()
+    return hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
 
 
 #: Characters that are encoded together; bounds the memory of a step, longer texts go alone.
@@ -228,11 +243,11 @@ def encode_texts(documents: DataFrame, *, key: str = "doc_id", text: str = "text
     null keys are carried through; an empty table gives none; other columns are ignored
     whatever their names; whole texts of any length are encoded. The job has no shuffle.
     """
-    path = vocabulary_path(documents.sparkSession, folder)
+    vocabulary = shared_vocabulary(documents.sparkSession, folder)
     schema = StructType([StructField(key, documents.schema[key].dataType), StructField("ids", ArrayType(IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps(texts):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from lexmill.llm.bpe import Encoder, encoder, steps, vocabulary_path
+from lexmill.llm.bpe import Encoder, encoder, shared_vocabulary, steps
 
 LIMIT = 2048
 OVERLAP = 128
@@ -133,19 +134,43 @@ def cut(text: str, token_bytes: np.ndarray, limit: int, overlap: int) -> list[tu
     return out
 
 
+def _bounds(limit: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ever smaller (limit, overlap) to cut by: less room first, down to one token, then less overlap."""
+    spare = 0
+    while limit - spare > overlap:
+        yield limit - spare, overlap
+        spare = spare * 2 or 2
+    while overlap:
+        overlap //= 2
+        yield overlap + 1, overlap
+
+
+def _by_bytes(text: str, limit: int) -> list[tuple[int, int]]:
+    """Pieces of at most ``limit`` bytes, which cannot have more tokens; no overlap."""
+    out, start, size = [], 0, 0
+    for i, ch in enumerate(text):
+        n = len(ch.encode("utf-8", "surrogatepass"))
+        if size + n > limit:
+            out.append((start, i))
+            start, size = i, 0
+        size += n
+    return [*out, (start, len(text))]
+
+
 def split_text(text: str, own: Encoder, limit: int = LIMIT, overlap: int = OVERLAP, token_bytes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece of a text; every piece encoded by itself is within the limit.
 
     ``token_bytes`` are the sizes of the text's tokens, if they are known already.
 
     A piece may take a few tokens more by itself than as part of the text, as its first word
-    may be cut. Where one is over the limit, the text is cut again with less room.
+    may be cut. Where one is over the limit, the text is cut again with less room, and at
+    the very last by bytes, so that no piece is ever over the limit.
     """
     token_bytes = own.encode([text])[2] if token_bytes is None else token_bytes
     if len(token_bytes) <= limit:
         return [(0, len(text), len(token_bytes))]
-    for spare in (0, 2, 4, 8, 16, 32, 64, 128, 256):
-        pieces = cut(text, token_bytes, limit - spare, overlap)
+    ways = chain((cut(text, token_bytes, *bounds) for bounds in _bounds(limit, overlap)), (_by_bytes(text, limit) for _ in range(1)))
+    for pieces in ways:
         counts = own.encode([text[a:b] for a, b in pieces])[1]
         if counts.max() <= limit:
             break
@@ -163,13 +188,13 @@ def split_documents(documents: DataFrame, *, key: str = "doc_id", text: str = "t
     rows and null keys are carried through; an empty table gives none; other columns are
     ignored whatever their names; whole texts of any length are cut. The job has no shuffle.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("the overlap must be less than half the limit")
-    path = vocabulary_path(documents.sparkSession, folder)
+    if not 0 <= overlap < limit // 2 or limit < 4:
+        raise ValueError("the limit must hold a character of four bytes, and the overlap be less than half of it")
+    vocabulary = shared_vocabulary(documents.sparkSession, folder)
     schema = StructType([StructField(key, documents.schema[key].dataType), *[StructField(c, IntegerType()) for c in ("piece_no", "start", "end", "n_tokens")], StructField("piece", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps(texts):

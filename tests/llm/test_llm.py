@@ -167,8 +167,21 @@ def test_leaks_against_brute_force(spark):
     for limit in (leakage.BROADCAST_FINGERPRINTS, 0):  # both ways of joining
         assert sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, i, broadcast_limit=limit).collect()) == want
     assert leakage.find_leaks(d, i.limit(0)).count() == leakage.find_leaks(d.limit(0), i, broadcast_limit=0).count() == 0
+    long_items = [(200 + k, " ".join(word() for _ in range(60))) for k in range(60)]
+    inside = [(k, " ".join(word() for _ in range(9)) + " " + " ".join(t.split()[k % 40 : k % 40 + 12]) + " " + word()) for k, (_, t) in enumerate(long_items)]
+    many, long_ = spark.createDataFrame(inside, "doc_id int, text string"), spark.createDataFrame(long_items, "item_id int, text string")
+    assert sorted(map(tuple, leakage.find_leaks(many, long_, broadcast_limit=0).collect())) == brute_leaks(inside, long_items)
     twice = d.unionAll(d)
-    assert leakage.find_leaks(twice, i).count() == len(want)
+    for limit in (leakage.BROADCAST_FINGERPRINTS, 0):
+        assert leakage.find_leaks(twice, i, broadcast_limit=limit).count() == len(want)
+
+
+def test_bitmap_holds_every_fingerprint(spark):
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**64, 500, np.uint64)
+    h[:3] = [0, 2**64 - 1, 2**63]
+    bits = np.frombuffer(leakage._bitmap(spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "_gram bigint")), np.uint8)
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little"))) == set((h >> np.uint64(64 - leakage.FILTER_BITS)).tolist())
 
 
 def test_every_window_keeps_a_fingerprint():
@@ -190,7 +203,7 @@ def test_pieces_cover_overlap_and_fit(spark):
     sentence = lambda: " ".join(word() for _ in range(rng.randint(3, 15))) + rng.choice([". ", "! ", "。", ".\n\n"])
     texts = ["".join(sentence() for _ in range(n)) for n in (1, 30, 200)] + ["木" * 3000, "x" * 9000, " " * 4000, "\n" * 900, "a b " * 2000, None, "", "short"]
     limit, overlap = 200, 20
-    own = bpe.encoder(str(VOCABULARY))
+    own = bpe.Encoder(VOCABULARY.read_bytes())
     out = {}
     for r in pieces.split_documents(docs(spark, texts), limit=limit, overlap=overlap).orderBy("doc_id", "piece_no").collect():
         out.setdefault(r["doc_id"], []).append(r)
@@ -222,6 +235,24 @@ def test_merge_prefers_weak_boundaries():
     assert max(np.diff([*groups, 400])) <= 16
 
 
+@needs_vocabulary
+def test_no_piece_is_ever_over_the_limit():
+    own = bpe.Encoder(VOCABULARY.read_bytes())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aё木🜁 \u0301zq\n") for _ in range(200)), "\U0001f701" * 60, "ё" * 90, "a1" * 90]
+    for text in texts:
+        for limit, overlap in ((4, 0), (4, 1), (5, 1), (9, 4), (40, 19), (40, 0)):
+            got = pieces.split_text(text, own, limit, overlap)
+            assert all(len(own.encode([text[a:b]])[0]) == n <= limit for a, b, n in got) and got[0][0] == 0 and got[-1][1] == len(text)
+        assert all(x[0] <= y[0] <= x[1] < y[1] for x, y in zip(got, got[1:]))
+    assert list(pieces._bounds(10, 4)) == [(10, 4), (8, 4), (6, 4), (3, 2), (2, 1), (1, 0)]
+
+
+def test_missing_vocabulary_is_named(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        bpe.encode_texts(docs(spark, ["a"]), folder=str(tmp_path))
+
+
 def test_overlap_must_leave_room(spark):
     with pytest.raises(ValueError):
         pieces.split_documents(docs(spark, ["a"]), limit=100, overlap=60)
