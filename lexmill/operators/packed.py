@@ -7,7 +7,7 @@ packed text; dynamic programming picks the cover of the text by known values and
 pieces with the fewest unknown pieces, then the fewest pieces. The rows are read off that cover.
 
 A rule gives the places where the cover may and must part: letters, marks, digits, spaces and
-the signs of ``NEVER_PART`` never part, nor do delimiters inside closed parentheses or closed
+the signs ``. - + _ ' : ( )`` never part, nor do delimiters inside closed parentheses or closed
 double quotes; every other delimiter does. Only where the rule leaves a delimiter open, that
 is behind a parenthesis or quote which never closes, may a known value bridge it; with
 ``dictionary_protects=True`` known values may bridge any delimiter.
@@ -19,17 +19,18 @@ batch builds its automaton from what was found, with the same result.
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
-# Signs that never part values.
-NEVER_PART = ".-+_':()"
+from lexmill.session import collect_bounded
+
+# Letters, marks, numbers, spaces and the signs . - + _ ' : ( ) never part values.
 QUOTES = {'"': '"', "“": "”"}
 
 #: Java pattern of a field that holds one value by its characters alone.
@@ -39,8 +40,9 @@ SINGLE_VALUE = r"^[\p{L}\p{M}\p{Nd}\p{Zs}.\-+_':]+\z"
 DICTIONARY_CHARS = 4_000_000
 
 
-def _parts(ch: str) -> bool:
-    return not (ch in NEVER_PART or unicodedata.category(ch)[0] in "LMN" or unicodedata.category(ch) == "Zs")
+_DELIMITER = regex.compile(r"[^\p{L}\p{M}\p{N}\p{Zs}.\-+_':()]")
+_MARK = regex.compile(r'["“()]')
+_OPENING = regex.compile(r'["“(]')
 
 
 def scan(text: str) -> tuple[list[int], int]:
@@ -50,39 +52,39 @@ def scan(text: str) -> tuple[list[int], int]:
     closes protects nothing: an unclosed quote is itself a delimiter, an unclosed parenthesis
     an ordinary sign.
     """
-    n, cuts, i, unclosed = len(text), [], 0, len(text)
-    closers = _closing(text)
-    while i < n:
-        ch = text[i]
-        if i in closers:
-            i = closers[i] + 1
-            continue
-        if ch == "(" or ch in QUOTES:
-            unclosed = min(unclosed, i)
-        if _parts(ch):
-            cuts.append(i)
-        i += 1
-    return cuts, unclosed
+    cuts = [m.start() for m in _DELIMITER.finditer(text)]
+    if not _OPENING.search(text):
+        return cuts, len(text)
+    closed = _closing(text)
+    ends = sorted(closed.items())
+
+    def outside(places: Iterable[int]) -> Iterator[int]:
+        k = 0
+        for p in places:
+            while k < len(ends) and ends[k][1] < p:
+                k += 1
+            if k == len(ends) or p < ends[k][0]:
+                yield p
+
+    return list(outside(cuts)), next(outside(m.start() for m in _OPENING.finditer(text)), len(text))
 
 
 def _closing(text: str) -> dict[int, int]:
     """Outermost protected spans: opening position -> closing position."""
     out: dict[int, int] = {}
-    i, n = 0, len(text)
     last_quote = {closer: text.rfind(closer) for closer in QUOTES.values()}
     close_parens = _paren_ends(text) if "(" in text else {}
-    while i < n:
-        ch = text[i]
-        end = -1
-        if ch in QUOTES and last_quote[QUOTES[ch]] > i:
-            end = _quote_end(text, i)
-        elif ch == "(":
+    done = -1
+    for m in _OPENING.finditer(text):
+        i = m.start()
+        if i <= done:
+            continue
+        if text[i] == "(":
             end = close_parens.get(i, -1)
-        if end > i:
-            out[i] = end
-            i = end + 1
         else:
-            i += 1
+            end = _quote_end(text, i) if last_quote[QUOTES[text[i]]] > i else -1
+        if end > i:
+            out[i] = done = end
     return out
 
 
@@ -95,20 +97,18 @@ def _quote_end(text: str, at: int) -> int:
 
 
 def _paren_ends(text: str) -> dict[int, int]:
-    """Closing position of every closed parenthesis; closed quotes inside are skipped. One pass."""
-    out, stack, i, n = {}, [], 0, len(text)
-    while i < n:
-        ch = text[i]
+    """Closing position of every closed parenthesis; closed quotes inside are skipped. One pass over the marks."""
+    out, stack, done = {}, [], -1
+    for m in _MARK.finditer(text):
+        i, ch = m.start(), text[m.start()]
+        if i <= done:
+            continue
         if ch in QUOTES:
-            end = _quote_end(text, i)
-            if end > i:
-                i = end + 1
-                continue
-        if ch == "(":
+            done = max(done, _quote_end(text, i))
+        elif ch == "(":
             stack.append(i)
-        elif ch == ")" and stack:
+        elif stack:
             out[stack.pop()] = i
-        i += 1
     return out
 
 
@@ -216,7 +216,7 @@ def _protected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, item = [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
-            values = [v for v in cutter.split(text) if any(map(_parts, v))]
+            values = [v for v in cutter.split(text) if _DELIMITER.search(v)]
             at.extend([i] * len(values))
             item.extend(values)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.string())], names=["field", "item"])
@@ -301,17 +301,16 @@ def unpack_fields(
     dictionary = known_values(df, fields) if dictionary is None else dictionary
     own = [F.col(c).alias(f"_c{i}") for i, c in enumerate(kept)]
     cells = _cells(df, fields, *own)
-    delimiters = F.length(F.regexp_replace("item", r"[\p{L}\p{M}\p{N}\p{Zs}.\-+_':()]", ""))
-    size = dictionary.agg(F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars"), F.coalesce(F.max(delimiters), F.lit(0)).alias("longest")).first()
     schema = StructType([*[StructField(c, df.schema[c].dataType) for c in kept], StructField("field", StringType()), StructField("pos_no", IntegerType()), StructField("item", StringType()), StructField("known", BooleanType())])
-    shared = None
-    if size["chars"] <= dictionary_chars:
-        known: dict[str, list[str]] = {f: [] for f in fields}
-        for row in dictionary.collect():
-            known.setdefault(row["field"], []).append(row["item"])
-        shared = spark.sparkContext.broadcast(known)
+    found, shared = collect_bounded(dictionary, "item", dictionary_chars), None
+    if found is not None:
+        values: dict[str, list[str]] = {f: [] for f in fields}
+        for row in found:
+            values.setdefault(row["field"], []).append(row["item"])
+        shared = spark.sparkContext.broadcast(values)
     else:
-        cells = _looked_up(cells, dictionary, size["longest"], dictionary_protects)
+        delimiters = F.length(F.regexp_replace("item", r"[\p{L}\p{M}\p{N}\p{Zs}.\-+_':()]", ""))
+        cells = _looked_up(cells, dictionary, dictionary.agg(F.max(delimiters)).first()[0], dictionary_protects)
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

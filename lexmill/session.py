@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,5 +56,15 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df) <= limit_bytes else df
 
 
+def collect_bounded(df: DataFrame, text: str, chars: int) -> list[Row] | None:
+    """The rows if the texts of a column have at most ``chars`` characters together, else None; ``df`` must end in a shuffle.
+
+    One job: made to depend on the task, the condition stays above the shuffle, which the sum and the rows then share.
+    """
+    total = df.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).scalar()
+    rows = df.where(F.when(F.spark_partition_id() >= 0, total <= chars)).collect()
+    return rows if rows or df.isEmpty() else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
