@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lexmill.session import collect_bounded
+
 # Letters of one shape in two scripts, as pairs.
 LATIN_CYRILLIC = "aа cс eе oо pр xх yу sѕ iі jј hһ qԛ wԝ dԁ lӏ vѵ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YҮ VѴ QԚ WԜ"
 LATIN_GREEK = "oο vν cϲ jϳ CϹ JͿ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ FϜ"
@@ -277,13 +279,14 @@ class Vocabulary:
     def __init__(self, spellings: DataFrame | Sequence[str], spark: SparkSession, chars: int = VOCABULARY_CHARS):
         self.name, self.shared, self.table = uuid.uuid4().hex, None, None
         if isinstance(spellings, DataFrame):
-            total = lambda df: df.agg(F.coalesce(F.sum(F.length("spelling")), F.lit(0)).alias("n")).first()["n"]
-            if total(spellings) > chars:
-                spellings = spellings.where("not by_table")
-                if total(spellings) > chars:
-                    self.table = spellings.select("look", "spelling")
-                    return
-            spellings = [r["spelling"] for r in spellings.select("spelling").orderBy("spelling").collect()]
+            found = collect_bounded(spellings, "spelling", chars)
+            if found is None:
+                spellings = spellings.where(F.when(F.spark_partition_id() >= 0, ~F.col("by_table")))
+                found = collect_bounded(spellings, "spelling", chars)
+            if found is None:
+                self.table = spellings.select("look", "spelling")
+                return
+            spellings = sorted(r["spelling"] for r in found)
         self.shared = spark.sparkContext.broadcast(tuple(spellings))
 
     def held(self, df: DataFrame, column: str) -> DataFrame:
