@@ -168,7 +168,8 @@ def occurrences(records: DataFrame, *, key: str = "rec_id", line: str = "raw_lin
     ``child`` is ``record`` (sense_no and child_no -1, no parent), ``sense``, ``example`` or
     ``translation``. Numbers are positions in the source list, from 0; translations of the
     record itself have sense_no -1, senses child_no -1. ``body`` is the canonical text of the
-    node (JSON; members that were lists of objects hold the identities).
+    node (JSON; members that were lists of objects hold the identities); it is stored once a
+    batch, with the first of the occurrences there, and is null with the others.
 
     Defined cases: a null line, a line that is not valid JSON (NaN and Infinity are not) or
     one that holds no object gives no rows; null members and members that are no objects keep
@@ -187,6 +188,7 @@ def occurrences(records: DataFrame, *, key: str = "rec_id", line: str = "raw_lin
         for batch in batches:
             at: list[int] = []
             rows: list[tuple] = []
+            stored: set[str] = set()
             for i, text in enumerate(batch.column(1).to_pylist()):
                 value = read_object(text)
                 if value is None:
@@ -194,8 +196,9 @@ def occurrences(records: DataFrame, *, key: str = "rec_id", line: str = "raw_lin
                 seen: list = []
                 nodes: dict[str, tuple[str, str]] = {}
                 root = flatten(RECORD, value, seen, nodes)
-                rows.append((None, root, RECORD, -1, -1, nodes[root][1]))
-                rows.extend((parent, child, kind, s, c, nodes[child][1]) for parent, child, kind, s, c in seen)
+                for parent, child, kind, s, c in [(None, root, RECORD, -1, -1), *seen]:
+                    rows.append((parent, child, kind, s, c, None if child in stored else nodes[child][1]))
+                    stored.add(child)
                 at.extend([i] * (len(rows) - len(at)))
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
