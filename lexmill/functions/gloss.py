@@ -17,179 +17,172 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import ColumnLike, _c, expand_context, let, split_groups, strip
 
-GLOSS = "struct<gloss:string,pos:string,verb_type:string,qualifier:string,affix_type:string>"
-
-# annotation = part of speech[/verb type][/affix type], several by comma.
-ANNOTATIONS = """
-n = NOUN
-n phrs = NOUN_PHRASE
-n sfx = NOUN//SUFFIX
-v.tr = VERB/TRANSITIVE
-v.intr = VERB/INTRANSITIVE
-v.intr (optional -cu) = VERB/INTRANSITIVE_CU
-v.cop = VERB/COPULAR
-v.aux = VERB/AUXILIARY
-v phrs = VERB_PHRASE
-v.tr sfx = VERB/TRANSITIVE/SUFFIX
-n/v.tr sfx = NOUN//SUFFIX, VERB/TRANSITIVE/SUFFIX
-n/v.intr sfx = NOUN//SUFFIX, VERB/INTRANSITIVE/SUFFIX
-adj/adv sfx = ADJECTIVE//SUFFIX, VERBAL_ADVERB//SUFFIX
-adj = ADJECTIVE
-adj phrs = ADJECTIVE_PHRASE
-adj sfx = ADJECTIVE//SUFFIX
-adv = ADVERB
-adv phrs = PHRASAL_ADVERB
-adv sfx = ADVERB//SUFFIX
-m = ADVERB
-interj = INTERJECTION
-prep = PREPOSITION
-prep phrs = PHRASAL_PREPOSITION
-prep phrase = PREPOSITIONAL_PHRASE
-conj = CONJUNCTION
-conj phrs = PHRASAL_CONJUNCTION
-cop plus prep = VERB/COPULAR
-det = DETERMINER
-pron = PRONOUN
-num = NUMBER
-par = PARTICLE
-prop n = PROPER_NOUN
-prop adj = PROPER_ADJECTIVE
-poss pron = POSSESSIVE_PRONOUN
-poss adj = POSSESSIVE_ADJECTIVE
-pfx = PREFIX//PREFIX
-root pfx = PREFIX//PREFIX
-bound root = PREFIX//PREFIX
-root sfx (attached to nouns) = NOUN//SUFFIX
-phrs = PHRASE
-"""
-TRANSLATION_ANNOTATIONS = """
-s = NOUN
-v.tr = VERB/TRANSITIVE
-v.ntr = VERB/INTRANSITIVE
-tr = VERB/TRANSITIVE
-intr = VERB/INTRANSITIVE
-adj = ADJECTIVE
-adv = ADVERB
-interj = INTERJECTION
-prop n = PROPER_NOUN
-"""
-# Word class = parts of speech in order.
-WORD_CLASSES = """
-n = NOUN
-f = VERB
-f.sah = VERB
-f.oro = VERB, VERB
-f.lin = VERB
-b = NOUN, VERB
-b.oj = NOUN, VERB
-b.oj.ru = NOUN, VERB
-b.nenoj = NOUN, VERB
-b.lin = NOUN, VERB
-b.oro = NOUN, VERB, VERB
-b.oro.hisi = NOUN, VERB, VERB
-b.oro.jotay = NOUN, VERB, VERB
-b.oro.harka = NOUN, VERB, VERB
-t = ADJECTIVE, VERBAL_ADVERB
-s = ADJECTIVE
-m = ADVERB
-p jm = PREPOSITIONAL_PHRASE
-n jm = NOUN_PHRASE
-t jm = ADJECTIVE_PHRASE
-m jm = PHRASAL_ADVERB
-s jm = ADJECTIVE_PHRASE
-lfik = PREFIX
-xfik = NOUN
-b xfik = NOUN, VERB
-b.oj xfik = NOUN, VERB
-b.nenoj xfik = NOUN, VERB
-m xfik = ADVERB
-t xfik = ADJECTIVE, VERBAL_ADVERB
-su n = PROPER_NOUN
-su t = PROPER_ADJECTIVE
-su s = POSSESSIVE_ADJECTIVE
-su pn = POSSESSIVE_PRONOUN
-il = INTERJECTION
-l = CONJUNCTION
-num = NUMBER
-p = PREPOSITION
-xp = POSTPOSITION
-pn = PRONOUN
-jm p = PHRASAL_PREPOSITION
-jm l = PHRASAL_CONJUNCTION
-jm t = PHRASAL_ADVERB
-f jm = VERB_PHRASE
-l jm = CONJUNCTION_PHRASE
-jm = PHRASE
-d = DETERMINER
-par = PARTICLE
-f par = PARTICLE
-b; il = NOUN, INTERJECTION
-b.oj; il = NOUN, VERB, INTERJECTION
-b.oj.ru; il = NOUN, VERB, INTERJECTION
-b.nenoj; il = NOUN, VERB, INTERJECTION
-b.oro.hisi; il = NOUN, VERB, VERB, INTERJECTION
-b.oj; b.nenoj.p = NOUN, VERB, VERB
-b.oj.ru; b.nenoj.p = NOUN, VERB, VERB
-t; f.sah = ADJECTIVE, VERBAL_ADVERB, VERB
-t; il = ADJECTIVE, VERBAL_ADVERB, INTERJECTION
-d; m = DETERMINER, ADVERB
-num; d = NUMBER, DETERMINER
-p; lfik = PREPOSITION, PREFIX
-tabl: pn = PRONOUN
-tabl: m = ADVERB
-tabl: d = DETERMINER
-tabl: t = ADJECTIVE, VERBAL_ADVERB
-tabl: l = CONJUNCTION
-tabl: su s = POSSESSIVE_ADJECTIVE
-tabl: d; m = DETERMINER, ADVERB
-tabl: m; l = ADVERB, CONJUNCTION
-tabl: num; d = NUMBER, DETERMINER
-nenhuru genu = PREFIX
-"""
-# Part of a word class = verb type.
-VERB_CLASSES = """
-nenoj = INTRANSITIVE
-oj = TRANSITIVE
-lin = COPULAR
-ru = ECHO_TRANSITIVE
-sah = AUXILIARY
-hisi = FEELING
-jotay = STATE
-harka = INTRANSITIVE_CU
-"""
-# Part of speech = name in the sense dictionary; others have none.
-DICTIONARY_POS = """
-NOUN = noun
-PROPER_NOUN = name
-VERB = verb
-ADJECTIVE = adj
-PROPER_ADJECTIVE = adj
-VERBAL_ADVERB = adv
-ADVERB = adv
-PHRASAL_ADVERB = adv
-INTERJECTION = intj
-PRONOUN = pron
-POSSESSIVE_PRONOUN = pron
-NUMBER = num
-PREPOSITION = prep
-PHRASAL_PREPOSITION = prep_phrase
-PREPOSITIONAL_PHRASE = prep_phrase
-CONJUNCTION = conj
-DETERMINER = det
-PARTICLE = particle
-PREFIX = prefix
-POSSESSIVE_ADJECTIVE = adj
-PHRASE = phrase
-"""
-
-
-def rows(table: str) -> dict[str, str]:
-    """Key -> value of the lines of a table."""
-    return dict(line.split(" = ", 1) for line in table.strip().splitlines())
+Annotations = dict[str, list[tuple[str, str | None, str | None]]]
 
+GLOSS = "struct<gloss:string,pos:string,verb_type:string,qualifier:string,affix_type:string>"
 
-def lists(table: str) -> dict[str, list[str]]:
-    return {k: v.split(", ") for k, v in rows(table).items()}
+# Annotation -> (part of speech, verb type, affix type), several where it stands for several.
+ANNOTATIONS = {
+    "n": [("NOUN", None, None)],
+    "n phrs": [("NOUN_PHRASE", None, None)],
+    "n sfx": [("NOUN", None, "SUFFIX")],
+    "v.tr": [("VERB", "TRANSITIVE", None)],
+    "v.intr": [("VERB", "INTRANSITIVE", None)],
+    "v.intr (optional -cu)": [("VERB", "INTRANSITIVE_CU", None)],
+    "v.cop": [("VERB", "COPULAR", None)],
+    "v.aux": [("VERB", "AUXILIARY", None)],
+    "v phrs": [("VERB_PHRASE", None, None)],
+    "v.tr sfx": [("VERB", "TRANSITIVE", "SUFFIX")],
+    "n/v.tr sfx": [("NOUN", None, "SUFFIX"), ("VERB", "TRANSITIVE", "SUFFIX")],
+    "n/v.intr sfx": [("NOUN", None, "SUFFIX"), ("VERB", "INTRANSITIVE", "SUFFIX")],
+    "adj/adv sfx": [("ADJECTIVE", None, "SUFFIX"), ("VERBAL_ADVERB", None, "SUFFIX")],
+    "adj": [("ADJECTIVE", None, None)],
+    "adj phrs": [("ADJECTIVE_PHRASE", None, None)],
+    "adj sfx": [("ADJECTIVE", None, "SUFFIX")],
+    "adv": [("ADVERB", None, None)],
+    "adv phrs": [("PHRASAL_ADVERB", None, None)],
+    "adv sfx": [("ADVERB", None, "SUFFIX")],
+    "m": [("ADVERB", None, None)],
+    "interj": [("INTERJECTION", None, None)],
+    "prep": [("PREPOSITION", None, None)],
+    "prep phrs": [("PHRASAL_PREPOSITION", None, None)],
+    "prep phrase": [("PREPOSITIONAL_PHRASE", None, None)],
+    "conj": [("CONJUNCTION", None, None)],
+    "conj phrs": [("PHRASAL_CONJUNCTION", None, None)],
+    "cop plus prep": [("VERB", "COPULAR", None)],
+    "det": [("DETERMINER", None, None)],
+    "pron": [("PRONOUN", None, None)],
+    "num": [("NUMBER", None, None)],
+    "par": [("PARTICLE", None, None)],
+    "prop n": [("PROPER_NOUN", None, None)],
+    "prop adj": [("PROPER_ADJECTIVE", None, None)],
+    "poss pron": [("POSSESSIVE_PRONOUN", None, None)],
+    "poss adj": [("POSSESSIVE_ADJECTIVE", None, None)],
+    "pfx": [("PREFIX", None, "PREFIX")],
+    "root pfx": [("PREFIX", None, "PREFIX")],
+    "bound root": [("PREFIX", None, "PREFIX")],
+    "root sfx (attached to nouns)": [("NOUN", None, "SUFFIX")],
+    "phrs": [("PHRASE", None, None)],
+}
+TRANSLATION_ANNOTATIONS = {
+    "s": [("NOUN", None, None)],
+    "v.tr": [("VERB", "TRANSITIVE", None)],
+    "v.ntr": [("VERB", "INTRANSITIVE", None)],
+    "tr": [("VERB", "TRANSITIVE", None)],
+    "intr": [("VERB", "INTRANSITIVE", None)],
+    "adj": [("ADJECTIVE", None, None)],
+    "adv": [("ADVERB", None, None)],
+    "interj": [("INTERJECTION", None, None)],
+    "prop n": [("PROPER_NOUN", None, None)],
+}
+# Word class -> parts of speech in order.
+WORD_CLASSES = {
+    "n": ["NOUN"],
+    "f": ["VERB"],
+    "f.sah": ["VERB"],
+    "f.oro": ["VERB", "VERB"],
+    "f.lin": ["VERB"],
+    "b": ["NOUN", "VERB"],
+    "b.oj": ["NOUN", "VERB"],
+    "b.oj.ru": ["NOUN", "VERB"],
+    "b.nenoj": ["NOUN", "VERB"],
+    "b.lin": ["NOUN", "VERB"],
+    "b.oro": ["NOUN", "VERB", "VERB"],
+    "b.oro.hisi": ["NOUN", "VERB", "VERB"],
+    "b.oro.jotay": ["NOUN", "VERB", "VERB"],
+    "b.oro.harka": ["NOUN", "VERB", "VERB"],
+    "t": ["ADJECTIVE", "VERBAL_ADVERB"],
+    "s": ["ADJECTIVE"],
+    "m": ["ADVERB"],
+    "p jm": ["PREPOSITIONAL_PHRASE"],
+    "n jm": ["NOUN_PHRASE"],
+    "t jm": ["ADJECTIVE_PHRASE"],
+    "m jm": ["PHRASAL_ADVERB"],
+    "s jm": ["ADJECTIVE_PHRASE"],
+    "lfik": ["PREFIX"],
+    "xfik": ["NOUN"],
+    "b xfik": ["NOUN", "VERB"],
+    "b.oj xfik": ["NOUN", "VERB"],
+    "b.nenoj xfik": ["NOUN", "VERB"],
+    "m xfik": ["ADVERB"],
+    "t xfik": ["ADJECTIVE", "VERBAL_ADVERB"],
+    "su n": ["PROPER_NOUN"],
+    "su t": ["PROPER_ADJECTIVE"],
+    "su s": ["POSSESSIVE_ADJECTIVE"],
+    "su pn": ["POSSESSIVE_PRONOUN"],
+    "il": ["INTERJECTION"],
+    "l": ["CONJUNCTION"],
+    "num": ["NUMBER"],
+    "p": ["PREPOSITION"],
+    "xp": ["POSTPOSITION"],
+    "pn": ["PRONOUN"],
+    "jm p": ["PHRASAL_PREPOSITION"],
+    "jm l": ["PHRASAL_CONJUNCTION"],
+    "jm t": ["PHRASAL_ADVERB"],
+    "f jm": ["VERB_PHRASE"],
+    "l jm": ["CONJUNCTION_PHRASE"],
+    "jm": ["PHRASE"],
+    "d": ["DETERMINER"],
+    "par": ["PARTICLE"],
+    "f par": ["PARTICLE"],
+    "b; il": ["NOUN", "INTERJECTION"],
+    "b.oj; il": ["NOUN", "VERB", "INTERJECTION"],
+    "b.oj.ru; il": ["NOUN", "VERB", "INTERJECTION"],
+    "b.nenoj; il": ["NOUN", "VERB", "INTERJECTION"],
+    "b.oro.hisi; il": ["NOUN", "VERB", "VERB", "INTERJECTION"],
+    "b.oj; b.nenoj.p": ["NOUN", "VERB", "VERB"],
+    "b.oj.ru; b.nenoj.p": ["NOUN", "VERB", "VERB"],
+    "t; f.sah": ["ADJECTIVE", "VERBAL_ADVERB", "VERB"],
+    "t; il": ["ADJECTIVE", "VERBAL_ADVERB", "INTERJECTION"],
+    "d; m": ["DETERMINER", "ADVERB"],
+    "num; d": ["NUMBER", "DETERMINER"],
+    "p; lfik": ["PREPOSITION", "PREFIX"],
+    "tabl: pn": ["PRONOUN"],
+    "tabl: m": ["ADVERB"],
+    "tabl: d": ["DETERMINER"],
+    "tabl: t": ["ADJECTIVE", "VERBAL_ADVERB"],
+    "tabl: l": ["CONJUNCTION"],
+    "tabl: su s": ["POSSESSIVE_ADJECTIVE"],
+    "tabl: d; m": ["DETERMINER", "ADVERB"],
+    "tabl: m; l": ["ADVERB", "CONJUNCTION"],
+    "tabl: num; d": ["NUMBER", "DETERMINER"],
+    "nenhuru genu": ["PREFIX"],
+}
+# Part of a word class -> verb type.
+VERB_CLASSES = {
+    "nenoj": "INTRANSITIVE",
+    "oj": "TRANSITIVE",
+    "lin": "COPULAR",
+    "ru": "ECHO_TRANSITIVE",
+    "sah": "AUXILIARY",
+    "hisi": "FEELING",
+    "jotay": "STATE",
+    "harka": "INTRANSITIVE_CU",
+}
+# Part of speech -> name in the sense dictionary; others have none.
+DICTIONARY_POS = {
+    "NOUN": "noun",
+    "PROPER_NOUN": "name",
+    "VERB": "verb",
+    "ADJECTIVE": "adj",
+    "PROPER_ADJECTIVE": "adj",
+    "VERBAL_ADVERB": "adv",
+    "ADVERB": "adv",
+    "PHRASAL_ADVERB": "adv",
+    "INTERJECTION": "intj",
+    "PRONOUN": "pron",
+    "POSSESSIVE_PRONOUN": "pron",
+    "NUMBER": "num",
+    "PREPOSITION": "prep",
+    "PHRASAL_PREPOSITION": "prep_phrase",
+    "PREPOSITIONAL_PHRASE": "prep_phrase",
+    "CONJUNCTION": "conj",
+    "DETERMINER": "det",
+    "PARTICLE": "particle",
+    "PREFIX": "prefix",
+    "POSSESSIVE_ADJECTIVE": "adj",
+    "PHRASE": "phrase",
+}
 
 
 def string_map(table: dict[str, str]) -> Column:
@@ -200,26 +193,23 @@ def list_map(table: dict[str, list[str]]) -> Column:
     return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
 
-def _entry_map(table: str) -> Column:
-    def entry(text: str) -> Column:
-        pos, verb, affix = (text.split("/") + ["", ""])[:3]
-        value = lambda x: F.lit(x or None).cast("string")
-        return F.struct(value(pos).alias("pos"), value(verb).alias("verb_type"), value(affix).alias("affix_type"))
-
-    return F.create_map(*[x for k, v in lists(table).items() for x in (F.lit(k), F.array(*map(entry, v)))])
+def _entry_map(table: Annotations) -> Column:
+    value = lambda x: F.lit(x).cast("string")
+    entry = lambda e: F.struct(*[value(x).alias(n) for x, n in zip(e, ("pos", "verb_type", "affix_type"))])
+    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(entry, v)))])
 
 
 def _look(table: Column, key: Column) -> Column:
     return F.try_element_at(table, key)
 
 
-def annotation(segment: ColumnLike, table: str = ANNOTATIONS) -> Column:
+def annotation(segment: ColumnLike, table: Annotations = ANNOTATIONS) -> Column:
     """struct(prefix, gloss, qualifier) of one group; prefix is null where no annotation is known.
 
     The longest known annotation before a colon counts; failing that a known annotation
     followed by a qualifier in parentheses and a colon.
     """
-    keys = sorted(rows(table), key=len, reverse=True)
+    keys = sorted(table, key=len, reverse=True)
     exact = "^(" + "|".join(map(re.escape, keys)) + "):"
     qualified = [r"^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:", r"^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:"]
     none = F.lit(None).cast("string")
@@ -247,10 +237,9 @@ def annotation(segment: ColumnLike, table: str = ANNOTATIONS) -> Column:
 
 def verb_class(word_class: ColumnLike) -> Column:
     """Verb type of the last part of a word class that has one."""
-    table = rows(VERB_CLASSES)
     parts = F.transform(F.split(F.replace(_c(word_class), F.lit(";"), F.lit(".")), r"\."), strip)
-    found = F.filter(F.reverse(parts), lambda p: p.isin(*table))
-    return _look(string_map(table), F.get(found, 0))
+    found = F.filter(F.reverse(parts), lambda p: p.isin(*VERB_CLASSES))
+    return _look(string_map(VERB_CLASSES), F.get(found, 0))
 
 
 def refine(verb_type: Column, word_class: ColumnLike) -> Column:
@@ -265,7 +254,7 @@ def refine(verb_type: Column, word_class: ColumnLike) -> Column:
 
 def class_pos(word_class: ColumnLike) -> Column:
     """Parts of speech of a word class; null if the class is unknown."""
-    return _look(list_map(lists(WORD_CLASSES)), _c(word_class))
+    return _look(list_map(WORD_CLASSES), _c(word_class))
 
 
 def _gloss(gloss: Column, pos: Column, verb: Column | None = None, qualifier: Column | None = None, affix: Column | None = None) -> Column:
@@ -348,7 +337,7 @@ def parse_legacy(text: ColumnLike, word_class: ColumnLike) -> Column:
     """Parsed glosses of entries in the older notation (``tr:``, ``intr:``, ``tr/intr (optional -cu):``)."""
     groups, classes = split_groups(text), F.split(_c(word_class), "; ")
     n = F.size(groups)
-    known = list_map(lists(WORD_CLASSES))
+    known = list_map(WORD_CLASSES)
     dotted = lambda p: p.startswith("b.") | p.startswith("f.")
 
     def class_list(p: Column) -> Column:
@@ -372,7 +361,7 @@ def parse_legacy(text: ColumnLike, word_class: ColumnLike) -> Column:
         .when(F.size(pos) > 0, F.array(_gloss(g0, F.get(pos, 0))))
         .otherwise(empty)
     )
-    types = string_map(rows(VERB_CLASSES))
+    types = string_map(VERB_CLASSES)
 
     def read(g: Column, i: Column) -> Column:
         own = F.get(pos, F.least(i, F.size(pos) - 1))
@@ -403,7 +392,7 @@ def parse_entry(text: ColumnLike, word_class: ColumnLike) -> Column:
 
 def dictionary_pos(pos: ColumnLike) -> Column:
     """Name of a part of speech in the sense dictionary; null if it has none."""
-    return _look(string_map(rows(DICTIONARY_POS)), _c(pos))
+    return _look(string_map(DICTIONARY_POS), _c(pos))
 
 
 def class_key(word_class: ColumnLike) -> Column:

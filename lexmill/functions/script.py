@@ -15,9 +15,9 @@ PLAIN_VOWELS, ACUTE_VOWELS = "aeiouAEIOU", "áéíóúÁÉÍÓÚ"
 LATIN = "aeioupbcjtdkgfsxhvzrlmnyw"
 CYRILLIC = "аеиоупбчжтдкгфсшхвзрлмнйў"
 # The private-use letters of the featural script, for the letters of LATIN; stressed vowels for aeiou.
-FEATURAL = ""
-FEATURAL_STRESSED = ""
-ENGMA, TRILL, BREAK = "", "", ""
+FEATURAL = "\ue0ec\ue0c4\ue0dc\ue0bc\ue0ac\ue216\ue192\ue210\ue18c\ue208\ue184\ue20e\ue18a\ue298\ue299\ue294\ue292\ue1bc\ue1bd\ue2ce\ue142\ue124\ue116\ue111\ue10b"
+FEATURAL_STRESSED = "\ue0e8\ue0c0\ue0d8\ue0b8\ue0a8"
+ENGMA, TRILL, BREAK = "\ue11c", "\ue2db", "\ue100"
 
 _V, _C = f"[{PLAIN_VOWELS}]", f"[^{PLAIN_VOWELS}]"
 _LAST = f"(?s)^(.*)({_V})({_C}*)$"

@@ -269,7 +269,7 @@ def first_match(col: ColumnLike, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(_c(col), p, 1), F.lit("")) for p in patterns])
 
 
-# Patterns of image links in pages, by page kind and in order of preference.
+# Patterns of image links in pages, by page kind and in order of preference.
 LINK_PATTERNS = {
     "general": [r'(?s)<td[^>]*class="infobox-image"[^>]*>.*?<a[^>]*href="([^"]+)"', r'(?s)<table[^>]*class="infobox biota"[^>]*>.*?<a[^>]*href="([^"]+)"', r'(?s)<figure[^>]*class="mw-default-size"[^>]*>.*?<a[^>]*href="([^"]+)"'],
     "biota": [r'(?s)<figure[^>]*>.*?<a[^>]*href="([^"]+)"'],

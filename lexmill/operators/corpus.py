@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import TOKEN_PUNCTUATION, ColumnLike, _c, strip_marks
+from lexmill.functions.text import sentences as sentences_of
 from lexmill.operators.rows import number_rows, sections
-from lexmill.session import cut_lineage
+from lexmill.session import broadcast_if_small
 
 # Fixed values of the affix and multi-word rules: affixes stripped one after the other while the
 # rest is a word, suffixes tried last, heads of multi-word entries, and words that continue one.
@@ -142,8 +143,9 @@ def merged_entries(sentences: DataFrame, key: Sequence[str], sentence: str, voca
 
 
 def word_counts(tokens: DataFrame, text: str, word: str) -> DataFrame:
-    """(text, word, cnt) and, with a null text, the count over all texts."""
-    return tokens.rollup(word, text).agg(F.count(F.lit(1)).alias("cnt")).where(F.col(word).isNotNull()).select(text, word, "cnt")
+    """(text, word, cnt, total): the count in each text and, where ``total`` is 1 and text null, over all texts; a text without a name is one of its own."""
+    counts = tokens.where(F.col(word).isNotNull()).rollup(word, text).agg(F.count(F.lit(1)).alias("cnt"), F.grouping(text).cast("int").alias("total"), F.grouping(word).alias("_all"))
+    return counts.where("_all = 0").select(text, word, "cnt", "total")
 
 
 def first_passages(uses: DataFrame, word: str, passage: str, order: Sequence[str], longer_than: int = 3) -> DataFrame:
@@ -184,6 +186,23 @@ def ranking_sections(ranked: DataFrame, fallback: DataFrame, dictionary: DataFra
     return sections([ranked.select(word), second, third])
 
 
+def rank_corpus(texts: DataFrame, text: str, key: str, content: str, vocabulary: DataFrame, fallback: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
+    """(section, rank, word, text, cnt, first_passage): the entries of a dictionary as a corpus uses them.
+
+    Sentences become lemmas and merged entries; entries come in the order of their first text
+    (by the order of ``text``), within it by frequency there and first use, each with its first
+    passage of more than three tokens. Fallback words and the rest of the dictionary follow,
+    without a rank.
+    """
+    sentences = texts.select(F.col(text).alias("_text"), F.col(key).alias("_doc"), F.posexplode(sentences_of(content)).alias("_no", "_s"))
+    at = ["_text", "_doc", "_no"]
+    entries = merged_entries(sentences, at, "_s", vocabulary, word).withColumnRenamed("entry", word)
+    placed = emission_order(entries.withColumn("_at", F.struct("_doc", "_no", "seq")), "_text", word, "_at")
+    passages = first_passages(entries.select(word, *at).distinct().join(sentences, at), word, "_s", at)
+    ranked = placed.join(passages, word, "left").select(word, "rank", F.col("_text").alias(text), "cnt", F.col("_s").alias("first_passage"))
+    return ranking_sections(ranked, fallback, dictionary, word).join(ranked, word, "left").select("section", "rank", word, text, "cnt", "first_passage")
+
+
 def emphasise(sentence: ColumnLike, word: ColumnLike, forms: ColumnLike) -> Column:
     """The sentence with ``**`` around the word in each token that is one of its ``forms`` (an array of lower-case tokens without marks)."""
     tokens = F.split(_c(sentence), " ")
@@ -191,22 +210,15 @@ def emphasise(sentence: ColumnLike, word: ColumnLike, forms: ColumnLike) -> Colu
     return F.array_join(F.transform(tokens, lambda t: F.when(F.array_contains(_c(forms), F.lower(strip_marks(t))), mark(t)).otherwise(t)), " ")
 
 
-BROADCAST_PHRASES = 100_000
-
-
 def phrase_hits(sentences: DataFrame, key: Sequence[str], words: str, phrases: DataFrame, phrase: str, longest: int = 5) -> DataFrame:
     """(key, start, phrase) for every phrase (words parted by blanks) that stands in a sentence's word array.
 
-    Phrases whose first word stands nowhere are set aside first. Windows of one to ``longest``
-    words are formed only where a first word of the others stands; these phrases are broadcast
-    up to ``BROADCAST_PHRASES``, beyond it the same joins shuffle.
+    Windows of one to ``longest`` words are formed only where the first word of a phrase
+    stands. Phrases are broadcast if Catalyst's bound of their size allows it, else the same
+    joins shuffle.
     """
-    uses = sentences.select(F.explode(words).alias("_h")).distinct()
-    known = phrases.select(F.col(phrase).alias("phrase"), F.split(phrase, " ")[0].alias("_h")).where("phrase is not null").distinct()
-    known = cut_lineage(known.join(uses, "_h", "left_semi"))
-    small = known.count() <= BROADCAST_PHRASES
-    shared = lambda df: F.broadcast(df) if small else df
-    heads, known = shared(known.select("_h").distinct()), shared(known.select("phrase"))
+    known = phrases.select(F.col(phrase).alias("phrase")).where("phrase is not null").distinct()
+    heads, known = broadcast_if_small(known.select(F.split("phrase", " ")[0].alias("_h")).distinct()), broadcast_if_small(known)
     places = sentences.select(*key, F.col(words).alias("_t"), F.posexplode(words).alias("_i", "_h"))
     places = places.select(*key, (F.col("_i") + 1).alias("start"), "_h", F.slice("_t", F.col("_i") + 1, longest).alias("_t")).join(heads, "_h", "left_semi")
     windows = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda n: F.array_join(F.slice("_t", 1, n), " "))

@@ -53,15 +53,16 @@ def last_class_in(words: DataFrame, classes: Sequence[str]) -> DataFrame:
     return words.where(G.class_key(F.element_at(F.split("wordclass", "; "), -1)).isin(*classes))
 
 
-def dictionary_lines(words: DataFrame, languages: Sequence[str], pronouns: DataFrame | None = None, gendered: Sequence[str] = ()) -> DataFrame:
+def dictionary_lines(words: DataFrame, languages: Sequence[str], pronouns: DataFrame | None = None, gendered: Sequence[str] = (), function_words: bool = False) -> DataFrame:
     """(lang, word, line): XML entries of the bilingual dictionaries, and of the monolingual one under ``mono``.
 
     ``words``: word, wordclass and a translation column for each of ``languages``. Group i of a
     translation belongs to the i-th tag of the word class. Nouns have an entry for each
     gender of the word; ``gendered`` languages one more for each marker of the translation.
-    Other groups have no gender. Glosses that begin with an underscore are left out.
+    Other groups have no gender. Glosses that begin with an underscore are left out. Content
+    words and function words (``function_words``) are exported apart.
     """
-    w = words.where(~F.startswith("word", F.lit("-")))
+    w = content_words(words, function_words)
     if pronouns is not None:
         w = w.join(pronouns.select("word", F.col("pronoun").alias("_p")), "word", "left")
     else:
@@ -103,7 +104,7 @@ def card_pos(pos: Column) -> Column:
 
 CARD_COLUMNS = (
     "word stressed pos1 pos2 pos3 meaning1 meaning2 meaning3 animate_adjective inanimate_adjective transitive echo_transitive intransitive copula image image_source nsfw second_image second_image_source animation animation_source "
-    "anaphor other_anaphor antonyms example example_cloze example_translation second_example second_example_cloze second_example_translation third_example third_example_cloze third_example_translation video video_codec audio audio_source audio_codec audio_label tags"
+    "anaphor antonyms example example_cloze example_translation second_example second_example_cloze second_example_translation third_example third_example_cloze third_example_translation spoken_audio spoken_codec sound sound_source sound_codec sound_label tags"
 ).split()
 
 
@@ -144,7 +145,6 @@ def card_rows(ranking: DataFrame, words: DataFrame, *, pronouns: DataFrame | Non
         "animation": text(F.when(gif, F.col("_url"))),
         "animation_source": text(F.when(gif, F.col("_page"))),
         "anaphor": text(F.get(people, 0)),
-        "other_anaphor": text(F.get(people, 1)),
         "antonyms": text(F.col("antonyms")),
         "example": text(T.bold_html("example")),
         "example_cloze": text(T.bold_html(T.cloze("example"))),

@@ -7,64 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.gloss import lists, rows
-from lexmill.session import cut_lineage
+from lexmill.session import broadcast_if_small, cut_lineage
 
 # Overlap wanted for 0, 1, 2, ... query words; the last holds for more.
 THRESHOLDS = [0, 1, 2, 2]
 # Topic of derived nouns by suffix (in order), topics and classes of nouns by tag, as interlingual ids.
-SUFFIX_TOPICS = """
-dom = i53558
-ya = i35547
-tim = i69080
-sa = i69527
-ismo = i68061
-krasi = i35610
-tul = i55130
-kamer = i58265
-ista = i88069
-yen = i35561
-xey = i35549
-kaxa = i35546
-lari = i35589
-kef = i88364
-ente = i35561
-"""
-TAG_TOPICS = """
-hewan = i35563
-piu = i43203
-basa = i69527
-yamxey = i76470
-sabzi = i35564, i105484
-planta = i35564, i105484
-bio = i35552
-tul = i55130, i35573
-fruta = i105676
-jismulogi = i64399
-futru = i105042
-gluxey = i78658
-mubile = i54111
-dom = i53558
-klima = i97626
-figura = i35581
-kimikali monlari = i113874
-musikatul = i56458
-labas = i52057, i55130
-calyo = i52319
-materyal = i113651
-petra = i114224, i115285, i114036
-hoxinlyo = i78162, i35564
-"""
-TAG_CLASSES = """
-daygeo = i85253
-dexa = i81888
-"""
+SUFFIX_TOPICS = {
+    "dom": "i53558",
+    "ya": "i35547",
+    "tim": "i69080",
+    "sa": "i69527",
+    "ismo": "i68061",
+    "krasi": "i35610",
+    "tul": "i55130",
+    "kamer": "i58265",
+    "ista": "i88069",
+    "yen": "i35561",
+    "xey": "i35549",
+    "kaxa": "i35546",
+    "lari": "i35589",
+    "kef": "i88364",
+    "ente": "i35561",
+}
+TAG_TOPICS = {
+    "hewan": ["i35563"],
+    "piu": ["i43203"],
+    "basa": ["i69527"],
+    "yamxey": ["i76470"],
+    "sabzi": ["i35564", "i105484"],
+    "planta": ["i35564", "i105484"],
+    "bio": ["i35552"],
+    "tul": ["i55130", "i35573"],
+    "fruta": ["i105676"],
+    "jismulogi": ["i64399"],
+    "futru": ["i105042"],
+    "gluxey": ["i78658"],
+    "mubile": ["i54111"],
+    "dom": ["i53558"],
+    "klima": ["i97626"],
+    "figura": ["i35581"],
+    "kimikali monlari": ["i113874"],
+    "musikatul": ["i56458"],
+    "labas": ["i52057", "i55130"],
+    "calyo": ["i52319"],
+    "materyal": ["i113651"],
+    "petra": ["i114224", "i115285", "i114036"],
+    "hoxinlyo": ["i78162", "i35564"],
+}
+TAG_CLASSES = {
+    "daygeo": ["i85253"],
+    "dexa": ["i81888"],
+}
 
 
 def topic_tables(synsets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The suffix and tag tables that ``suffix_filter`` and ``tag_filter`` take, with the synsets (synset_id, ili) of their ids."""
-    suffixes = [(k, "n", v, i) for i, (k, v) in enumerate(rows(SUFFIX_TOPICS).items())]
-    tags = [(k, "n", kind, ili) for table, kind in ((TAG_TOPICS, "hypernym"), (TAG_CLASSES, "instance_of")) for k, v in lists(table).items() for ili in v]
+    suffixes = [(k, "n", v, i) for i, (k, v) in enumerate(SUFFIX_TOPICS.items())]
+    tags = [(k, "n", kind, ili) for table, kind in ((TAG_TOPICS, "hypernym"), (TAG_CLASSES, "instance_of")) for k, v in table.items() for ili in v]
     spark = synsets.sparkSession
     ids = synsets.select("ili", F.col("synset_id").alias("topic_id"))
     a = spark.createDataFrame(suffixes, "suffix string, pos string, ili string, ord int").join(ids, "ili").drop("ili")
@@ -152,34 +151,38 @@ def score_synsets(queries: DataFrame, synsets: DataFrame, lemmas: DataFrame, epo
     return judged.groupBy("word", "group_no", "pos", "synset_id", "ili").agg(F.bool_or("_ok").alias("applicable"))
 
 
+def _with_ancestry(candidates: DataFrame, closure: DataFrame) -> DataFrame:
+    """``candidates`` with ``_up``: the synset and its ancestors, which are as many as the hierarchy is deep."""
+    up = closure.groupBy(F.col("node").alias("synset_id")).agg(F.collect_set("ancestor").alias("_a"))
+    own = F.array("synset_id")
+    return candidates.join(up, "synset_id", "left").withColumn("_up", F.when(F.col("_a").isNull(), own).otherwise(F.concat(own, F.col("_a")))).drop("_a")
+
+
 def suffix_filter(candidates: DataFrame, suffixes: DataFrame, closure: DataFrame) -> DataFrame:
     """Derived words keep the synsets under the topic of their suffix; words without a known suffix keep all.
 
-    ``suffixes``: suffix, pos, topic_id, ord; the first in order counts.
+    ``suffixes``: suffix, pos, topic_id, ord; the first in order counts. Candidates are read once.
     """
-    words = candidates.select("word", "pos").distinct()
-    own = words.join(F.broadcast(suffixes), "pos").where(F.endswith("word", "suffix")).groupBy("word", "pos").agg(F.min_by("topic_id", "ord").alias("topic_id"))
-    return _within(candidates, own, closure)
+    tables = suffixes.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("ord", "suffix", "topic_id"))).alias("_s"))
+    own = candidates.join(broadcast_if_small(tables), "pos", "left").withColumn("_topic", F.get(F.filter("_s", lambda x: F.endswith("word", x["suffix"])), 0)["topic_id"])
+    return _with_ancestry(own, closure).where(F.col("_topic").isNull() | F.array_contains("_up", F.col("_topic"))).select(*candidates.columns)
 
 
 def tag_filter(candidates: DataFrame, tags: DataFrame, topics: DataFrame, closure: DataFrame, instances: DataFrame) -> DataFrame:
     """Words with topical tags keep the synsets under one of their most specific topics, or that are instances of one; others keep all.
 
     ``tags``: word, tag. ``topics``: tag, pos, kind ('hypernym' or 'instance_of'), topic_id.
-    ``instances``: src, dst of the instance relation.
+    ``instances``: src, dst of the instance relation. Candidates are read once; topics come to
+    them as one array a word.
     """
-    own = candidates.select("word", "pos").distinct().join(tags, "word").join(F.broadcast(topics), ["tag", "pos"]).select("word", "pos", "kind", "topic_id").distinct()
-    above = drop_dominated(own.where("kind = 'hypernym'").drop("kind"), closure)
-    kept = under(candidates, above, closure)
-    classes = candidates.join(instances.select(F.col("src").alias("synset_id"), F.col("dst").alias("_class")), "synset_id")
-    members = under(classes, own.where("kind = 'instance_of'").drop("kind"), closure, synset="_class").select(*candidates.columns)
-    free = candidates.join(own.select("word", "pos").distinct(), ["word", "pos"], "left_anti")
-    return kept.unionByName(members).unionByName(free).distinct()
-
-
-def _within(candidates: DataFrame, topics: DataFrame, closure: DataFrame) -> DataFrame:
-    free = candidates.join(topics.select("word", "pos").distinct(), ["word", "pos"], "left_anti")
-    return under(candidates, topics, closure).unionByName(free)
+    own = tags.join(broadcast_if_small(topics), "tag").select("word", "pos", "kind", "topic_id").distinct()
+    above = drop_dominated(own.where("kind = 'hypernym'").drop("kind"), closure).groupBy("word", "pos").agg(F.collect_set("topic_id").alias("_above"))
+    classes = own.groupBy("word", "pos").agg(F.collect_set(F.when(F.col("kind") == "instance_of", F.col("topic_id"))).alias("_classes"))
+    of = instances.join(closure.select(F.col("node").alias("dst"), "ancestor"), "dst", "left")
+    of = of.groupBy(F.col("src").alias("synset_id")).agg(F.array_distinct(F.concat(F.collect_set("dst"), F.collect_set("ancestor"))).alias("_of"))
+    known = _with_ancestry(candidates, closure).join(classes.join(above, ["word", "pos"], "left"), ["word", "pos"], "left").join(of, "synset_id", "left")
+    met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+    return known.where(F.col("_classes").isNull() | met("_up", "_above") | met("_of", "_classes")).select(*candidates.columns)
 
 
 def synset_status(total: DataFrame, applicable: DataFrame, markings: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -198,6 +201,20 @@ def synset_status(total: DataFrame, applicable: DataFrame, markings: DataFrame,
     return flags.select(*keys, status.alias("status"))
 
 
+def align_synsets(
+    queries: DataFrame, synsets: DataFrame, lemmas: DataFrame, epo: DataFrame, *, closure: DataFrame, suffixes: DataFrame, tags: DataFrame, topics: DataFrame, instances: DataFrame, markings: DataFrame
+) -> DataFrame:
+    """(word, group_no, pos, ili, status): candidates of every query, scored, kept under the topics of the word's suffix and tags, and overruled by reviewers.
+
+    The inputs are those of ``score_synsets``, ``suffix_filter`` and ``tag_filter``; ``markings``
+    has word, pos, ili, app, vetted.
+    """
+    scored = score_synsets(queries, synsets, lemmas, epo)
+    kept = tag_filter(suffix_filter(scored.where("applicable").drop("applicable"), suffixes, closure), tags, topics, closure, instances)
+    marks = markings.join(queries.select("word", "group_no", "pos").distinct(), ["word", "pos"])
+    return synset_status(scored, kept, marks, ["word", "group_no", "pos", "ili"])
+
+
 def progressive_intersection(sets: Column) -> Column:
     """Intersection of an array of sets one after the other, a set that would empty it left out."""
     rest = F.slice(sets, 2, F.greatest(F.size(sets) - 1, F.lit(0)))

@@ -95,13 +95,15 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "rn")
     """``df`` with global row numbers from 1 by ``order`` (make it total with a key at its end).
 
     A window without partitions would sort everything in one task. Here rows are spread by
-    range over many tasks and sorted there; each part's rows are counted, the counts of the
-    parts before it are added. Only one count a part is gathered. The sorted rows are
-    checkpointed, so that a repeated task cannot see other parts than the count did.
+    range over many tasks and sorted there, which numbers them within their part; each
+    part's rows are counted, and the counts of the parts before it are added. Only one count
+    a part is gathered. The numbered rows are checkpointed, so that a repeated task cannot
+    see other parts than the count did; they are shuffled and sorted once.
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).select("*", F.spark_partition_id().alias("_part")))
-    sizes = ranged.groupBy("_part").count()
+    ranged = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_id", F.monotonically_increasing_id()))
+    # The upper bits of these ids are the part, the lower 33 the place in it.
+    placed = ranged.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
+    sizes = placed.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(*order_cols)
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("bigint")).drop("_part", "_before")
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_place") + F.col("_before") + 1).drop("_part", "_place", "_before")

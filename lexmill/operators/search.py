@@ -10,50 +10,50 @@ from pyspark.sql import functions as F
 from lexmill.functions import gloss as G
 from lexmill.functions import text as T
 from lexmill.operators.rows import keep_first
-from lexmill.session import broadcast_if_small, cut_lineage
+from lexmill.session import broadcast_if_small
 
 SUGGESTIONS, SHORTEST_QUERY, EXAMPLES, LONGEST_PHRASE = 15, 2, 20, 5
 
 # Shown names of parts of speech and verb types.
-POS_NAMES = """
-NOUN = noun
-PROPER_NOUN = proper noun
-NOUN_PHRASE = noun phrase
-VERB = verb
-VERB_PHRASE = verb phrase
-ADJECTIVE = adjective
-PROPER_ADJECTIVE = proper adjective
-ADJECTIVE_PHRASE = adjective phrase
-ADVERB = adverb
-VERBAL_ADVERB = verbal adverb
-PHRASAL_ADVERB = adverb phrase
-PRONOUN = pronoun
-POSSESSIVE_PRONOUN = possessive pronoun
-POSSESSIVE_ADJECTIVE = possessive adjective
-PREPOSITION = preposition
-PHRASAL_PREPOSITION = phrasal preposition
-PREPOSITIONAL_PHRASE = prepositional phrase
-POSTPOSITION = postposition
-CONJUNCTION = conjunction
-PHRASAL_CONJUNCTION = phrasal conjunction
-CONJUNCTION_PHRASE = conjunction phrase
-DETERMINER = determiner
-NUMBER = number
-PARTICLE = particle
-INTERJECTION = interjection
-PREFIX = prefix
-PHRASE = phrase
-"""
-VERB_NAMES = """
-TRANSITIVE = transitive
-INTRANSITIVE = intransitive
-ECHO_TRANSITIVE = echo-transitive
-COPULAR = copular
-AUXILIARY = auxiliary
-INTRANSITIVE_CU = intransitive (-cu)
-FEELING = feeling (hisi)
-STATE = state (jotay)
-"""
+POS_NAMES = {
+    "NOUN": "noun",
+    "PROPER_NOUN": "proper noun",
+    "NOUN_PHRASE": "noun phrase",
+    "VERB": "verb",
+    "VERB_PHRASE": "verb phrase",
+    "ADJECTIVE": "adjective",
+    "PROPER_ADJECTIVE": "proper adjective",
+    "ADJECTIVE_PHRASE": "adjective phrase",
+    "ADVERB": "adverb",
+    "VERBAL_ADVERB": "verbal adverb",
+    "PHRASAL_ADVERB": "adverb phrase",
+    "PRONOUN": "pronoun",
+    "POSSESSIVE_PRONOUN": "possessive pronoun",
+    "POSSESSIVE_ADJECTIVE": "possessive adjective",
+    "PREPOSITION": "preposition",
+    "PHRASAL_PREPOSITION": "phrasal preposition",
+    "PREPOSITIONAL_PHRASE": "prepositional phrase",
+    "POSTPOSITION": "postposition",
+    "CONJUNCTION": "conjunction",
+    "PHRASAL_CONJUNCTION": "phrasal conjunction",
+    "CONJUNCTION_PHRASE": "conjunction phrase",
+    "DETERMINER": "determiner",
+    "NUMBER": "number",
+    "PARTICLE": "particle",
+    "INTERJECTION": "interjection",
+    "PREFIX": "prefix",
+    "PHRASE": "phrase",
+}
+VERB_NAMES = {
+    "TRANSITIVE": "transitive",
+    "INTRANSITIVE": "intransitive",
+    "ECHO_TRANSITIVE": "echo-transitive",
+    "COPULAR": "copular",
+    "AUXILIARY": "auxiliary",
+    "INTRANSITIVE_CU": "intransitive (-cu)",
+    "FEELING": "feeling (hisi)",
+    "STATE": "state (jotay)",
+}
 
 
 def term_index(words: DataFrame, columns: dict[str, str], word: str = "word") -> DataFrame:
@@ -114,8 +114,8 @@ def derived_index(words: DataFrame, etymology: str, word: str = "word") -> DataF
     return words.select(F.explode(parts).alias("part"), F.col(word).alias("word")).where(F.lower("word") != F.col("part")).distinct()
 
 
-def derived_words(index: DataFrame, word: str) -> DataFrame:
-    return index.where(F.col("part") == word.lower()).select("word").orderBy("word")
+def derived_words(index: DataFrame, word: str | Column) -> DataFrame:
+    return index.where(F.col("part") == F.lower(F.lit(word) if isinstance(word, str) else word)).select("word").orderBy("word")
 
 
 def point_get(table: DataFrame, key: str, word: str = "word") -> DataFrame:
@@ -167,18 +167,19 @@ def top_examples(index: DataFrame, words: DataFrame, word: str = "word", limit:
     return kept.withColumn("_n", F.row_number().over(final)).where(F.col("_n") <= limit).select("word", "ord", "seg")
 
 
-def phrases(text: Column, longest: int = LONGEST_PHRASE) -> Column:
-    """Distinct runs of one to ``longest`` letter tokens, joined by blanks."""
-    toks = T.letter_tokens(text)
+def phrases(tokens: str, longest: int = LONGEST_PHRASE) -> Column:
+    """Distinct runs of one to ``longest`` tokens of an array column, joined by blanks."""
+    toks = F.col(tokens)
     sizes = F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda n: n <= F.size(toks))
     return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " ")))))
 
 
 def glossary(sentences: DataFrame, key: Sequence[str], seg: str, words: DataFrame, translation: str, word: str = "word", longest: int = LONGEST_PHRASE) -> DataFrame:
     """(key, phrase, gloss): dictionary entries among the phrases of each sentence, with their short gloss; the least gloss of repeated entries."""
-    spread = sentences.select(*key, F.explode(phrases(F.col(seg), longest)).alias("phrase"))
+    cut = sentences.select(*key, T.letter_tokens(seg).alias("_t"))  # tokens are a column, so that they are found once a sentence
+    spread = cut.select(*key, F.explode(phrases("_t", longest)).alias("phrase"))
     known = words.select(F.lower(word).alias("phrase"), T.short_gloss(translation).alias("gloss")).groupBy("phrase").agg(F.min("gloss").alias("gloss"))
-    return spread.join(known, "phrase").select(*key, "phrase", "gloss")
+    return spread.join(broadcast_if_small(known), "phrase").select(*key, "phrase", "gloss")
 
 
 def aligned_sentences(units: DataFrame, aligned: DataFrame, seg: str = "seg") -> DataFrame:
@@ -189,11 +190,11 @@ def aligned_sentences(units: DataFrame, aligned: DataFrame, seg: str = "seg") ->
 
 
 def pos_name(pos: Column) -> Column:
-    return F.coalesce(F.try_element_at(G.string_map(G.rows(POS_NAMES)), pos), F.lit("phrase"))
+    return F.coalesce(F.try_element_at(G.string_map(POS_NAMES), pos), F.lit("phrase"))
 
 
 def verb_name(verb: Column) -> Column:
-    return F.try_element_at(G.string_map(G.rows(VERB_NAMES)), verb)
+    return F.try_element_at(G.string_map(VERB_NAMES), verb)
 
 
 def translation_groups(words: DataFrame, core: dict[str, str], extension: dict[str, str], exclude: DataFrame | None = None) -> DataFrame:
@@ -203,22 +204,25 @@ def translation_groups(words: DataFrame, core: dict[str, str], extension: dict[s
     ``core`` columns (column -> name) are aligned by these two, ``extension`` columns by the
     number of the group. ``exclude`` (word, gloss) removes exact leading glosses.
     """
-    parsed = words.withColumn("_e", G.parse_annotated("eng", "wordclass"))
     key = lambda g: F.struct(pos_name(g["pos"]).alias("pos"), verb_name(g["verb_type"]).alias("verb_type"))
-    groups = cut_lineage(parsed.withColumn("_g", F.array_distinct(F.transform("_e", key))))  # parsed once, used for every language
-    lead = groups.select("word", "_g", F.explode(F.transform("_e", lambda g: F.struct(key(g).alias("k"), g["gloss"].alias("text")))).alias("x"))
+    entry = lambda k, lang, text, no=None: F.struct(k.alias("k"), F.lit(lang).alias("lang"), text.alias("text"), (F.lit(None).cast("int") if no is None else no).alias("no"))
+    lead = F.transform("_e", lambda g: entry(key(g), "English", g["gloss"]))
+
+    def glosses(column: str, lang: str) -> Column:
+        return F.transform(G.parse_translation(column, F.col("_e"), "wordclass"), lambda g: entry(key(g), lang, T.strip_gender(g["gloss"])))
+
+    def cells(column: str, lang: str) -> Column:
+        shown = lambda x: F.concat(x["text"], F.coalesce(F.concat(F.lit(" <"), x["gender"], F.lit(">")), F.lit("")))
+        groups = F.slice(T.parse_cell(column), 1, F.size("_g"))
+        return F.flatten(F.transform(groups, lambda items, i: F.transform(items, lambda x: entry(F.get("_g", i), lang, shown(x), i))))
+
+    # Every language of a word comes out of one row, so that the leading gloss is parsed once.
+    parsed = words.withColumn("_e", G.parse_annotated("eng", "wordclass")).withColumn("_g", F.array_distinct(F.transform("_e", key)))
+    empty = lambda a: F.coalesce(a, F.array().cast("array<struct<k:struct<pos:string,verb_type:string>,lang:string,text:string,no:int>>"))
+    found = parsed.select("word", "_g", F.explode(F.concat(*map(empty, [lead, *(glosses(c, lang) for c, lang in core.items()), *(cells(c, lang) for c, lang in extension.items())]))).alias("x"))
+    out = found.select("word", F.coalesce(F.col("x.no").cast("bigint"), F.array_position("_g", F.col("x.k")) - 1).alias("group_no"), "x.k.pos", "x.k.verb_type", "x.lang", "x.text").where("group_no >= 0")
     if exclude is not None:
-        lead = lead.withColumn("_x", F.col("x.text")).join(exclude.select("word", F.col("gloss").alias("_x")), ["word", "_x"], "left_anti").drop("_x")
-    place = lambda k: F.array_position("_g", k) - 1
-    out = lead.select("word", place(F.col("x.k")).alias("group_no"), F.col("x.k.pos").alias("pos"), F.col("x.k.verb_type").alias("verb_type"), F.lit("English").alias("lang"), F.col("x.text").alias("text"))
-    for column, name in core.items():
-        own = groups.select("word", "_g", F.explode(F.transform(G.parse_translation(column, F.col("_e"), "wordclass"), lambda g: F.struct(key(g).alias("k"), T.strip_gender(g["gloss"]).alias("text")))).alias("x"))
-        out = out.unionByName(own.where(place(F.col("x.k")) >= 0).select("word", place(F.col("x.k")).alias("group_no"), F.col("x.k.pos").alias("pos"), F.col("x.k.verb_type").alias("verb_type"), F.lit(name).alias("lang"), F.col("x.text").alias("text")))
-    for column, name in extension.items():
-        own = groups.select("word", "_g", F.posexplode(T.parse_cell(column)).alias("group_no", "x")).where(F.col("group_no") < F.size("_g"))
-        spread = own.select("word", F.col("group_no").cast("bigint").alias("group_no"), F.get("_g", F.col("group_no")).alias("k"), F.explode("x").alias("x"))
-        shown = F.concat(F.col("x.text"), F.coalesce(F.concat(F.lit(" <"), F.col("x.gender"), F.lit(">")), F.lit("")))
-        out = out.unionByName(spread.select("word", "group_no", F.col("k.pos").alias("pos"), F.col("k.verb_type").alias("verb_type"), F.lit(name).alias("lang"), shown.alias("text")))
+        out = out.join(exclude.select("word", F.col("gloss").alias("text"), F.lit("English").alias("lang")), ["word", "text", "lang"], "left_anti")
     return out.groupBy("word", "group_no", "pos", "verb_type", "lang").agg(F.array_sort(F.collect_set("text")).alias("texts"))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import gloss as G
 from lexmill.functions import text as T
-from lexmill.session import cut_lineage
 
 # Other parts of speech under which a gloss is looked up too; the second table
 # holds only for words with one dictionary part of speech.
@@ -145,7 +144,7 @@ def align_senses(words: DataFrame, translations: DataFrame, senses: DataFrame, m
     as stubs without a sense; so do words without a gloss (only the word). ``spa_codes`` and
     ``epo_codes`` are the codes of the translations that are evidence.
     """
-    rows = cut_lineage(lookups(words))  # parsed once, used by hits, misses and stubs
+    rows = lookups(words)
     named = rows.where(~F.startswith("eng_word", F.lit("_")))
     evidence = translations.groupBy("word", "pos", "sense").agg(*[F.array_sort(F.collect_set(F.when(F.col("lang").isin(*codes), F.col("tr_word")))).alias(name) for name, codes in (("_es", spa_codes), ("_eo", epo_codes))])
     keyed = evidence.withColumnsRenamed({"word": "eng_word"})
@@ -199,14 +198,19 @@ def eng_with_senses(rows: DataFrame) -> DataFrame:
 
 def extension_table(words: DataFrame, rows: DataFrame, translations: DataFrame, langs: Sequence[str], notes: DataFrame | None = None) -> DataFrame:
     """The wide table: word, eng_with_senses and one column for each of ``langs``; words without accepted senses have empty cells."""
-    good = cut_lineage(accepted(rows))
+    good = accepted(rows)
     wide = extension_cells(good, translations, notes).groupBy("word").pivot("lang", list(langs)).agg(F.first("cell"))
     return words.select("word").distinct().join(eng_with_senses(good), "word", "left").join(wide, "word", "left").na.fill("")
 
 
+def fold_items(rows: DataFrame, keys: Sequence[str], item: str, cell: str) -> DataFrame:
+    """The distinct items of each key, sorted and joined by comma and blank."""
+    return rows.select(*keys, item).distinct().groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(item)), ", ").alias(cell))
+
+
 def vetted_fold(rows: DataFrame, word: str, pos: str, sense: str, lang: str, item: str) -> DataFrame:
     """Accepted rows folded twice: items by (word, pos, lang), these by word and lang in the order of pos; with the word's parts of speech and senses."""
-    inner = rows.groupBy(word, pos, lang).agg(F.array_join(F.array_sort(F.collect_set(item)), ", ").alias("_i"))
+    inner = fold_items(rows, [word, pos, lang], item, "_i")
     cells = inner.groupBy(word, lang).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_i"))), lambda x: x["_i"]), "; ").alias("cell"))
     heads = rows.groupBy(word).agg(F.array_join(F.array_sort(F.collect_set(pos)), "; ").alias("pos_list"), F.array_join(F.array_sort(F.collect_set(sense)), "; ").alias("senses"))
     return cells.join(heads, word)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import corpus, graph, rows
-from lexmill.plans.lexical import WORDS, strip, words
+from lexmill.plans.lexical import WORDS, gloss_items, sentences, strip, words
 from lexmill.session import table
+from lexmill.sources import readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,9 +44,9 @@ def c_split_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("w").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query(f"with {_TOK} select source, w, count(*) as cnt from tok group by grouping sets ((w, source), (w))")
+@query(f"with {_TOK} select source, w, count(*) as cnt, grouping(source)::int as total from tok group by grouping sets ((w, source), (w))")
 def c_word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of each source and, with a null source, over all."""
+    """Counts of each source and over all."""
     return corpus.word_counts(tokens(spark, sf), "source", "w")
 
 
@@ -131,71 +132,41 @@ def c_frequency_rank(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.frequency_rank(c_token_counts(spark, sf), "w", "cnt")
 
 
-@query(f"""
-with {_TOK}, r as (select w, cnt, row_number() over (order by cnt desc, w desc) - 1 as i from (select source || '/' || w[1:1] as w, count(*) as cnt from tok group by 1)), x as (select a.i, b.i as j, a.cnt / b.cnt as r from r a, r b where b.i <= 200)
-select i, j, round(case when i = j or r = 1 then -1 else -(r * (j + 1) - i + 1) / (1 - r) end, 6) as b from x
-""")
-def c_zipf_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank-frequency pairs of first letters by source, each with the first 201 ranks."""
-    counts = tokens(spark, sf).groupBy(F.concat("source", F.lit("/"), F.substring("w", 1, 1)).alias("w")).agg(F.count(F.lit(1)).alias("cnt"))
-    pairs = corpus.zipf_pairs(corpus.frequency_rank(counts, "w", "cnt"), "cnt")
-    return pairs.withColumn("b", F.round("b", 6))
-
-
 @query(f"""
 with {_TOK}, r as (select w, cnt, row_number() over (order by cnt desc, w desc) - 1 as i from (select w, count(*) as cnt from tok group by w)), x as (select a.i, b.i as j, a.cnt / b.cnt as r from r a, r b where b.i <= 200)
 select i, j, round(case when i = j or r = 1 then -1 else -(r * (j + 1) - i + 1) / (1 - r) end, 6) as b from x
 """)
-def c_zipf_word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def c_zipf_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Rank-frequency pairs of all words, each with the first 201 ranks."""
     return corpus.zipf_pairs(c_frequency_rank(spark, sf), "cnt").withColumn("b", F.round("b", 6))
 
 
 @query(f"""
-with {_TOK}, top as (select w as word from tok group by w having count(*) >= 50), fb as (select word from (values ('kasa'), ('set'), ('the')) t(word))
-select word, 0 as section from top union all select word, 1 from fb where word not in (select word from top) union all select distinct word, 2 from word_list where word is not null and word not in (select word from top) and word not in (select word from fb)
+with {_TOK}, top as (select distinct w as word from tok), fb as (select distinct c1 as word from dump_tc where c1 not in (select word from top))
+select word, 0 as section from top union all select word, 1 from fb union all select distinct word, 2 from word_list where word is not null and word not in (select word from top) and word not in (select word from fb)
 """)
 def c_ranking_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Frequent words, then fallback words, then the rest of the dictionary."""
-    top = c_token_counts(spark, sf).where("cnt >= 50").select(F.col("w").alias("word"))
-    fallback = spark.createDataFrame([("kasa",), ("set",), ("the",)], "word string")
+    """The words of the documents, then the headwords of the dump, then the rest of the dictionary."""
+    top = c_token_counts(spark, sf).select(F.col("w").alias("word"))
+    fallback = table(spark, sf, "dump_tc").select(F.col("c1").alias("word"))
     return corpus.ranking_sections(top, fallback, table(spark, sf, "word_list").where("word is not null").select("word"))
 
 
-def phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """The entries of the word list, hyphens read as blanks, and the headwords of the dump."""
-    w = table(spark, sf, "word_list").where("word is not null").select(F.lower(F.regexp_replace("word", "-", " ")).alias("p"))
-    return w.unionByName(table(spark, sf, "dump_tc").select(F.col("c1").alias("p")))
-
-
-@query(rf"""
-with i as (select item_id, regexp_extract_all(lower(text), '\p{{L}}+') as t from eval_items where text is not null),
-w as (select item_id, n, unnest(range(1, len(t) - n + 2)) as start, t from (select item_id, t, unnest(range(1, 6)) as n from i) where n <= len(t)),
-d as (select distinct lower(regexp_replace(word, '-', ' ', 'g')) as phrase from word_list where word is not null union select distinct c1 from dump_tc)
-select item_id, start::int as start, array_to_string(t[start:start + n - 1], ' ') as phrase from w where array_to_string(t[start:start + n - 1], ' ') in (select phrase from d)
-""")
-def c_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
-    i = table(spark, sf, "eval_items").where("text is not null").select("item_id", T.letter_tokens("text").alias("t"))
-    return corpus.phrase_hits(i, ["item_id"], "t", phrases(spark, sf), "p")
-
-
-@query(rf"""
-with {_TOK}, p as (select w || ' ' || lead(w) over (partition by doc_id order by pos) as entry, doc_id, pos from tok), e as (select distinct array_to_string(t[1:2], ' ') as entry from (select regexp_extract_all(lower(text), '\p{{L}}+') as t from eval_items where text is not null) where len(t) > 1)
-select doc_id, entry, count(*) as n from p where entry in (select entry from e) group by all
-""")
-def c_two_word_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-word openings of the evaluation items wherever they stand in documents."""
-    t = table(spark, sf, "eval_items").where("text is not null").select(T.letter_tokens("text").alias("t")).where(F.size("t") > 1)
-    e = t.select(F.array_join(F.slice("t", 1, 2), " ").alias("entry"))
-    return corpus.two_word_entries(tokens(spark, sf), ["doc_id"], ["pos"], "w", e).groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("n"))
+@query()
+def c_corpus_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole ranking: dictionary entries in the order the sources use them, with their first sentence, then headwords, then the rest."""
+    texts = table(spark, sf, "documents").where("text is not null").select("source", "doc_id", "text")
+    fallback = table(spark, sf, "dump_tc").select(F.col("c1").alias("word"))
+    return corpus.rank_corpus(texts, "source", "doc_id", "text", vocabulary(spark, sf), fallback, table(spark, sf, "word_list").where("word is not null").select("word"))
 
 
-def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """The sentences of the documents: doc_id, no, s."""
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences("text")).alias("no", "s"))
+def phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of the word list, hyphens read as blanks, the items of its glosses, and the headwords of the dump."""
+    w = table(spark, sf, "word_list").where("word is not null").select(F.lower(F.regexp_replace("word", "-", " ")).alias("p"))
+    return w.unionByName(gloss_items(spark, sf).select(F.lower("gloss").alias("p"))).unionByName(table(spark, sf, "dump_tc").select(F.col("c1").alias("p")))
 
 
-_PHRASES = "d as (select distinct lower(regexp_replace(word, '-', ' ', 'g')) as phrase from word_list where word is not null union select distinct c1 from dump_tc)"
+_PHRASES = f"{WORDS}, d as (select distinct lower(regexp_replace(word, '-', ' ', 'g')) as phrase from word_list where word is not null union select lower({strip("unnest(string_split(translationeng, ','))")}) from words where translationeng is not null union select distinct c1 from dump_tc)"
 
 
 @query(rf"""
@@ -203,7 +174,7 @@ with {_SENT}, i as (select doc_id, no, regexp_extract_all(lower(s), '\p{{L}}+')
 w as (select doc_id, no, n, unnest(range(1, len(t) - n + 2)) as start, t from (select doc_id, no, t, unnest(range(1, 6)) as n from i) where n <= len(t)), {_PHRASES}
 select doc_id, no::int as no, start::int as start, array_to_string(t[start:start + n - 1], ' ') as phrase from w where array_to_string(t[start:start + n - 1], ' ') in (select phrase from d)
 """)
-def c_sentence_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
+def c_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Dictionary phrases in the sentences of the documents."""
     t = sentences(spark, sf).select("doc_id", "no", T.letter_tokens("s").alias("t"))
     return corpus.phrase_hits(t, ["doc_id", "no"], "t", phrases(spark, sf), "p")
@@ -213,7 +184,7 @@ def c_sentence_phrase_hits(spark: SparkSession, sf: str) -> DataFrame:
 with {_TOK}, p as (select w || ' ' || lead(w) over (partition by doc_id order by pos) as entry, doc_id, pos from tok), {_PHRASES}
 select doc_id, entry, count(*) as n from p where entry in (select phrase from d where regexp_full_match(phrase, '\S+ \S+')) group by all
 """)
-def c_dictionary_two_word_entries(spark: SparkSession, sf: str) -> DataFrame:
+def c_two_word_entries(spark: SparkSession, sf: str) -> DataFrame:
     """The two-word entries of the dictionary wherever they stand in documents."""
     e = phrases(spark, sf).where(F.col("p").rlike(r"^\S+ \S+\z")).withColumnRenamed("p", "entry")
     return corpus.two_word_entries(tokens(spark, sf), ["doc_id"], ["pos"], "w", e).groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("n"))
@@ -222,34 +193,12 @@ def c_dictionary_two_word_entries(spark: SparkSession, sf: str) -> DataFrame:
 @query(rf"""
 with {_SENT} select doc_id, no::int as no, array_to_string(list_transform(string_split(s, ' '), lambda x: case when lower(trim(x, ':;#,."“”!?-*/+' || chr(10))) in ('the', 'some') then regexp_replace(x, '(?i)(the|some)', '**\1**') else x end), ' ') as marked from sent
 """)
-def c_sentence_emphasis(spark: SparkSession, sf: str) -> DataFrame:
+def c_emphasis(spark: SparkSession, sf: str) -> DataFrame:
     """The sentences of the documents with two words emphasised."""
     one = corpus.emphasise("s", F.lit("the"), F.array(F.lit("the")))
     return sentences(spark, sf).select("doc_id", "no", one.alias("m")).select("doc_id", "no", corpus.emphasise("m", F.lit("some"), F.array(F.lit("some"))).alias("marked"))
 
 
-@query(f"""
-with s as (select item_id, list_distinct(string_split(text, ' ')) as v, string_split(text, ' ') as t from eval_items where text is not null)
-select item_id, array_to_string(list_transform(t, lambda x: case when lower(trim(x, ':;#,."“”!?-*/+')) in ('the', 'some') then regexp_replace(x, '(?i)(the|some)', '**\\1**') else x end), ' ') as marked from s
-""".replace("\\\\1", "\\1"))
-def c_emphasis(spark: SparkSession, sf: str) -> DataFrame:
-    i = table(spark, sf, "eval_items").where("text is not null")
-    one = corpus.emphasise("text", F.lit("the"), F.array(F.lit("the")))
-    return i.select("item_id", one.alias("m")).select("item_id", corpus.emphasise("m", F.lit("some"), F.array(F.lit("some"))).alias("marked"))
-
-
-@query(r"""
-with i as (select item_id, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) as t from eval_items where text is not null), d as (select doc_id, list_distinct(regexp_extract_all(lower(text), '\p{L}+')) as t from documents where text is not null),
-x as (select item_id, doc_id, count(*) as shared from (select item_id, unnest(t) as w, len(t) as n from i) join (select doc_id, unnest(t) as w from d) using (w) group by all)
-select item_id, doc_id, shared from x where shared >= 30
-""")
-def c_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Items and documents that share at least thirty distinct words, with their number."""
-    words_of = lambda df, key: df.where("text is not null").select(key, F.explode(F.array_distinct(T.letter_tokens("text"))).alias("w"))
-    pairs = words_of(table(spark, sf, "documents"), "doc_id").join(words_of(table(spark, sf, "eval_items"), "item_id"), "w")
-    return pairs.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 30")
-
-
 # --- sets, hierarchies and synsets ------------------------------------------------------------
 
 
@@ -283,11 +232,13 @@ def h_under_topic(spark: SparkSession, sf: str) -> DataFrame:
     return graph.under(cand, topics, closure).select((F.col("synset_id") - 10000).alias("synset_id"))
 
 
-@query("select 'a' as word, 101::bigint as topic_id union all select 'b', 5::bigint union all select 'b', 102::bigint")
+@query("select s_suppkey as word, s_nationkey::bigint as topic_id from supplier where s_suppkey % 2 = 0 union all select s_suppkey, 100 + n_regionkey from supplier join nation on n_nationkey = s_nationkey where s_suppkey % 2 = 1")
 def h_drop_dominated(spark: SparkSession, sf: str) -> DataFrame:
-    topics = spark.createDataFrame([("a", 101), ("a", 999), ("b", 5), ("b", 999), ("b", 102)], "word string, topic_id bigint")
-    closure = graph.ancestors(_edges(spark, sf))
-    return graph.drop_dominated(topics, closure)
+    """Topics of each supplier: the world, its region and, for every other one, its nation; the most specific stays."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    region, nation = (F.col("n_regionkey") + 100).cast("bigint"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey").cast("bigint"))
+    topics = s.select(F.col("s_suppkey").alias("word"), F.explode(F.array_compact(F.array(nation, region, F.lit(999).cast("bigint")))).alias("topic_id"))
+    return graph.drop_dominated(topics, graph.ancestors(_edges(spark, sf)))
 
 
 @query("""
@@ -309,7 +260,7 @@ def _network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     return both.select("synset_id", "ili", F.col("c2").alias("pos"), "lexicon").distinct(), both.select("synset_id", "lemma").distinct(), epo
 
 
-@query("""
+_SCORED = """
 with d as (select * from dump_tc where c4 is not null and c6 is not null and c2 is not null),
 en as (select c2 || '/' || c4 as ili, c2 as pos, list(distinct c1) as l from d group by all),
 es as (select c2 || '/' || c4 as ili, list(distinct c6) as l from d where c5 in ('qig', 'qct', 'qbb') group by all),
@@ -319,15 +270,42 @@ q2 as (select word, group_no, pos, eng, coalesce(spa, []) as spa, coalesce(epo,
 eu as (select pos, ili, unnest(l) as w from en), su as (select en.pos, es.ili, unnest(es.l) as w from es join en using (ili)),
 h as (select distinct word, q2.pos, ili, true as english from (select word, pos, unnest(eng) as w from q2) q2 join eu using (pos, w) union all select distinct word, q2.pos, ili, false from (select word, pos, unnest(spa) as w from q2) q2 join su using (pos, w)),
 k as (select word, pos, ili, bool_or(english) as english from h group by all),
-c as (select q2.*, k.ili, en.l as el, es.l as sl, ep.l as pl, k.english, true as spanish from k join q2 using (word, pos) join en on en.ili = k.ili left join es on es.ili = k.ili left join ep on ep.ili = k.ili)
-select word, group_no, pos, ili, english and (case when sl is not null then len(list_intersect(el, eng)) + len(list_intersect(sl, spa)) >= [0, 1, 2, 2][least(len(eng) + len(spa), 3) + 1] else len(list_intersect(el, eng)) >= [0, 1, 2, 2][least(len(eng), 3) + 1] end or coalesce(pl = epo[1], false)) as applicable from c where english or spanish
-""")
+c as (select q2.*, k.ili, en.l as el, es.l as sl, ep.l as pl, k.english, true as spanish from k join q2 using (word, pos) join en on en.ili = k.ili left join es on es.ili = k.ili left join ep on ep.ili = k.ili),
+scored as (
+  select word, group_no, pos, ili, english and (case when sl is not null then len(list_intersect(el, eng)) + len(list_intersect(sl, spa)) >= [0, 1, 2, 2][least(len(eng) + len(spa), 3) + 1] else len(list_intersect(el, eng)) >= [0, 1, 2, 2][least(len(eng), 3) + 1] end or coalesce(pl = epo[1], false)) as applicable from c where english or spanish)
+"""
+
+
+@query(_SCORED + "select * from scored")
 def h_score_synsets(spark: SparkSession, sf: str) -> DataFrame:
-    synsets, lemmas, epo = _network(spark, sf)
+    return graph.score_synsets(_queries(spark, sf), *_network(spark, sf)).select("word", "group_no", "pos", "ili", "applicable")
+
+
+def _queries(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "dump_tc").where("c4 is not null and c6 is not null and c2 is not null")
     q = d.groupBy("c1", "c2").agg(F.collect_set(F.when(F.col("c5").isin("qig", "qct", "qbb"), F.col("c6"))).alias("spa"), F.array_sort(F.collect_set(F.when(F.col("c5") == "qcp", F.col("c6")))).alias("epo"))
-    q = q.select(F.concat(F.lit("w"), "c1").alias("word"), F.lit(0).alias("group_no"), F.col("c2").alias("pos"), F.array("c1").alias("eng"), "spa", "epo")
-    return graph.score_synsets(q, synsets, lemmas, epo).select("word", "group_no", "pos", "ili", "applicable")
+    return q.select(F.concat(F.lit("w"), "c1").alias("word"), F.lit(0).alias("group_no"), F.col("c2").alias("pos"), F.array("c1").alias("eng"), "spa", "epo")
+
+
+@query(_SCORED + """, marks as (select distinct 'w' || c1 as word, c2 as pos, c2 || '/' || c4 as ili, c7 = 'm' as good from dump_tc where c4 is not null and c2 is not null and c7 in ('m', 'f')),
+tagged as (select distinct 'w' || c1 as word from dump_tc where c7 = 'n'),
+m as (select word, 0 as group_no, pos, ili, bool_or(good) as good, bool_or(not good) as bad from marks where (word, pos) in (select word, pos from q2) group by all),
+kept as (select word, group_no, pos, ili from scored where applicable and not (pos = 'Noun' and ends_with(word, 'ful')) and not (pos = 'Verb' and word in (select word from tagged))),
+every as (select word, group_no, pos, ili from scored union select word, group_no, pos, ili from m)
+select e.word, e.group_no, e.pos, e.ili, case when m.bad then 'other' when m.good or k.word is not null then 'applicable' else 'other' end as status
+from every e left join m using (word, group_no, pos, ili) left join kept k using (word, group_no, pos, ili)
+""")
+def h_align_synsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores, topics and reviewers in one: every synset lies under its part of speech; nouns on -ful and tagged verbs want another one."""
+    synsets, lemmas, epo = _network(spark, sf)
+    above = synsets.select(F.col("synset_id").alias("src"), F.concat(F.lit("topic/"), "pos").alias("dst")).distinct()
+    suffixes = spark.createDataFrame([("ful", "Noun", "topic/Adjective", 0)], "suffix string, pos string, topic_id string, ord int")
+    topics = spark.createDataFrame([("n", "Verb", "hypernym", "topic/Noun")], "tag string, pos string, kind string, topic_id string")
+    d = table(spark, sf, "dump_tc").withColumn("word", F.concat(F.lit("w"), "c1"))
+    marks = d.where("c4 is not null and c2 is not null and c7 in ('m', 'f')").select("word", F.col("c2").alias("pos"), F.concat("c2", F.lit("/"), "c4").alias("ili"), F.when(F.col("c7") == "m", "s").otherwise("").alias("app"), F.lit("v").alias("vetted"))
+    tags = d.where("c7 = 'n'").select("word", F.lit("n").alias("tag")).distinct()
+    instances = spark.createDataFrame([], "src string, dst string")
+    return graph.align_synsets(_queries(spark, sf), synsets, lemmas, epo, closure=graph.ancestors(above), suffixes=suffixes, tags=tags, topics=topics, instances=instances, markings=marks)
 
 
 @query("""
@@ -362,7 +340,8 @@ def w_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select distinct c0, c1, c2, c3, c4, c5, c6, c7, c8, c9, c10 from dump_tc")
 def w_distinct_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "dump_tc").select([f"c{i}" for i in range(11)]).dropDuplicates()
+    d = table(spark, sf, "dump_tc").select([f"c{i}" for i in range(11)])
+    return readers.distinct_translations(d, "c1")
 
 
 @query("select line_id from dump_lines where line_no < 100")
@@ -394,8 +373,8 @@ def w_top_n(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select k, sum(v)::bigint as total, count(*) as n from (select json_extract(props, '$.k')::bigint as v, event_type as k from events) group by k")
 def w_json_map(spark: SparkSession, sf: str) -> DataFrame:
-    m = F.from_json("props", "map<string,bigint>")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("k")).agg(F.sum(m["k"]).alias("total"), F.count(F.lit(1)).alias("n"))
+    m = readers.json_pairs(table(spark, sf, "events"), "props", ["event_type"])
+    return m.where("code = 'k'").groupBy(F.col("event_type").alias("k")).agg(F.sum(F.col("name").cast("bigint")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {WORDS} select row_id, array_to_string(list_sort(list_intersect(string_split(tags, ', '), string_split('food, water, sky, plant', ', '))), ', ') as matched from words where tags is not null")

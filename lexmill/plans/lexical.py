@@ -103,7 +103,7 @@ def t_items_outside_parentheses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "word_list").select("row_id", F.posexplode(T.split_items_outside_parentheses("translationeng")).alias("pos_no", "item"))
 
 
-_KEYS = sorted(G.rows(G.ANNOTATIONS), key=len, reverse=True)
+_KEYS = sorted(G.ANNOTATIONS, key=len, reverse=True)
 _ALTERNATIVES = "|".join(k.replace(".", "[.]").replace("(", "[(]").replace(")", "[)]") for k in _KEYS)
 
 
@@ -139,14 +139,14 @@ def t_parsed_entries(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("row_id", "place", "g.*")
 
 
-_CLASSES = ", ".join(f"('{k}', '{v[0]}')" for k, v in G.lists(G.WORD_CLASSES).items())
-_VERBS = " ".join(f"when '{k}' then '{v}'" for k, v in G.rows(G.VERB_CLASSES).items())
+_CLASSES = ", ".join(f"('{k}', '{v[0]}')" for k, v in G.WORD_CLASSES.items())
+_VERBS = " ".join(f"when '{k}' then '{v}'" for k, v in G.VERB_CLASSES.items())
 
 
 @query(f"""
 with c(cls, pos) as (values {_CLASSES}),
 w as (select distinct wordclass as cls from word_list where wordclass is not null),
-v as (select cls, list_filter(list_reverse(list_transform(string_split(replace(cls, ';', '.'), '.'), lambda x: {strip('x')})), lambda x: x in ({sql_list(G.rows(G.VERB_CLASSES))}))[1] as last from w)
+v as (select cls, list_filter(list_reverse(list_transform(string_split(replace(cls, ';', '.'), '.'), lambda x: {strip('x')})), lambda x: x in ({sql_list(G.VERB_CLASSES)}))[1] as last from w)
 select w.cls as wordclass, case when w.cls = 'b' then 'NOUN' when w.cls = 't' or starts_with(w.cls, 'tabl: t') then 'ADJECTIVE' when starts_with(w.cls, 'b.') or starts_with(w.cls, 'f.') then 'VERB' else coalesce(c.pos, 'PHRASE') end as pos,
   case when w.cls <> 'b' and w.cls <> 't' and not starts_with(w.cls, 'tabl: t') and (starts_with(w.cls, 'b.') or starts_with(w.cls, 'f.')) then coalesce(case v.last {_VERBS} end, 'TRANSITIVE') end as verb_type
 from w join v using (cls) left join c using (cls)
@@ -155,22 +155,6 @@ def t_default_pos(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "word_list").where("wordclass is not null").select("wordclass").distinct().select("wordclass", G.default_pos("wordclass").alias("d")).select("wordclass", "d.pos", "d.verb_type")
 
 
-@query(r"""
-with g as (select ext_id, list_transform(string_split(trim(deu), '; '), lambda g: list_filter(string_split(g, ', '), lambda x: trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) <> '')) as v from menalari_extension where deu is not null and trim(deu) not in ('', 'False')),
-h as (select ext_id, unnest(v) as i, generate_subscripts(v, 1) - 1 as group_no from g),
-t as (select ext_id, group_no, unnest(i) as x, generate_subscripts(i, 1) - 1 as item_no from h)
-select ext_id, group_no::int as group_no, item_no::int as item_no, trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) as text_, nullif(regexp_extract(x, '<([mfn])>', 1), '') as gender from t
-""")
-def t_cells(spark: SparkSession, sf: str) -> DataFrame:
-    g = table(spark, sf, "menalari_extension").select("ext_id", F.posexplode(T.parse_cell("deu")).alias("group_no", "g"))
-    return g.select("ext_id", "group_no", F.posexplode("g").alias("item_no", "i")).select("ext_id", "group_no", "item_no", F.col("i.text").alias("text_"), "i.gender")
-
-
-@query("select ext_id, coalesce(trim(deu), '') as cell from menalari_extension")
-def t_cell_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "menalari_extension").select("ext_id", T.fold_cell(T.parse_cell("deu")).alias("cell"))
-
-
 CELLS = {"deu": "German", "fra": "French", "rus": "Russian", "zho": "Chinese"}
 _CELLS = "cells as (" + " union all ".join(f"select ext_id, '{c}' as lang, {c} as cell from menalari_extension" for c in CELLS) + ")"
 
@@ -187,13 +171,13 @@ h as (select ext_id, lang, unnest(v) as i, generate_subscripts(v, 1) - 1 as grou
 t as (select ext_id, lang, group_no, unnest(i) as x, generate_subscripts(i, 1) - 1 as item_no from h)
 select ext_id, lang, group_no::int as group_no, item_no::int as item_no, trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) as text_, nullif(regexp_extract(x, '<([mfn])>', 1), '') as gender from t
 """)
-def t_cells_by_language(spark: SparkSession, sf: str) -> DataFrame:
+def t_cells(spark: SparkSession, sf: str) -> DataFrame:
     g = cells(spark, sf).select("ext_id", "lang", F.posexplode(T.parse_cell("cell")).alias("group_no", "g"))
     return g.select("ext_id", "lang", "group_no", F.posexplode("g").alias("item_no", "i")).select("ext_id", "lang", "group_no", "item_no", F.col("i.text").alias("text_"), "i.gender")
 
 
 @query(f"with {_CELLS} select ext_id, lang, coalesce(trim(cell), '') as cell from cells")
-def t_cell_round_trip_by_language(spark: SparkSession, sf: str) -> DataFrame:
+def t_cell_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).select("ext_id", "lang", T.fold_cell(T.parse_cell("cell")).alias("cell"))
 
 
@@ -284,19 +268,11 @@ def dump(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "dump_tc").select("row_id", F.col("c1").alias("word"), F.col("c2").alias("pos"), F.col("c4").alias("sense"), F.col("c5").alias("lang"), F.col("c6").alias("translation"), "c7")
 
 
-@query("select row_id, c1 as word, c5 as lang, c6 as translation from dump_tc where c1 in (select distinct c1 from dump_tc where starts_with(c1, 'ba')) ")
-def s_prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """The partition of a few words only."""
-    d = readers.with_prefix(dump(spark, sf))
-    asked = d.where(F.startswith("word", F.lit("ba"))).select("word")
-    return readers.prefix_lookup(d, asked).select("row_id", "word", "lang", "translation")
-
-
 @query(f"""
 with asked as (select word as w from word_list union select {strip("unnest(string_split(translationeng, ','))")} from word_list union select c1 from dump_tc)
 select row_id, c1 as word, c5 as lang, c6 as translation from dump_tc where c1 in (select w from asked where w is not null)
 """)
-def s_prefix_lookup_words(spark: SparkSession, sf: str) -> DataFrame:
+def s_prefix_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """All words of the list, the items of their glosses and all headwords, across the partitions."""
     w = table(spark, sf, "word_list")
     d = readers.with_prefix(dump(spark, sf))
@@ -304,23 +280,12 @@ def s_prefix_lookup_words(spark: SparkSession, sf: str) -> DataFrame:
     return readers.prefix_lookup(d, asked.distinct()).select("row_id", "word", "lang", "translation")
 
 
-@query("""
-with r as (select raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
-e as (select j->>'word' as word, j->>'pos' as pos, unnest(json_extract(j, '$.translations[*]')) as t from r where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR' and json_type(j, '$.translations') = 'ARRAY')
-select distinct word, pos, t->>'sense' as sense, t->>'code' as lang, t->>'word' as tr_word from e where t->>'word' is not null and t->>'sense' is not null and t->>'code' is not null
-""")
-def s_translations(spark: SparkSession, sf: str) -> DataFrame:
-    """Translations of the records that write them as a list."""
-    listed = table(spark, sf, "raw_wiktextract").where(F.startswith(F.get_json_object("raw_line", "$.translations"), F.lit("[")))
-    return readers.translations(readers.parse_dictionary(listed)).select("word", "pos", "sense", "lang", "tr_word").distinct()
-
-
 @query("""
 with r as (select raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
 e as (select j->>'word' as word, j->>'pos' as pos, unnest(case json_type(j, '$.translations') when 'ARRAY' then json_extract(j, '$.translations[*]') when 'OBJECT' then [json_extract(j, '$.translations')] else [] end) as t from r where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR')
 select distinct word, pos, t->>'sense' as sense, t->>'code' as lang, t->>'word' as tr_word from e where t->>'word' is not null and t->>'sense' is not null and t->>'code' is not null
 """)
-def s_all_translations(spark: SparkSession, sf: str) -> DataFrame:
+def s_translations(spark: SparkSession, sf: str) -> DataFrame:
     """Translations of all records, a bare object included."""
     t = readers.translations(readers.parse_dictionary(table(spark, sf, "raw_wiktextract")))
     return t.select("word", "pos", "sense", "lang", "tr_word").distinct()
@@ -331,10 +296,20 @@ def s_foreign_pos(spark: SparkSession, sf: str) -> DataFrame:
     return readers.foreign_pos(readers.parse_dictionary(table(spark, sf, "raw_wiktextract")))
 
 
-@query()
+_ONE = "case json_type({0}) when 'ARRAY' then json_extract({0}, '$[*]') when 'OBJECT' then [{0}] when 'VARCHAR' then [{0}] else [] end"
+
+
+@query(f"""
+with r as (select rec_id, raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
+a as (select rec_id, j->>'word' as word, j->>'pos' as pos, {_ONE.format("json_extract(j, '$.senses')")} as m from r where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR'),
+s as (select rec_id, word, pos, m[i] as o, i from (select *, unnest(range(1, len(m) + 1)) as i from a)),
+n as (select *, row_number() over (partition by word, pos order by rec_id, i) - 1 as sense_no, {_ONE.format("json_extract(o, '$.glosses')")} as g, json_extract(o, '$.examples') as e from s where json_type(o) = 'OBJECT')
+select word, pos, sense_no::int as sense_no, array_to_string(list_transform(g, lambda x: x->>'$'), '|') as glosses,
+  case json_type(e) when 'ARRAY' then json_array_length(e)::int when 'OBJECT' then 1 end as n_examples from n
+""")
 def s_senses(spark: SparkSession, sf: str) -> DataFrame:
     s = readers.senses(readers.parse_dictionary(table(spark, sf, "raw_wiktextract")), ["rec_id"])
-    return s.select("word", "pos", "sense_no", F.array_join("glosses", "|").alias("glosses"), F.size("examples").alias("n_examples"))
+    return s.select("word", "pos", "sense_no", F.array_join("glosses", "|").alias("glosses"), F.when(F.col("examples").isNotNull(), F.size("examples")).alias("n_examples"))
 
 
 @query("select id as code, min(ref_name) as name from iso_639_3 group by id")
@@ -379,8 +354,8 @@ def f_content_words(spark: SparkSession, sf: str) -> DataFrame:
     return export.content_words(words(spark, sf)).select("word", "wordclass")
 
 
-_ALL_CLASSES = ", ".join(f"('{k}', {i}, '{p}')" for k, v in G.lists(G.WORD_CLASSES).items() for i, p in enumerate(v))
-_DICT = ", ".join(f"('{k}', '{v}')" for k, v in G.rows(G.DICTIONARY_POS).items())
+_ALL_CLASSES = ", ".join(f"('{k}', {i}, '{p}')" for k, v in G.WORD_CLASSES.items() for i, p in enumerate(v))
+_DICT = ", ".join(f"('{k}', '{v}')" for k, v in G.DICTIONARY_POS.items())
 
 
 @query(f"""
@@ -492,7 +467,7 @@ def f_display_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select c1, c5, array_to_string(list_sort(list(distinct c6)), ', ') as cell from dump_tc where c6 is not null group by all")
 def g_fold_items(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "dump_tc").where("c6 is not null").groupBy("c1", "c5").agg(F.array_join(F.array_sort(F.collect_set("c6")), ", ").alias("cell"))
+    return sense.fold_items(table(spark, sf, "dump_tc").where("c6 is not null"), ["c1", "c5"], "c6", "cell")
 
 
 @query("""
@@ -505,18 +480,17 @@ def g_vetted_fold(spark: SparkSession, sf: str) -> DataFrame:
     return sense.vetted_fold(d, "c1", "c2", "c4", "c5", "c6").select("c1", "c5", "cell", "pos_list", "senses")
 
 
-_LANGS = ["qig", "qeu", "qew", "qet"]
-
-
-@query("select c1, " + ", ".join(f"min(c6) filter (where c5 = '{x}') as {x}" for x in _LANGS) + f" from dump_tc where c5 in ({sql_list(_LANGS)}) group by c1")
+@query("""
+with h as (select distinct c1 from dump_tc), i as (select distinct id from iso_639_3 where id is not null), m as (select c1, c5, min(c6) as v from dump_tc group by all)
+select h.c1, md5(string_agg(coalesce(m.v, ''), '|' order by i.id)) as cells from h cross join i left join m on m.c1 = h.c1 and m.c5 = i.id group by h.c1
+""")
 def g_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "dump_tc").where(F.col("c5").isin(_LANGS))
-    return rows.pivot_fixed(d, ["c1"], "c5", _LANGS, F.min("c6"))
+    """One column for each id of the language table, as a digest of its cells; headwords without a cell stay."""
+    wide = pivot_languages(spark, sf)
+    return wide.select("c1", F.md5(F.array_join(F.array(*[F.col(c) for c in wide.columns if c != "c1"]), "|", "")).alias("cells"))
 
 
-@query()
-def g_pivot_languages(spark: SparkSession, sf: str) -> DataFrame:
-    """One column for each id of the language table; headwords without a cell stay."""
+def pivot_languages(spark: SparkSession, sf: str) -> DataFrame:
     ids = sorted(r["id"] for r in table(spark, sf, "iso_639_3").where("id is not null").select("id").distinct().collect())
     return rows.pivot_fixed(table(spark, sf, "dump_tc"), ["c1"], "c5", ids, F.min("c6"))
 
@@ -597,8 +571,7 @@ def q_derived_index(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {WORDS}, {_DERIVED} select word from derived where lower(word) <> part and part = (select min(part) from derived)")
 def q_derived_words(spark: SparkSession, sf: str) -> DataFrame:
     idx = search.derived_index(words(spark, sf), "lexiliasel")
-    first = idx.agg(F.min("part").alias("p"))
-    return idx.where(F.col("part") == first.scalar()).select("word").orderBy("word")
+    return search.derived_words(idx, idx.agg(F.min("part").alias("p")).scalar())
 
 
 @query("select * from (select row_id, word, category from word_list where word = lower('Fall') or word in (select min(word) from word_list)) where word = (select min(word) from word_list) or word = 'fall'")
@@ -614,24 +587,41 @@ def q_membership(spark: SparkSession, sf: str) -> DataFrame:
     return search.flagged(w, table(spark, sf, "menalari_extension").select(F.col("globasa").alias("word")), "has_entry").select("row_id", "has_entry")
 
 
-@query(r"""
-with s as (select row_id, regexp_extract_all(lower(example), '\p{L}+') as t from word_list where example is not null),
-p as (select distinct row_id, array_to_string(t[i:i + n - 1], ' ') as phrase from (select row_id, t, n, unnest(range(1, len(t) - n + 2)) as i from (select row_id, t, unnest(range(1, 6)) as n from s) where n <= len(t))),
-d as (select lower(word) as phrase, min(regexp_replace(""" + strip("string_split(translationeng, ';')[1]") + r""", '^[a-z./ ]+:\s*', '')) as gloss from word_list where word is not null group by 1)
-select row_id, phrase, gloss from p join d using (phrase)
+_SENTENCES = rf"sent as (select doc_id, generate_subscripts(v, 1) - 1 as no, unnest(v) || '.' as s from (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.\n]'), lambda s: {strip('s')}), lambda s: s <> '') as v from documents where text is not null))"
+_GLOSSES = f"glosses as (select distinct word, {strip("unnest(string_split(translationeng, ','))")} as g from words where translationeng is not null)"
+
+
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of the documents: doc_id, no, s."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences("text")).alias("no", "s"))
+
+
+def gloss_items(spark: SparkSession, sf: str) -> DataFrame:
+    """(gloss, word): the items of the English glosses, as a dictionary into the language."""
+    w = words(spark, sf)
+    return w.select(F.explode(T.split_items("translationeng")).alias("gloss"), "word").distinct()
+
+
+@query(rf"""
+with {WORDS}, {_GLOSSES}, {_SENTENCES}, t as (select doc_id, no, regexp_extract_all(lower(s), '\p{{L}}+') as t from sent),
+p as (select distinct doc_id, no, array_to_string(t[i:i + n - 1], ' ') as phrase from (select doc_id, no, t, n, unnest(range(1, len(t) - n + 2)) as i from (select doc_id, no, t, unnest(range(1, 6)) as n from t) where n <= len(t))),
+d as (select lower(g) as phrase, min({strip("string_split(word, ';')[1]")}) as gloss from glosses where g <> '' group by 1)
+select doc_id, no::int as no, phrase, regexp_replace(gloss, '^[a-z./ ]+:\s*', '') as gloss from p join d using (phrase)
 """)
 def q_glossary(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "word_list")
-    return search.glossary(w.where("example is not null"), ["row_id"], "example", w.where("word is not null"), "translationeng")
+    """Glosses that stand in the sentences of the documents, with a word of the list."""
+    g = gloss_items(spark, sf).select(F.col("gloss").alias("word"), F.col("word").alias("meaning"))
+    return search.glossary(sentences(spark, sf), ["doc_id", "no"], "s", g, "meaning")
 
 
-@query(r"""
-with s as (select row_id as ord, example as seg, list_distinct(regexp_extract_all(lower(example), '\p{L}+')) as t from word_list where example is not null), f as (select ord, seg, unnest(t) as token from s), w as (select distinct word, lower(word) as token from word_list where word is not null)
+@query(rf"""
+with {WORDS}, {_GLOSSES}, {_SENTENCES}, f as (select doc_id * 100000 + no as ord, s as seg, unnest(list_distinct(regexp_extract_all(lower(s), '\p{{L}}+'))) as token from sent), w as (select distinct g as word, lower(g) as token from glosses where g <> '')
 select word, ord, seg from (select word, ord, seg, row_number() over (partition by word order by ord, seg) as n from f join w using (token)) where n <= 20
 """)
 def q_examples(spark: SparkSession, sf: str) -> DataFrame:
-    w = table(spark, sf, "word_list").where("word is not null")
-    return search.top_examples(search.sentence_index(table(spark, sf, "word_list").where("example is not null"), "example", "row_id"), w.select("word"))
+    """The first sentences of the documents for each one-word gloss."""
+    s = sentences(spark, sf).withColumn("ord", F.col("doc_id") * 100000 + F.col("no"))
+    return search.top_examples(search.sentence_index(s, "s", "ord"), gloss_items(spark, sf).select(F.col("gloss").alias("word")))
 
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -652,8 +642,11 @@ def q_translation_groups(spark: SparkSession, sf: str) -> DataFrame:
 def q_lookup(spark: SparkSession, sf: str) -> DataFrame:
     w = words(spark, sf)
     least = w.where("translationeng is not null").agg(F.min("word")).first()[0]
-    examples = search.top_examples(search.sentence_index(w.where("example is not null"), "example", "row_id"), w.where(F.col("word") == least).select("word"))
-    return search.lookup(w, least, {}, search.derived_index(w, "lexiliasel"), _groups(spark, sf), examples)
+    glosses = gloss_items(spark, sf).where(F.col("word") == least).select(F.col("gloss").alias("word"))
+    found = search.top_examples(search.sentence_index(sentences(spark, sf).withColumn("ord", F.col("doc_id") * 100000 + F.col("no")), "s", "ord"), glosses)
+    examples = found.select(F.lit(least).alias("word"), "ord", "seg")
+    ext = table(spark, sf, "menalari_extension").where("globasa is not null").select(F.col("globasa").alias("word"), "ext_id", *CELLS)
+    return search.lookup(w, least, {"extension": ext}, search.derived_index(w, "lexiliasel"), _groups(spark, sf), examples)
 
 
 # --- composites -----------------------------------------------------------------------------
@@ -717,8 +710,8 @@ def e_cards(spark: SparkSession, sf: str) -> DataFrame:
     return export.card_rows(ranking, w)
 
 
-_TWO = sql_list(k for k, v in G.lists(G.WORD_CLASSES).items() if len(v) == 2)
-_ONE = sql_list(k for k, v in G.lists(G.WORD_CLASSES).items() if len(v) == 1)
+_TWO = sql_list(k for k, v in G.WORD_CLASSES.items() if len(v) == 2)
+_ONE = sql_list(k for k, v in G.WORD_CLASSES.items() if len(v) == 1)
 
 
 @query(f"""

@@ -180,7 +180,15 @@ dict as (select distinct field, item, true as known from cell where regexp_full_
 select field, coalesce(known, false) as known, count(*) as n from item left join dict using (field, item) group by all
 """
 
+_EXTRA = "regexp_full_match({0}, '|[mfncp]|(?:tr|alt|lit)=.+|sc=[A-Z][a-z]{{3}}', 's')"
+_P1_CELLS = _P1 + rf""", cell as (
+  select unnest([case when f[4] <> 'tr' then 'c3' end, case when f[6] not in (select id from iso_639_3 where id is not null) then 'c5' end,
+    case when not regexp_matches(f[7], '[\p{{L}}\p{{Nd}}]') or regexp_matches(f[7], '[\p{{Cc}}\x{{FFFD}}]') then 'c6' end,
+    {", ".join(f"case when len(f) > {i} and not {_EXTRA.format(f'f[{i + 1}]')} then 'c{i}' end" for i in range(7, 11))}]) as cell from judged where reason = 'value')
+select cell, count(*) as n from cell where cell is not null group by cell"""
+
 ORACLE_SQL = {
+    "p1_bad_cells": _P1_CELLS,
     "p1_found": _P1 + "select line_id, reason from judged where reason is not null",
     "p1_loaded": _P1 + "select line_id, " + ", ".join(f"f[{i + 1}] as c{i}" for i in range(11)) + " from judged where reason is null",
     "p2_found": " union all ".join(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -20,6 +19,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -29,16 +29,19 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; for loops whose plan would grow with every round.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    setting is absent (unit tests on one machine) a temporary folder is used. The copy is
-    on shared storage, so it survives the loss of executors.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, on shared storage, so
+    that the copy survives the loss of executors. Where that setting is absent only a local
+    session gets a folder of its own; on a cluster it is an error. Files go with the last
+    reference to them where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "lexmill-checkpoints"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexmill-"))
     return df.checkpoint(eager=True)
 
 

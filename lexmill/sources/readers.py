@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DataType, StringType, StructField, Stru
 
 from lexmill.functions.text import prefix_key
 from lexmill.operators.rows import keep_first, keep_last
+from lexmill.session import broadcast_if_small
 
 
 def strings(*names: str) -> StructType:
@@ -49,7 +50,12 @@ def translation_dump(spark: SparkSession, path: str) -> DataFrame:
     row; being a duplicate it disappears with the other duplicates, one copy stays.
     """
     raw = spark.read.schema(DUMP).option("sep", "\t").option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    return raw.where(F.col("word").isNotNull()).distinct()
+    return distinct_translations(raw)
+
+
+def distinct_translations(rows: DataFrame, word: str = "word") -> DataFrame:
+    """Rows with a headword, each once."""
+    return rows.where(F.col(word).isNotNull()).distinct()
 
 
 def with_prefix(dump: DataFrame, word: str = "word") -> DataFrame:
@@ -132,7 +138,12 @@ def language_names(languages: DataFrame, code: str = "Id", name: str = "Ref_Name
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object as (code, name) rows."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("code", "name"))
+    return json_pairs(spark.read.text(path, wholetext=True), "value")
+
+
+def json_pairs(texts: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The members of the JSON object in a column as (code, name) rows."""
+    return texts.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("code", "name"))
 
 
 def markings(rows: DataFrame, order: str) -> DataFrame:
@@ -213,7 +224,7 @@ def corpus(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Texts in the order given: ``text_name``, ``text_order``, ``content``."""
     names = spark.createDataFrame([(os.path.basename(p), i) for i, p in enumerate(paths)], "text_name string, text_order int")
     texts = spark.read.text(list(paths), wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("text_name"), F.col("value").alias("content"))
-    return texts.join(F.broadcast(names), "text_name")
+    return texts.join(broadcast_if_small(names), "text_name")
 
 
 def spreadsheet(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
