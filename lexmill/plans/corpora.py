@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import corpus, graph, rows
-from lexmill.plans.lexical import WORDS, gloss_items, sentences, strip, words
+from lexmill.plans.lexical import gloss_items, sentences, words
+from lexmill.plans.twins import WORDS, strip
 from lexmill.session import table
 from lexmill.sources import readers
 

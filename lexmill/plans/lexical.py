@@ -9,6 +9,8 @@ from lexmill.functions import gloss as G
 from lexmill.functions import script as S
 from lexmill.functions import text as T
 from lexmill.operators import export, rows, search, sense
+from lexmill.plans import twins
+from lexmill.plans.twins import ALTERNATIVES, FULL, KEYS, LAST_VOWEL, LAST_VOWEL_BUT_ONE, LEADING, TRAILING, WORDS, sql_list, strip
 from lexmill.session import table
 from lexmill.sources import readers
 
@@ -32,19 +34,6 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     return rows.keep_first(own, ["word"], ["added_at", "row_id"])
 
 
-WORDS = "words as (select * from (select *, row_number() over (partition by word order by added_at nulls first, row_id) as rn from word_list where word is not null) where rn = 1)"
-# DuckDB's trim leaves tabs and line breaks.
-STRIP = r"regexp_replace({0}, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g')"
-
-
-def strip(x: str) -> str:
-    return STRIP.format(x)
-
-
-def sql_list(items) -> str:
-    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
-
-
 # --- text functions ------------------------------------------------------------------------
 
 
@@ -78,11 +67,10 @@ def t_annotation_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ITEMS = f"items as (select row_id, unnest(list_filter(list_transform(string_split(translationeng, ','), lambda x: {strip('x')}), lambda x: x <> '')) as item from word_list where translationeng is not null)"
-_FULL = strip(r"regexp_replace(regexp_replace(item, '[()]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')")
 
 
 @query(rf"""
-with {_ITEMS}, e as (select row_id, item, {_FULL} as f, {strip(r"regexp_replace(item, '^(?:\([^_)]+\)[\s\p{Z}]*)+', '')")} as a, {strip(r"regexp_replace(item, '(?:[\s\p{Z}]*\([^_)]+\))+$', '')")} as b from items)
+with {_ITEMS}, e as (select row_id, item, {FULL} as f, {LEADING} as a, {TRAILING} as b from items)
 select row_id, item, case when a <> item and a <> '' and f <> '' and a <> f then a || '|' || f when b <> item and b <> '' and f <> '' and b <> f then b || '|' || f else item end as variants from e
 """)
 def t_expand_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,24 +91,20 @@ def t_items_outside_parentheses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "word_list").select("row_id", F.posexplode(T.split_items_outside_parentheses("translationeng")).alias("pos_no", "item"))
 
 
-_KEYS = sorted(G.ANNOTATIONS, key=len, reverse=True)
-_ALTERNATIVES = "|".join(k.replace(".", "[.]").replace("(", "[(]").replace(")", "[)]") for k in _KEYS)
-
-
 @query(rf"""
 with s as (select row_id, {strip("unnest(string_split(" + strip('translationeng') + ", '; '))")} as s from word_list where translationeng is not null),
-k as (select *, regexp_extract(lower(s), '^({_ALTERNATIVES}):', 1) as key, regexp_extract(lower(s), '^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:', 1) as b1, regexp_extract(lower(s), '^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:', 1) as b2,
+k as (select *, regexp_extract(lower(s), '^({ALTERNATIVES}):', 1) as key, regexp_extract(lower(s), '^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:', 1) as b1, regexp_extract(lower(s), '^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:', 1) as b2,
   regexp_extract(lower(s), '^([a-z][a-z./ ]*?)\s*\(([^)]+)\)\s*:', 2) as q from s)
-select row_id, case when key <> '' then key when b1 in ({sql_list(_KEYS)}) then b1 when trim(b2) in ({sql_list(_KEYS)}) then trim(b2) end as prefix,
-  case when key <> '' then {strip("s[length(key) + 2:]")} when b1 in ({sql_list(_KEYS)}) or trim(b2) in ({sql_list(_KEYS)}) then {strip("s[instr(s, ':') + 1:]")} else s end as gloss,
-  case when key <> '' then nullif(regexp_extract(key, '\(([^)]+)\)', 1), '') when b1 in ({sql_list(_KEYS)}) or trim(b2) in ({sql_list(_KEYS)}) then trim(q) end as qualifier from k
+select row_id, case when key <> '' then key when b1 in ({sql_list(KEYS)}) then b1 when trim(b2) in ({sql_list(KEYS)}) then trim(b2) end as prefix,
+  case when key <> '' then {strip("s[length(key) + 2:]")} when b1 in ({sql_list(KEYS)}) or trim(b2) in ({sql_list(KEYS)}) then {strip("s[instr(s, ':') + 1:]")} else s end as gloss,
+  case when key <> '' then nullif(regexp_extract(key, '\(([^)]+)\)', 1), '') when b1 in ({sql_list(KEYS)}) or trim(b2) in ({sql_list(KEYS)}) then trim(q) end as qualifier from k
 """)
 def t_annotation_prefix(spark: SparkSession, sf: str) -> DataFrame:
     seg = table(spark, sf, "word_list").select("row_id", F.explode(T.split_groups("translationeng")).alias("s"))
     return seg.select("row_id", G.annotation("s").alias("a")).select("row_id", "a.prefix", "a.gloss", "a.qualifier")
 
 
-@query()
+@query(f"with src as (select row_id, translationeng as text, wordclass as cls from word_list), {twins.parsed('src')} select * from parsed")
 def t_parsed_glosses(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "word_list").select("row_id", F.posexplode(G.parse_annotated("translationeng", "wordclass")).alias("place", "g"))
     return g.select("row_id", "place", "g.*")
@@ -195,20 +179,19 @@ def t_csv_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 _FUNCTION = sql_list(S.UNSTRESSED)
 _STRESS = "case when len(regexp_replace({w}, '[^aeiouAEIOU]', '', 'g')) = 0 then {w} when regexp_matches(lower({w}), '[aeiou]$') and len(regexp_replace({w}, '[^aeiouAEIOU]', '', 'g')) > 1 then regexp_extract({w}, '{p2}', 1) || translate(regexp_extract({w}, '{p2}', 2), 'aeiouAEIOU', 'áéíóúÁÉÍÓÚ') || regexp_extract({w}, '{p2}', 3) else regexp_extract({w}, '{p1}', 1) || translate(regexp_extract({w}, '{p1}', 2), 'aeiouAEIOU', 'áéíóúÁÉÍÓÚ') || regexp_extract({w}, '{p1}', 3) end"
-_P1, _P2 = "^(.*)([aeiouAEIOU])([^aeiouAEIOU]*)$", "^(.*)([aeiouAEIOU])([^aeiouAEIOU]*[aeiouAEIOU][^aeiouAEIOU]*)$"
 
 
 @query(rf"""
 select distinct word, len(regexp_replace(array_to_string(list_filter(regexp_split_to_array(lower(word), '\s+'), lambda w: regexp_matches(w, '^\p{{L}}')), ' '), '[^aeiou]', '', 'g'))::int as syllables,
-  case when word in ({_FUNCTION}) then word else {_STRESS.format(w='word', p1=_P1, p2=_P2)} end as stressed,
-  case when lower(word) in ({_FUNCTION}) or len(regexp_replace(word, '[^aeiouAEIOU]', '', 'g')) < 2 then word else {_STRESS.format(w='word', p1=_P1, p2=_P2)} end as shown
+  case when word in ({_FUNCTION}) then word else {_STRESS.format(w='word', p1=LAST_VOWEL, p2=LAST_VOWEL_BUT_ONE)} end as stressed,
+  case when lower(word) in ({_FUNCTION}) or len(regexp_replace(word, '[^aeiouAEIOU]', '', 'g')) < 2 then word else {_STRESS.format(w='word', p1=LAST_VOWEL, p2=LAST_VOWEL_BUT_ONE)} end as shown
 from word_list where word is not null
 """)
 def t_stress(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "word_list").where("word is not null").select("word", T.syllables("word").alias("syllables"), S.stress_word("word").alias("stressed"), S.latin_stressed("word").alias("shown")).distinct()
 
 
-@query()
+@query(twins.SCRIPTS)
 def t_scripts(spark: SparkSession, sf: str) -> DataFrame:
     """Example sentences in every script."""
     return table(spark, sf, "word_list").where("example is not null").select("row_id", S.convert_sentence("example", "Latin (stressed)").alias("latin"), S.convert_sentence("example", "Cyrillic").alias("cyrillic"), S.convert_sentence("example", "Musa").alias("featural"))
@@ -698,7 +681,7 @@ def q_word_report(spark: SparkSession, sf: str) -> DataFrame:
     return sense.word_report(dump(spark, sf), asked).withColumn("translations", F.when(F.col("translations") != "", F.col("translations")))
 
 
-@query()
+@query(twins.DICTIONARY)
 def e_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return export.dictionary_lines(_entries(spark, sf), ["eng", "spa", "epo"], gendered=["spa"])
 

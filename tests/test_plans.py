@@ -85,7 +85,7 @@ def test_phrases_in_sentences_of_documents(spark, tables):
     tables("documents", [(1, "a", "Buy the red house. Some red-house, x"), (2, "a", None)], "doc_id bigint, source string, text string")
     tables("word_list", [(1, "red-house", "buy, Red House", DAY), (2, "Buy the", None, DAY), (3, None, "x", DAY)], "row_id bigint, word string, translationeng string, added_at timestamp")
     sf = tables("dump_tc", [("house",), ("three word entry",), (None,)], "c1 string")
-    assert out(corpora.c_phrase_hits(spark, sf), "no", "start", "phrase") == [(0, 1, "buy"), (0, 1, "buy the"), (0, 3, "red house"), (0, 4, "house"), (1, 2, "red house"), (1, 3, "house")]
+    assert out(corpora.c_phrase_hits(spark, sf), "no", "start", "phrase") == [(0, 1, "buy the"), (0, 1, "buy"), (0, 3, "red house"), (0, 4, "house"), (1, 2, "red house"), (1, 3, "house")]
     assert out(corpora.c_two_word_entries(spark, sf), "doc_id", "entry", "n") == [(1, "buy the", 1), (1, "red house", 2)]
     assert out(corpora.c_emphasis(spark, sf), "no", "marked") == [(0, "Buy **the** red house."), (1, "**Some** red-house, x.")]
 
