@@ -104,13 +104,13 @@ def t_annotation_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return seg.select("row_id", G.annotation("s").alias("a")).select("row_id", "a.prefix", "a.gloss", "a.qualifier")
 
 
-@query(f"with src as (select row_id, translationeng as text, wordclass as cls from word_list), {twins.parsed('src')} select * from parsed")
+@query(f"with src as (select row_id, translationeng as text, wordclass as cls from word_list), {twins.parsed('src')} select row_id, place, gloss, pos, verb_type, qualifier, affix_type from parsed")
 def t_parsed_glosses(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "word_list").select("row_id", F.posexplode(G.parse_annotated("translationeng", "wordclass")).alias("place", "g"))
     return g.select("row_id", "place", "g.*")
 
 
-@query()
+@query(f"with src as (select row_id, translationeng as text, wordclass as cls from word_list), other as (select row_id, translationepo as text, wordclass as cls from word_list), {twins.parsed('src')}, {twins.translated('tr', 'other')} select * from tr")
 def t_parsed_translations(spark: SparkSession, sf: str) -> DataFrame:
     w = table(spark, sf, "word_list").withColumn("e", G.parse_annotated("translationeng", "wordclass"))
     return w.select("row_id", F.posexplode(G.parse_translation("translationepo", F.col("e"), "wordclass")).alias("place", "g")).select("row_id", "place", "g.*")
@@ -616,7 +616,7 @@ def _groups(spark: SparkSession, sf: str) -> DataFrame:
     return search.translation_groups(_entries(spark, sf).join(ext, "word", "left"), {"spa": "Spanish", "epo": "Esperanto"}, CELLS)
 
 
-@query()
+@query(twins.translation_groups({"translationspa": "Spanish", "translationepo": "Esperanto"}, CELLS))
 def q_translation_groups(spark: SparkSession, sf: str) -> DataFrame:
     return _groups(spark, sf).withColumn("texts", F.array_join("texts", "|"))
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from lexmill.functions import gloss as G
 from lexmill.functions import script as S
-from lexmill.operators import export
+from lexmill.operators import export, search
 
 WORDS = "words as (select * from (select *, row_number() over (partition by word order by added_at nulls first, row_id) as rn from word_list where word is not null) where rn = 1)"
 # DuckDB's trim leaves tabs and line breaks.
@@ -31,37 +31,54 @@ def sql_values(rows: Iterable[tuple]) -> str:
 
 # --- the gloss language
 
-KEYS = sorted(G.ANNOTATIONS, key=len, reverse=True)
-ALTERNATIVES = "|".join(k.replace(".", "[.]").replace("(", "[(]").replace(")", "[)]") for k in KEYS)
+
+def _keys(table: G.Annotations) -> list[str]:
+    return sorted(table, key=len, reverse=True)
+
+
+def _alternatives(table: G.Annotations) -> str:
+    return "|".join(k.replace(".", "[.]").replace("(", "[(]").replace(")", "[)]") for k in _keys(table))
+
+
+KEYS, ALTERNATIVES = _keys(G.ANNOTATIONS), _alternatives(G.ANNOTATIONS)
 FULL = strip(r"regexp_replace(regexp_replace(item, '[()]', '', 'g'), '[\s\p{Z}]+', ' ', 'g')")
 LEADING = strip(r"regexp_replace(item, '^(?:\([^_)]+\)[\s\p{Z}]*)+', '')")
 TRAILING = strip(r"regexp_replace(item, '(?:[\s\p{Z}]*\([^_)]+\))+$', '')")
 
 
+def _entries(table: G.Annotations) -> str:
+    return sql_values((k, i, *e) for k, v in table.items() for i, e in enumerate(v))
+
+
+def annotated(name: str, source: str, table: G.Annotations) -> str:
+    """CTEs that end in ``name`` (row_id, cls, no, prefix, item, qualifier): the groups of a table of (row_id, text, cls)."""
+    keys = sql_list(table)
+    return rf"""
+{name}_text as (select row_id, cls, string_split({strip('text')}, '; ') as v from {source} where {strip('text')} <> ''),
+{name}_group as (select row_id, cls, generate_subscripts(v, 1) as no, {strip('unnest(v)')} as s from {name}_text),
+{name}_key as (
+  select *, regexp_extract(lower(s), '^({_alternatives(table)}):', 1) as k,
+    regexp_extract(lower(s), '^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:', 1) as b1, trim(regexp_extract(lower(s), '^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:', 1)) as b2,
+    trim(regexp_extract(lower(s), '^([a-z][a-z./ ]*?)\s*\(([^)]+)\)\s*:', 2)) as q
+  from {name}_group),
+{name} as (
+  select row_id, cls, no, case when k <> '' then k when b1 in ({keys}) then b1 when b2 in ({keys}) then b2 end as prefix,
+    case when k <> '' then {strip("s[length(k) + 2:]")} when b1 in ({keys}) or b2 in ({keys}) then {strip("s[instr(s, ':') + 1:]")} else s end as item,
+    case when k <> '' then nullif(regexp_extract(k, '\(([^)]+)\)', 1), '') when b1 in ({keys}) or b2 in ({keys}) then q end as qualifier
+  from {name}_key)"""
+
+
 def parsed(source: str) -> str:
     """CTEs that end in ``parsed`` (row_id, place, gloss, pos, verb_type, qualifier, affix_type), from a table of (row_id, text, cls)."""
-    entries = sql_values((k, i, *e) for k, v in G.ANNOTATIONS.items() for i, e in enumerate(v))
     classes = sql_values((k, i + 1, p) for k, v in G.WORD_CLASSES.items() for i, p in enumerate(v))
-    keys = sql_list(KEYS)
     parts = f"list_transform(string_split(replace(cls, ';', '.'), '.'), lambda x: {strip('x')})"
     last_verb = f"list_filter(list_reverse({parts}), lambda x: x in ({sql_list(G.VERB_CLASSES)}))[1]"
     own_type = f"case {last_verb} " + " ".join(f"when '{k}' then '{v}'" for k, v in G.VERB_CLASSES.items()) + " end"
     return rf"""
-ent(prefix, eno, epos, everb, eaffix) as (values {entries}),
+ent(prefix, eno, epos, everb, eaffix) as (values {_entries(G.ANNOTATIONS)}),
 cpos(cls, cno, pos) as (values {classes}),
 clen as (select cls, count(*) as n from cpos group by cls),
-seg0 as (select row_id, cls, string_split({strip('text')}, '; ') as v from {source} where {strip('text')} <> ''),
-seg as (select row_id, cls, generate_subscripts(v, 1) as no, {strip('unnest(v)')} as s from seg0),
-key as (
-  select *, regexp_extract(lower(s), '^({ALTERNATIVES}):', 1) as k,
-    regexp_extract(lower(s), '^([a-z][a-z./]*)\s*\(([^)]+)\)\s*:', 1) as b1, trim(regexp_extract(lower(s), '^([a-z][a-z./ ]+?)\s*\(([^)]+)\)\s*:', 1)) as b2,
-    trim(regexp_extract(lower(s), '^([a-z][a-z./ ]*?)\s*\(([^)]+)\)\s*:', 2)) as q
-  from seg),
-ann as (
-  select row_id, cls, no, case when k <> '' then k when b1 in ({keys}) then b1 when b2 in ({keys}) then b2 end as prefix,
-    case when k <> '' then {strip("s[length(k) + 2:]")} when b1 in ({keys}) or b2 in ({keys}) then {strip("s[instr(s, ':') + 1:]")} else s end as item,
-    case when k <> '' then nullif(regexp_extract(k, '\(([^)]+)\)', 1), '') when b1 in ({keys}) or b2 in ({keys}) then q end as qualifier
-  from key),
+{annotated('ann', source, G.ANNOTATIONS)},
 form as (select *, {FULL} as f, {LEADING} as a, {TRAILING} as b from ann),
 vari as (select *, case when a <> item and a <> '' and f <> '' and a <> f then [a, f] when b <> item and b <> '' and f <> '' and b <> f then [b, f] else [item] end as v from form),
 sized as (select vari.*, case when prefix is null then 1 else len(v) * e.n end as n from vari left join (select prefix, count(*) as n from ent group by prefix) e using (prefix)),
@@ -74,8 +91,46 @@ parsed as (
   from spread join ent using (prefix)
   union all
   select row_id, place0, item, case when clen.n is null then 'PHRASE' else cpos.pos end, null, null, null
-  from placed left join clen using (cls) left join cpos on cpos.cls = placed.cls and cpos.cno = least(place0 + 1, clen.n) where prefix is null)
-"""
+  from placed left join clen using (cls) left join cpos on cpos.cls = placed.cls and cpos.cno = least(place0 + 1, clen.n) where prefix is null),
+aligned as (
+  select *, row_number() over (partition by row_id order by place) - 1 as i
+  from (select *, row_number() over (partition by row_id, pos, verb_type, affix_type order by place) as nth from parsed) where nth = 1)"""
+
+
+def translated(name: str, source: str) -> str:
+    """CTEs after ``parsed`` that end in ``name``, with its columns: the glosses of another language."""
+    return f"""
+{name}_ent(prefix, eno, epos, everb, eaffix) as (values {_entries(G.TRANSLATION_ANNOTATIONS)}),
+{annotated(name + '_ann', source, G.TRANSLATION_ANNOTATIONS)},
+{name}_all as (
+  select a.row_id, no, eno, item as gloss, epos as pos, everb as verb_type, a.qualifier, eaffix as affix_type from {name}_ann a join {name}_ent using (prefix)
+  union all
+  select a.row_id, no, 0, item, case when l.row_id is not null then l.pos when clen.n is null then 'PHRASE' else cpos.pos end, l.verb_type, l.qualifier, l.affix_type
+  from {name}_ann a left join aligned l on l.row_id = a.row_id and l.i = a.no - 1 left join clen on clen.cls = a.cls left join cpos on cpos.cls = a.cls and cpos.cno = least(a.no, clen.n)
+  where a.prefix is null and item <> ''),
+{name} as (select row_id, (row_number() over (partition by row_id order by no, eno) - 1)::int as place, gloss, pos, verb_type, qualifier, affix_type from {name}_all)"""
+
+
+def translation_groups(core: dict[str, str], extension: dict[str, str]) -> str:
+    """Translations of the first row of each word by meaning group; ``core`` columns in the gloss language, ``extension`` columns as cells."""
+    names = lambda table: "case " + "{0} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items())
+    key = lambda t: f"{names(search.POS_NAMES).format(t + '.pos')} else 'phrase' end as p, {names(search.VERB_NAMES).format(t + '.verb_type')} end as v"
+    sources = ", ".join(f"src_{c} as (select row_id, {c} as text, wordclass as cls from words)" for c in ("translationeng", *core))
+    glosses = ", ".join(translated(f"tr_{c}", f"src_{c}") for c in core)
+    in_core = " union all ".join(rf"select x.row_id, x.g, x.p, x.v, '{lang}' as lang, trim(regexp_replace(y.gloss, '\s*<[mfn]>', '', 'g')) as text_ from (select *, {key('t')} from tr_{c} t) y join grp x on x.row_id = y.row_id and x.p = y.p and x.v is not distinct from y.v" for c, lang in core.items())
+    cells = " union all ".join(f"select word, '{lang}' as lang, string_split(trim({c}), '; ') as v from ext where {c} is not null and trim({c}) not in ('', 'False')" for c, lang in extension.items())
+    return rf"""
+with {WORDS}, {sources}, {parsed('src_translationeng')}, {glosses},
+lead as (select t.row_id, t.place, t.gloss, {key('t')} from parsed t),
+grp as (select *, row_number() over (partition by row_id order by first_) - 1 as g from (select row_id, p, v, min(place) as first_ from lead group by all)),
+ext as (select *, globasa as word from (select *, row_number() over (partition by globasa order by ext_id) as k from menalari_extension where globasa is not null) where k = 1),
+cell as (select word, lang, generate_subscripts(v, 1) - 1 as g, unnest(v) as items from ({cells})),
+item as (select words.row_id, lang, g, unnest(list_filter(string_split(items, ', '), lambda x: trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) <> '')) as x from cell join words using (word)),
+found as (
+  select l.row_id, x.g, x.p, x.v, 'English' as lang, l.gloss as text_ from lead l join grp x on x.row_id = l.row_id and x.p = l.p and x.v is not distinct from l.v
+  union all {in_core}
+  union all select grp.row_id, grp.g, p, v, lang, trim(regexp_replace(x, '\s*<[mfn]>', '', 'g')) || coalesce(' <' || nullif(regexp_extract(x, '<([mfn])>', 1), '') || '>', '') from item join grp on grp.row_id = item.row_id and grp.g = item.g)
+select word, g as group_no, p as pos, v as verb_type, lang, array_to_string(list_sort(list(distinct text_)), '|') as texts from found join words using (row_id) group by all"""
 
 
 # --- scripts
