@@ -279,16 +279,8 @@ def s_foreign_pos(spark: SparkSession, sf: str) -> DataFrame:
     return readers.foreign_pos(readers.parse_dictionary(table(spark, sf, "raw_wiktextract")))
 
 
-_ONE = "case json_type({0}) when 'ARRAY' then json_extract({0}, '$[*]') when 'OBJECT' then [{0}] when 'VARCHAR' then [{0}] else [] end"
-
-
 @query(f"""
-with r as (select rec_id, raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
-a as (select rec_id, j->>'word' as word, j->>'pos' as pos, {_ONE.format("json_extract(j, '$.senses')")} as m from r where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR'),
-s as (select rec_id, word, pos, m[i] as o, i from (select *, unnest(range(1, len(m) + 1)) as i from a)),
-n as (select *, row_number() over (partition by word, pos order by rec_id, i) - 1 as sense_no, {_ONE.format("json_extract(o, '$.glosses')")} as g, json_extract(o, '$.examples') as e from s where json_type(o) = 'OBJECT')
-select word, pos, sense_no::int as sense_no, array_to_string(list_transform(g, lambda x: x->>'$'), '|') as glosses,
-  case json_type(e) when 'ARRAY' then json_array_length(e)::int when 'OBJECT' then 1 end as n_examples from n
+with {twins.SENSES} select word, pos, sense_no, array_to_string(g, '|') as glosses, case json_type(e) when 'ARRAY' then json_array_length(e)::int when 'OBJECT' then 1 end as n_examples from senses
 """)
 def s_senses(spark: SparkSession, sf: str) -> DataFrame:
     s = readers.senses(readers.parse_dictionary(table(spark, sf, "raw_wiktextract")), ["rec_id"])
@@ -659,7 +651,7 @@ def q_sense_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment(spark, sf)[2]
 
 
-@query()
+@query(twins.SENSE_DEFINITIONS)
 def q_sense_definitions(spark: SparkSession, sf: str) -> DataFrame:
     """Which sense each translation's sense text means."""
     records = readers.parse_dictionary(table(spark, sf, "raw_wiktextract"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import nested, orphans, packed, rejects, skew
+from lexmill.plans import twins
 from lexmill.session import table
 
 PACKED_FIELDS = ["translationeng", "tags", "synonyms", "wordclass"]
@@ -81,21 +82,21 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct objects and occurrences of each kind."""
-    return p5_bridge(spark, sf).groupBy("child", "node_id").agg(F.count(F.lit(1)).alias("n")).groupBy("child").agg(F.count(F.lit(1)).alias("objects"), F.sum("n").alias("occurrences"))
+    return p5_bridge(spark, sf).where(F.col("child") != nested.RECORD).groupBy("child", "node_id").agg(F.count(F.lit(1)).alias("n")).groupBy("child").agg(F.count(F.lit(1)).alias("objects"), F.sum("n").alias("occurrences"))
 
 
 def p5_senses(spark: SparkSession, sf: str) -> DataFrame:
     t = nested.sense_table(p5_bridge(spark, sf))
-    return t.select("node_id", *[F.array_join(c, "|").alias(c) for c in ("glosses", "raw_glosses", "tags")], "n_occurrences")
+    return t.select(*[F.array_join(c, "|").alias(c) for c in ("glosses", "raw_glosses", "tags")], "n_occurrences")
 
 
 def p5_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.example_table(p5_bridge(spark, sf))
+    return nested.example_table(p5_bridge(spark, sf)).drop("node_id")
 
 
 def p5_translations(spark: SparkSession, sf: str) -> DataFrame:
     t = nested.translation_table(p5_bridge(spark, sf))
-    return t.withColumn("tags", F.array_join("tags", "|"))
+    return t.withColumn("tags", F.array_join("tags", "|")).drop("node_id")
 
 
 def p6_headwords(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,6 +202,10 @@ ORACLE_SQL = {
 missing as (select *, not exists (select 1 from dump_tc d where (l.c0 is null or d.c0 = l.c0) and d.c1 = l.c1 and d.c5 = l.c5) as missing from line_key l)
 select line_id, 'simple' as rule from missing where c0 is not null and missing union all select line_id, 'partial' from missing where missing union all select line_id, 'full' from missing where c0 is null or missing""",
     "p5_found": _P5,
+    "p5_nodes": twins.NODES,
+    "p5_senses": twins.SENSE_NODES,
+    "p5_examples": twins.EXAMPLE_NODES,
+    "p5_translations": twins.TRANSLATION_NODES,
     "p6_found": "select c1 from dump_tc where c1 is not null group by c1 having count(*) >= 0.02 * (select count(*) from dump_tc)",
     "p6_counts": "select c1, count(*) as n_rows, count(*) filter (where c5 in (select id from iso_639_3)) as n_known from dump_tc group by c1",
 }

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from lexmill.functions import gloss as G
 from lexmill.functions import script as S
+from lexmill.functions import text as T
 from lexmill.operators import export, search
 
 WORDS = "words as (select * from (select *, row_number() over (partition by word order by added_at nulls first, row_id) as rn from word_list where word is not null) where rn = 1)"
@@ -215,3 +216,87 @@ union all """ + " union all ".join(languages)
 
 
 DICTIONARY = _dictionary()
+
+
+# --- dictionary records and nested objects
+
+
+def as_list(x: str) -> str:
+    """A JSON list, or its one bare member, as a list."""
+    return f"case json_type({x}) when 'ARRAY' then json_extract({x}, '$[*]') when 'OBJECT' then [{x}] when 'VARCHAR' then [{x}] else [] end"
+
+
+def _texts(x: str) -> str:
+    return f"list_transform({as_list(x)}, lambda x: x->>'$')"
+
+
+SENSES = f"""
+rec as (select rec_id, raw_line::json as j from raw_wiktextract where json_valid(raw_line)),
+english as (select rec_id, j->>'word' as word, j->>'pos' as pos, j from rec where json_type(j) = 'OBJECT' and j->>'lang' = 'English' and json_type(j, '$.word') = 'VARCHAR'),
+listed as (select rec_id, word, pos, {as_list("json_extract(j, '$.senses')")} as m from english),
+sense as (select rec_id, word, pos, m[i] as o, i from (select *, unnest(range(1, len(m) + 1)) as i from listed)),
+senses as (
+  select word, pos, (row_number() over (partition by word, pos order by rec_id, i) - 1)::int as sense_no, {_texts("json_extract(o, '$.glosses')")} as g, {_texts("json_extract(o, '$.raw_glosses')")} as rg, json_extract(o, '$.examples') as e
+  from sense where json_type(o) = 'OBJECT')"""
+
+
+def _content(x: str) -> str:
+    word = "case when ends_with(x, '''s') then regexp_replace(x, '[''s]+$', '') else x end"
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all(lower({x}), '[a-zA-Z'']+'), lambda x: {word}), lambda x: x <> '' and x not in ({sql_list(T.STOP_WORDS)})))"
+
+
+def _inside(glosses: str) -> str:
+    return f"len(list_filter({glosses}, lambda y: contains(lower(y), k) or (after <> '' and contains(lower(y), after)))) > 0"
+
+
+SENSE_DEFINITIONS = f"""
+with {SENSES},
+tr as (select word, pos, unnest(case json_type(j, '$.translations') when 'ARRAY' then json_extract(j, '$.translations[*]') when 'OBJECT' then [json_extract(j, '$.translations')] else [] end) as t from english),
+meant as (select distinct word, pos, t->>'sense' as sense from tr where t->>'word' is not null and t->>'sense' is not null and t->>'code' is not null),
+key as (select *, {strip("lower(sense)")} as k, {_content("sense")} as w from meant),
+keyed as (select *, case when contains(k, ':') then {strip("k[instr(k, ':') + 1:]")} else '' end as after from key where k <> ''),
+pair as (select keyed.*, sense_no, g, rg, e, case when len(w) > 0 then list_max(list_transform(g, lambda y: len(list_intersect(w, {_content("y")})) / len(w))) end as share from keyed join senses using (word, pos)),
+tiered as (select *, case when {_inside("g")} then 1 when {_inside("rg")} then 2 when share >= 0.5 then 3 end as tier from pair),
+best as (select *, row_number() over (partition by word, pos, sense order by tier, case when tier = 3 then -share else 0 end, sense_no) as nth from tiered where tier is not null)
+select word, pos, sense, sense_no, coalesce(g[-1], '') as definition,
+  array_to_string(list_transform(({as_list("e")})[1:3], lambda x: coalesce(x->>'text', '')), '|') as examples
+from best where nth = 1"""
+
+
+def _canonical(x: str, children: dict[str, str]) -> str:
+    """Text of an object that is the same whatever the order of its members, nulls left out; ``children`` makes that of members that hold objects."""
+    cases = " ".join(f"when k = '{name}' then {text}" for name, text in children.items())
+    member = f"json_extract({x}, '$.\"' || k || '\"')"
+    value = f"case {cases} else {member}::varchar end" if cases else f"{member}::varchar"
+    return f"array_to_string(list_filter(list_transform(list_sort(json_keys({x})), lambda k: case when json_type({member}) = 'NULL' then null else k || '=' || ({value}) end), lambda z: z is not null), ';')"
+
+
+def _objects(x: str) -> str:
+    """Canonical text of a list of objects; an empty list counts as none."""
+    return f"nullif('[' || array_to_string(list_transform({as_list(x)}, lambda o: case when json_type(o) = 'OBJECT' then {_canonical('o', {})} else o::varchar end), ',') || ']', '[]')"
+
+
+_BRIDGE = f"""
+with rec as (select rec_id, raw_line::json as j from raw_wiktextract where json_valid(raw_line) and json_type(case when json_valid(raw_line) then raw_line end) = 'OBJECT'),
+sense as (select unnest({as_list("json_extract(j, '$.senses')")}) as o from rec),
+s as (select o from sense where json_type(o) = 'OBJECT'),
+e as (select * from (select unnest({as_list("json_extract(o, '$.examples')")}) as o from s) where json_type(o) = 'OBJECT'),
+t as (select * from (select unnest({as_list("json_extract(o, '$.translations')")}) as o from s union all select unnest({as_list("json_extract(j, '$.translations')")}) from rec) where json_type(o) = 'OBJECT')"""
+_SENSE_TEXT = _canonical("o", {m: _objects(f"json_extract(o, '$.{m}')") for m in ("examples", "translations")})
+NODES = f"""{_BRIDGE},
+n as (select 'sense' as child, {_SENSE_TEXT} as c from s union all select 'example', {_canonical("o", {})} from e union all select 'translation', {_canonical("o", {})} from t)
+select child, count(distinct c) as objects, count(*) as occurrences from n group by child"""
+
+
+def _one_of_each(table: str, text: str, columns: dict[str, str]) -> str:
+    return f"{_BRIDGE}, n as (select {text} as c, {', '.join(f'{x} as {name}' for name, x in columns.items())} from {table}) select {', '.join(f'any_value({name}) as {name}' for name in columns)}, count(*) as n_occurrences from n group by c"
+
+
+def _joined(member: str) -> str:
+    x = f"json_extract(o, '$.{member}')"
+    return f"case when json_type({x}) in ('ARRAY', 'OBJECT', 'VARCHAR') then array_to_string({_texts(x)}, '|') end"
+
+
+SENSE_NODES = _one_of_each("s", _SENSE_TEXT, {m: _joined(m) for m in ("glosses", "raw_glosses", "tags")})
+EXAMPLE_NODES = _one_of_each("e", _canonical("o", {}), {m: f"o->>'{m}'" for m in ("text", "english", "type")})
+TRANSLATION_NODES = _one_of_each("t", _canonical("o", {}), {**{m: f"o->>'{m}'" for m in ("word", "code", "sense", "romanization")}, "tags": _joined("tags")})
