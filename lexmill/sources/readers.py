@@ -69,29 +69,30 @@ def prefix_lookup(dump: DataFrame, words: DataFrame, word: str = "word") -> Data
     return dump.join(keys, ["pfx", "word"])
 
 
-def _objects(text: Column, members: StructType, lists: dict[str, DataType]) -> Column:
-    """The objects of a JSON list, which may be written as its one bare object, as may each of their ``lists``.
+def _objects(listed: Column, members: StructType, lists: dict[str, DataType]) -> Column:
+    """The objects of a JSON list, of whose ``lists`` each may be written as its one bare member.
 
     The list is read twice, with the inner lists as lists and as their one bare member; a null
     in the one reading is filled from the other.
     """
-    wrapped = F.when(F.startswith(F.ltrim(text), F.lit("{")), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
     bare = ArrayType(StructType([StructField(f.name, lists.get(f.name, f.dataType)) for f in members]))
     member = lambda a, b, n: F.coalesce(a[n], F.when(b[n].isNotNull(), F.array(b[n]))) if n in lists else a[n]
     one = lambda a, b: F.when(a.isNotNull(), F.struct(*[member(a, b, n).alias(n) for n in members.names]))
-    return F.zip_with(F.from_json(wrapped, ArrayType(members)), F.from_json(wrapped, bare), one)
+    return F.zip_with(F.from_json(listed, ArrayType(members)), F.from_json(listed, bare), one)
 
 
 def parse_dictionary(lines: DataFrame, column: str = "raw_line") -> DataFrame:
     """Dictionary records from lines of JSON; lines that are broken or lack ``word`` or ``lang`` are left out.
 
-    A list may be written as its one bare member.
+    A list may be written as its one bare member. The steps are projections of their own, so
+    that what one parses is not parsed again wherever the next refers to it.
     """
-    texts = F.from_json(column, strings(*DICTIONARY.names), {"mode": "PERMISSIVE"})
-    parsed = [_objects(texts[n], DICTIONARY[n].dataType.elementType, lists).alias(n) for n, lists in (("senses", SENSE_LISTS), ("translations", TRANSLATION_LISTS))]
-    record = F.when(texts.isNotNull(), F.struct(*[texts[n].alias(n) for n in ("word", "lang", "pos")], *parsed))
     rest = [c for c in lines.columns if c != column and c not in DICTIONARY.names]
-    return lines.select(*rest, record.alias("_r")).where("_r.word is not null and _r.lang is not null").select(*rest, "_r.*")
+    texts = lines.select(*rest, F.from_json(column, strings(*DICTIONARY.names), {"mode": "PERMISSIVE"}).alias("_t")).where("_t.word is not null and _t.lang is not null")
+    listed = lambda t: F.when(F.startswith(F.ltrim(t), F.lit("{")), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t)
+    wrapped = texts.select(*rest, *[F.col(f"_t.{n}").alias(n) for n in ("word", "lang", "pos")], listed(F.col("_t.senses")).alias("_senses"), listed(F.col("_t.translations")).alias("_translations"))
+    lists = (("senses", SENSE_LISTS), ("translations", TRANSLATION_LISTS))
+    return wrapped.select(*rest, "word", "lang", "pos", *[_objects(F.col(f"_{n}"), DICTIONARY[n].dataType.elementType, inner).alias(n) for n, inner in lists])
 
 
 def dictionary(spark: SparkSession, path: str, column: str = "value") -> DataFrame:
