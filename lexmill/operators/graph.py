@@ -128,27 +128,35 @@ def score_synsets(queries: DataFrame, synsets: DataFrame, lemmas: DataFrame, epo
     its counterpart. It is applicable if the lemmas of both languages that are query words
     reach the threshold for the number of words (of English alone where there is no
     counterpart), or if its first Esperanto lemma is the first Esperanto query word.
+
+    A lemma that is a query word is one row of a join, without the other words of either side, so
+    that no row grows with the number of lemmas; the rows of a query and a synset are then counted.
     """
-    full = synsets.join(lemmas, "synset_id").groupBy("synset_id", "ili", "pos", "lexicon").agg(F.collect_set("lemma").alias("lemmas"))
-    en = full.where("lexicon = 'en'").select("ili", "pos", F.col("lemmas").alias("en_lemmas"), "synset_id")
-    es = full.where("lexicon = 'es'").groupBy("ili").agg(F.min_by("lemmas", "synset_id").alias("es_lemmas"))
-    first_epo = epo.groupBy("ili").agg(F.min_by("lemma", "ord").alias("epo_lemma"))
-    wide = en.join(es, "ili", "left").join(first_epo, "ili", "left")
-    same_pos = (F.col("q.pos") == F.col("s.pos")) | ((F.col("q.pos") == "a") & (F.col("s.pos") == "s"))
-    q = queries.alias("q")
-
-    def candidates(words: str, held: str) -> DataFrame:
-        asked = q.select("q.*", F.explode(F.array_distinct(words)).alias("_w")).alias("q")
-        offered = wide.select("*", F.explode(held).alias("_l")).alias("s")
-        return asked.join(offered, (F.col("_w") == F.col("_l")) & same_pos).select(*[F.col(f"q.{c}") for c in queries.columns], "s.synset_id", "s.ili", "en_lemmas", "es_lemmas", "epo_lemma")
-
-    found = candidates("eng", "en_lemmas").withColumn("_english", F.lit(True)).unionByName(candidates("spa", "es_lemmas").withColumn("_english", F.lit(False)))
-    shared = lambda a, b: F.size(F.array_intersect(a, b))
-    both = shared("en_lemmas", "eng") + shared("es_lemmas", "spa") >= threshold(F.size("eng") + F.size("spa"))
-    alone = shared("en_lemmas", "eng") >= threshold(F.size("eng"))
-    score = F.when(F.col("es_lemmas").isNotNull(), both).otherwise(alone) | F.coalesce(F.col("epo_lemma") == F.get("epo", 0), F.lit(False))
-    judged = found.withColumn("_ok", F.col("_english") & score)
-    return judged.groupBy("word", "group_no", "pos", "synset_id", "ili").agg(F.bool_or("_ok").alias("applicable"))
+    held = lemmas.select("synset_id", "lemma").distinct()
+    named = synsets.join(held, "synset_id", "left_semi")
+    es = named.where("lexicon = 'es'").groupBy("ili").agg(F.min("synset_id").alias("_es"))
+    first_epo = epo.groupBy("ili").agg(F.min_by("lemma", "ord").alias("_epo_lemma"))
+    # an English 's' answers queries for 's' and 'a'
+    served = F.explode(F.when(F.col("pos") == "s", F.array(F.lit("s"), F.lit("a"))).otherwise(F.array("pos"))).alias("pos")
+    en = named.where("lexicon = 'en'").select("synset_id", "ili", served).distinct().join(es, "ili", "left").join(first_epo, "ili", "left")
+    sources = F.array_compact(F.array(F.struct(F.lit(True).alias("_english"), F.col("synset_id").alias("_held")), F.when(F.col("_es").isNotNull(), F.struct(F.lit(False).alias("_english"), F.col("_es").alias("_held")))))
+    offered = en.select("synset_id", "ili", "pos", F.col("_es").isNotNull().alias("_paired"), "_epo_lemma", F.inline(sources))
+    offered = offered.join(held.select(F.col("synset_id").alias("_held"), F.col("lemma").alias("_w")), "_held").drop("_held")
+
+    def words(side: str, english: bool) -> Column:
+        return F.transform(F.coalesce(F.array_distinct(side), F.array()), lambda w: F.struct(F.lit(english).alias("_english"), w.alias("_w")))
+
+    # size and hash of the words tell two queries of one word, group and part of speech apart
+    facts = [F.size("eng").alias("_n_eng"), F.size("spa").alias("_n_spa"), F.get("epo", 0).alias("_epo_word"), F.xxhash64("eng").alias("_eng"), F.xxhash64("spa").alias("_spa")]
+    asked = queries.select("word", "group_no", "pos", *facts, F.inline(F.concat(words("eng", True), words("spa", False))))
+    pair = ["word", "group_no", "pos", "synset_id", "ili"]
+    # both aggregates below are served by this one shuffle
+    met = asked.join(offered, ["_english", "_w", "pos"]).repartition(*pair)
+    met = met.groupBy(*pair, "_n_eng", "_n_spa", "_epo_word", "_eng", "_spa", "_paired", "_epo_lemma").agg(F.count_if("_english").alias("_in_en"), F.count_if(~F.col("_english")).alias("_in_es"))
+    both = F.when(F.col("_n_spa").isNotNull(), F.col("_in_en") + F.col("_in_es") >= threshold(F.col("_n_eng") + F.col("_n_spa")))
+    alone = F.col("_in_en") >= threshold(F.col("_n_eng"))
+    score = F.when(F.col("_paired"), both).otherwise(alone) | F.coalesce(F.col("_epo_lemma") == F.col("_epo_word"), F.lit(False))
+    return met.groupBy(*pair).agg(F.bool_or((F.col("_in_en") > 0) & score).alias("applicable"))
 
 
 def _with_ancestry(candidates: DataFrame, closure: DataFrame) -> DataFrame:

@@ -124,6 +124,58 @@ def test_graph(spark):
     assert out(graph.antonym_confirmed(cand, rel, lem, ant), "word") == [("kasa",)]
 
 
+QUERY = "word string, group_no int, pos string, eng array<string>, spa array<string>, epo array<string>"
+SYNSET, LEMMA, EPO = "synset_id string, ili string, pos string, lexicon string", "synset_id string, lemma string", "ili string, lemma string, ord bigint"
+
+
+def shuffled(df):
+    """Bytes that the exchanges of a query hold; the query is run."""
+    df.collect()
+
+    def walk(node):
+        own = node.metrics().get("dataSize").get().value() if node.nodeName() == "Exchange" else 0
+        under = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        return own + sum(map(walk, under))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def network(spark, n):
+    """One synset that ``n`` words share, in both lexicons; each word is a query, and one of them has all Spanish words."""
+    synsets = spark.createDataFrame([("e", "i", "n", "en"), ("s", "i", "n", "es")], SYNSET)
+    lemmas = spark.createDataFrame([(k, f"{k}{x}") for x in range(n) for k in "es"], LEMMA)
+    queries = spark.createDataFrame([(f"w{x}", 0, "n", [f"e{x}"], [f"s{i}" for i in (range(n) if x == 0 else [x])], []) for x in range(n)], QUERY)
+    return queries, synsets, lemmas, spark.createDataFrame([], EPO)
+
+
+def test_score_of_a_synset_with_many_lemmas(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        small, large = (graph.score_synsets(*network(spark, n)) for n in (200, 800))
+        assert large.where("applicable").count() == 800
+        assert shuffled(large) < 6 * shuffled(small)  # 16 times where each row holds all lemmas
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_score_synsets(spark):
+    synsets = spark.createDataFrame([("e1", "i1", "n", "en"), ("e2", "i2", "s", "en"), ("e2", "i2", "a", "en"), ("e3", "i3", "n", "en"), ("e4", None, "n", "en"), ("e5", "i1", "v", "en"), ("s1", "i1", "n", "es"), ("s0", "i1", "n", "es"), ("s3", "i3", "n", "es"), ("s", "i2", "n", "es")], SYNSET)
+    lemmas = spark.createDataFrame([("e1", "house"), ("e1", "house"), ("e1", "home"), ("e2", "red"), ("e3", "home"), ("e4", "house"), ("e5", "house"), ("s1", "hogar"), ("s0", "casa"), ("s3", "hogar")], LEMMA)
+    epo = spark.createDataFrame([("i3", "hejmo", 2), ("i3", "domo", 1)], EPO)
+    queries = [
+        ("kasa", 0, "n", ["house", "house"], ["casa"], []),  # both lexicons; s0 is the counterpart, not s1; e4 has none
+        ("two", 0, "n", ["house", "x"], [], []),  # one query of two rows, which don't add up
+        ("two", 0, "n", ["home", "x"], [], []),
+        ("hogar", 0, "n", ["tent"], ["hogar"], ["domo"]),  # Spanish alone: a candidate, not applicable
+        ("hejm", 0, "n", ["home", "x", "y"], None, ["domo"]),
+        ("roxo", 0, "a", ["red", "x"], [], None),  # e2 counts once
+    ]
+    got = graph.score_synsets(spark.createDataFrame(queries, QUERY), synsets, lemmas, epo)
+    assert out(got, "word", "synset_id", "applicable") == sorted(
+        [("kasa", "e1", True), ("kasa", "e4", False), ("two", "e1", False), ("two", "e4", False), ("two", "e3", False), ("hogar", "e3", False), ("hejm", "e1", None), ("hejm", "e3", True), ("roxo", "e2", False)], key=repr
+    )
+
+
 def test_merge_words():
     entries = {"fe lefe", "fe lefe na", "no kwas", "a na", "(fe) duli mara"}
     lem = lambda *ws: {w: w for w in ws}
