@@ -171,9 +171,15 @@ def suffix_filter(candidates: DataFrame, suffixes: DataFrame, closure: DataFrame
 
     ``suffixes``: suffix, pos, topic_id, ord; the first in order counts. Candidates are read once.
     """
+    return _suited_to_suffix(candidates, suffixes, closure).where("_suffix_suits").select(*candidates.columns)
+
+
+def _suited_to_suffix(candidates: DataFrame, suffixes: DataFrame, closure: DataFrame) -> DataFrame:
+    """All ``candidates`` with ``_suffix_suits``, whether ``suffix_filter`` keeps them."""
     tables = suffixes.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("ord", "suffix", "topic_id"))).alias("_s"))
     own = candidates.join(broadcast_if_small(tables), "pos", "left").withColumn("_topic", F.get(F.filter("_s", lambda x: F.endswith("word", x["suffix"])), 0)["topic_id"])
-    return _with_ancestry(own, closure).where(F.col("_topic").isNull() | F.array_contains("_up", F.col("_topic"))).select(*candidates.columns)
+    suits = F.col("_topic").isNull() | F.array_contains("_up", F.col("_topic"))
+    return _with_ancestry(own, closure).select(*candidates.columns, suits.alias("_suffix_suits"))
 
 
 def tag_filter(candidates: DataFrame, tags: DataFrame, topics: DataFrame, closure: DataFrame, instances: DataFrame) -> DataFrame:
@@ -183,14 +189,19 @@ def tag_filter(candidates: DataFrame, tags: DataFrame, topics: DataFrame, closur
     ``instances``: src, dst of the instance relation. Candidates are read once; topics come to
     them as one array a word.
     """
+    return _suited_to_tags(candidates, tags, topics, closure, instances).where("_tags_suit").select(*candidates.columns)
+
+
+def _suited_to_tags(candidates: DataFrame, tags: DataFrame, topics: DataFrame, closure: DataFrame, instances: DataFrame) -> DataFrame:
+    """All ``candidates`` with ``_tags_suit``, whether ``tag_filter`` keeps them."""
     own = tags.join(broadcast_if_small(topics), "tag").select("word", "pos", "kind", "topic_id").distinct()
     above = drop_dominated(own.where("kind = 'hypernym'").drop("kind"), closure).groupBy("word", "pos").agg(F.collect_set("topic_id").alias("_above"))
     classes = own.groupBy("word", "pos").agg(F.collect_set(F.when(F.col("kind") == "instance_of", F.col("topic_id"))).alias("_classes"))
     of = instances.join(closure.select(F.col("node").alias("dst"), "ancestor"), "dst", "left")
     of = of.groupBy(F.col("src").alias("synset_id")).agg(F.array_distinct(F.concat(F.collect_set("dst"), F.collect_set("ancestor"))).alias("_of"))
-    known = _with_ancestry(candidates, closure).join(classes.join(above, ["word", "pos"], "left"), ["word", "pos"], "left").join(of, "synset_id", "left")
+    known = _with_ancestry(candidates, closure).join(of, "synset_id", "left").join(classes.join(above, ["word", "pos"], "left"), ["word", "pos"], "left")
     met = lambda a, b: F.coalesce(F.arrays_overlap(a, b), F.lit(False))
-    return known.where(F.col("_classes").isNull() | met("_up", "_above") | met("_of", "_classes")).select(*candidates.columns)
+    return known.select(*candidates.columns, (F.col("_classes").isNull() | met("_up", "_above") | met("_of", "_classes")).alias("_tags_suit"))
 
 
 def synset_status(total: DataFrame, applicable: DataFrame, markings: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -198,9 +209,14 @@ def synset_status(total: DataFrame, applicable: DataFrame, markings: DataFrame,
 
     Candidates only the markings name as applicable are added. The sets are tagged and reduced by one aggregation.
     """
-    tag = lambda df, **flags: df.select(*keys, *[F.lit(flags.get(f)).alias(f) for f in ("_a", "_in", "_out")])
+    return _overruled([total.withColumn("_a", F.lit(None)), applicable.withColumn("_a", F.lit(1))], markings, keys)
+
+
+def _overruled(found: Sequence[DataFrame], markings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``synset_status`` of candidates with ``_a``, 1 where they were found applicable."""
+    tag = lambda df, **flags: df.select(*keys, *[flags.get(f, F.lit(None)).alias(f) for f in ("_a", "_in", "_out")])
     marks = markings.where("vetted = 'v'")
-    parts = [tag(total), tag(applicable, _a=1), tag(marks.where("app = 's'"), _in=1), tag(marks.where("app <> 's' or app is null"), _out=1)]
+    parts = [*[tag(df, _a=F.col("_a")) for df in found], tag(marks.where("app = 's'"), _in=F.lit(1)), tag(marks.where("app <> 's' or app is null"), _out=F.lit(1))]
     united = parts[0]
     for p in parts[1:]:
         united = united.unionByName(p)
@@ -215,12 +231,13 @@ def align_synsets(
     """(word, group_no, pos, ili, status): candidates of every query, scored, kept under the topics of the word's suffix and tags, and overruled by reviewers.
 
     The inputs are those of ``score_synsets``, ``suffix_filter`` and ``tag_filter``; ``markings``
-    has word, pos, ili, app, vetted.
+    has word, pos, ili, app, vetted. Filters mark candidates and keep all, so that each is scored once.
     """
     scored = score_synsets(queries, synsets, lemmas, epo)
-    kept = tag_filter(suffix_filter(scored.where("applicable").drop("applicable"), suffixes, closure), tags, topics, closure, instances)
+    suited = _suited_to_tags(_suited_to_suffix(scored, suffixes, closure), tags, topics, closure, instances)
+    found = suited.withColumn("_a", F.when(F.col("applicable") & F.col("_suffix_suits") & F.col("_tags_suit"), 1))
     marks = markings.join(queries.select("word", "group_no", "pos").distinct(), ["word", "pos"])
-    return synset_status(scored, kept, marks, ["word", "group_no", "pos", "ili"])
+    return _overruled([found], marks, ["word", "group_no", "pos", "ili"])
 
 
 def progressive_intersection(sets: Column) -> Column:

@@ -140,6 +140,11 @@ def shuffled(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
+def scorings(df):
+    """Times that the plan joins query words with lemmas."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+
+
 def network(spark, n):
     """One synset that ``n`` words share, in both lexicons; each word is a query, and one of them has all Spanish words."""
     synsets = spark.createDataFrame([("e", "i", "n", "en"), ("s", "i", "n", "es")], SYNSET)
@@ -158,6 +163,28 @@ def test_score_of_a_synset_with_many_lemmas(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_align_synsets_with_many_lemmas(spark):
+    def align(n):
+        queries, synsets, lemmas, epo = network(spark, n)
+        closure = spark.createDataFrame([("e", "up", 1)], "node string, ancestor string, depth bigint")
+        suffixes = spark.createDataFrame([("1", "n", "up", 0), ("2", "n", "off", 1)], "suffix string, pos string, topic_id string, ord int")
+        tags = spark.createDataFrame([("w4", "t"), ("w14", "u")], "word string, tag string")
+        topics = spark.createDataFrame([("t", "n", "hypernym", "off"), ("u", "n", "hypernym", "up")], "tag string, pos string, kind string, topic_id string")
+        marks = spark.createDataFrame([("w2", "n", "i", "s", "v"), ("w3", "n", "i", "", "v"), ("w5", "n", "j", "s", "v")], "word string, pos string, ili string, app string, vetted string")
+        return graph.align_synsets(queries, synsets, lemmas, epo, closure=closure, suffixes=suffixes, tags=tags, topics=topics, instances=spark.createDataFrame([], "src string, dst string"), markings=marks)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as large tables are joined
+    try:
+        small, large = align(200), align(800)
+        got = {(r["word"], r["ili"]): r["status"] for r in large.collect()}
+        assert len(got) == 801 and got["w5", "j"] == "applicable"
+        assert {k[0] for k, v in got.items() if v == "other"} == {"w3", "w4", *[f"w{x}" for x in range(12, 800, 10)]}
+        assert shuffled(large) < 6 * shuffled(small)  # 16 times where each row holds all lemmas
+        assert scorings(large) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_score_synsets(spark):
     synsets = spark.createDataFrame([("e1", "i1", "n", "en"), ("e2", "i2", "s", "en"), ("e2", "i2", "a", "en"), ("e3", "i3", "n", "en"), ("e4", None, "n", "en"), ("e5", "i1", "v", "en"), ("s1", "i1", "n", "es"), ("s0", "i1", "n", "es"), ("s3", "i3", "n", "es"), ("s", "i2", "n", "es")], SYNSET)
     lemmas = spark.createDataFrame([("e1", "house"), ("e1", "house"), ("e1", "home"), ("e2", "red"), ("e3", "home"), ("e4", "house"), ("e5", "house"), ("s1", "hogar"), ("s0", "casa"), ("s3", "hogar")], LEMMA)
