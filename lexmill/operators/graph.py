@@ -148,7 +148,9 @@ def score_synsets(queries: DataFrame, synsets: DataFrame, lemmas: DataFrame, epo
 
     # size and hash of the words tell two queries of one word, group and part of speech apart
     facts = [F.size("eng").alias("_n_eng"), F.size("spa").alias("_n_spa"), F.get("epo", 0).alias("_epo_word"), F.xxhash64("eng").alias("_eng"), F.xxhash64("spa").alias("_spa")]
-    asked = queries.select("word", "group_no", "pos", *facts, F.inline(F.concat(words("eng", True), words("spa", False))))
+    # taken before the words become rows, else each row would hold and hash all of them
+    asked = queries.select("word", "group_no", "pos", *facts, F.concat(words("eng", True), words("spa", False)).alias("_words"))
+    asked = asked.select(*[c for c in asked.columns if c != "_words"], F.inline("_words"))
     pair = ["word", "group_no", "pos", "synset_id", "ili"]
     # both aggregates below are served by this one shuffle
     met = asked.join(offered, ["_english", "_w", "pos"]).repartition(*pair)
